@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.common import read
+from sparkloom.llm.simhash import simhash_components
 from sparkloom.llm.substring_dedup import digests
 from sparkloom.llm.suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
 
@@ -22,7 +27,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_substring_dedup, op6_suffix_dedup)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op4_substring_dedup, op6_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
