@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.common import read
+from sparkloom.llm.packing import pack
 from sparkloom.llm.simhash import simhash_components
 from sparkloom.llm.substring_dedup import digests
 from sparkloom.llm.suffix_dedup import suffix_dedup
+from sparkloom.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,12 +24,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op4_substring_dedup, op6_suffix_dedup)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
