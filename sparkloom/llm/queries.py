@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.chat import format_conversations, read_back
 from sparkloom.llm.common import read
+from sparkloom.llm.decontam import contamination
 from sparkloom.llm.packing import pack
+from sparkloom.llm.secrets import secret_scan
 from sparkloom.llm.simhash import simhash_components
 from sparkloom.llm.substring_dedup import digests
 from sparkloom.llm.suffix_dedup import suffix_dedup
@@ -36,8 +39,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts hold control strings."""
+    own = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(own.unionByName(more)))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity, op8_secret_scan, op9_chat_formatting, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
