@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, buckets, word_chunks, written
+from sparkloom.llm.common import CHUNK, binary, buckets, word_chunks, written
 
 CAPACITY, END = 2048, 0
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Documents whose words are looked up together.
+TOGETHER = 250
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -35,32 +39,67 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        new = list(words)
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            e = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, own = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-            cuts = np.searchsorted(own, np.arange(len(part) + 1)).tolist()
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
-
-    def __call__(self, text: bytes) -> Iterator[bytes]:
-        """The ids as little-endian 32-bit numbers, in parts."""
-        for words in word_chunks(text):
-            for at in range(0, len(words), REMEMBERED // 4):
-                part = words[at : at + REMEMBERED // 4]
-                try:
-                    yield b"".join(map(self.known.__getitem__, part))
-                except KeyError:
-                    kinds = set(part)
-                    if len(new := kinds.difference(self.known)) + len(self.known) > REMEMBERED:
-                        new = kinds
-                    self.learn(new)
-                    yield b"".join(map(self.known.__getitem__, part))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        plain, rest = [], []
+        for w in words:
+            u = w.decode("utf-8", "replace")
+            (plain if u.isalpha() and "\u0130" not in u else rest).append((w, u))  # that letter's lower case has a mark
+        for at in range(0, len(plain), 5000):
+            if not self._joined(plain[at : at + 5000]):
+                self._apart(plain[at : at + 5000])
+        self._apart(rest)
+
+    def _joined(self, part: list[tuple[bytes, str]]) -> bool:
+        """Words of letters alone, as one text: each is one run for the vocabulary and ends where a word's last piece is."""
+        ids = np.array(self.tokenizer.encode(" ".join(u for _, u in part), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(part):
+            return False
+        self._keep(part, ids, [0, *cuts.tolist()])
+        return True
+
+    def _apart(self, part: list[tuple[bytes, str]]) -> None:
+        for at in range(0, len(part), 1000):
+            own = part[at : at + 1000]
+            e = self.tokenizer.encode([u for _, u in own], is_pretokenized=True, add_special_tokens=False)
+            self._keep(own, np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(own) + 1)).tolist())
+
+    def _keep(self, part: list[tuple[bytes, str]], ids: np.ndarray, cuts: list[int]) -> None:
+        raw = ids.tobytes()
+        self.known.update((w, raw[4 * a : 4 * b]) for (w, _), a, b in zip(part, cuts, cuts[1:], strict=False))
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers."""
+        out: list = []
+        for at in range(0, len(words), REMEMBERED // 4):
+            part = words[at : at + REMEMBERED // 4]
+            found = list(map(self.known.get, part))
+            if None in found:
+                lost = [i for i, x in enumerate(found) if x is None]
+                new = {part[i] for i in lost}
+                if len(new) + len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self.learn(new)
+                for i in lost:
+                    found[i] = self.known[part[i]]
+            out += found
+        return out
+
+
+#: Where a full stop or comma follows a letter, both vocabulary and text have a boundary: parting them there leaves fewer words.
+_STOP = re.compile(rb"(?<=[a-z])[.,]")
+
+
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """Words whose ids make up the text's. Case goes first, as the vocabulary has lower case only, but for texts with
+    what may become one of its special marks."""
+    for at, words in enumerate(word_chunks(text if b"<|" in text else _STOP.sub(rb" \g<0>", text.lower()))):
+        if words or not at:
+            yield words
 
 
 @lru_cache(1)
@@ -69,22 +108,51 @@ def word_ids(path: str) -> WordIds:
 
 
 def _cut(path: str, capacity: int, end: int, keep: bool):
-    def pieces(text: bytes) -> Iterator[bytes]:
-        held, size = b"", 4 * capacity
-        for part in word_ids(path)(text):
-            held += part
-            for at in range(0, len(held) - size + 1, size):
-                yield held[at : at + size]
-            held = held[len(held) - len(held) % size :]
-        held += np.uint32(end).tobytes()
-        yield held
+    size, last = 4 * capacity, np.uint32(end).tobytes()
+
+    def short(texts: list[list[bytes]]) -> Iterator[list[bytes]]:
+        """The pieces of texts, whose words are looked up together."""
+        ids = iter(word_ids(path)([w for words in texts for w in words]))
+        for words in texts:
+            whole = b"".join(islice(ids, len(words))) + last
+            yield [whole[at : at + size] for at in range(0, len(whole), size)]
+
+    def long(text: bytes) -> Iterator[bytes]:
+        held = b""
+        for words in words_of(text):
+            held += b"".join(word_ids(path)(words))
+            cut = len(held) - len(held) % size
+            yield from (held[at : at + size] for at in range(0, cut, size))
+            held = held[cut:]
+        yield held + last
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+
+    def numbered(d: int, parts: Iterable[bytes]) -> Iterator[tuple]:
+        return ((d, i, i * capacity, len(p) // 4, zlib.crc32(p), p if keep else None) for i, p in enumerate(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows = [(d, i, i * capacity, len(p) // 4, zlib.crc32(p), p if keep else None) for d, x in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for i, p in enumerate(pieces(x.as_py()))]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                ids, texts, rows = [], [], []
+                for d, x in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                    text = x.as_py()
+                    if len(text) > CHUNK // 2:
+                        for row in numbered(d, long(text)):
+                            rows.append(row)
+                            if len(rows) >= 10 * TOGETHER:
+                                yield told(rows)
+                                rows = []
+                    else:
+                        ids.append(d)
+                        texts.append(next(words_of(text)))
+                for d, parts in zip(ids, short(texts), strict=True):
+                    rows += numbered(d, parts)
+                if rows:
+                    yield told(rows)
 
     return run
 
