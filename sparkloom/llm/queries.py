@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.chat import format_conversations, read_back
 from sparkloom.llm.common import read
 from sparkloom.llm.decontam import contamination
+from sparkloom.llm.gru_lm import lm_scores
 from sparkloom.llm.packing import pack
 from sparkloom.llm.secrets import secret_scan
 from sparkloom.llm.simhash import simhash_components
@@ -23,6 +24,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity, op8_secret_scan, op9_chat_formatting, op10_decontamination)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op3_lm_scoring, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity, op8_secret_scan, op9_chat_formatting, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
