@@ -338,3 +338,14 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     of = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     named = written(of.select("fp", F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id")))
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, whole, that stand for their component: those whose doc_id is the component's smallest.
+
+    Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id stay.
+    """
+    found = simhash_components(docs, radius, shingle)
+    kept = written(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

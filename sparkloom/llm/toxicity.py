@@ -91,25 +91,45 @@ def held_out(column: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """All columns of docs and score, the chance of label 1. Null or empty text: the bias alone."""
+def _scorer(model: tuple[np.ndarray, np.ndarray, float]):
+    """Scores of a column of texts."""
     at, weights, bias = model
-    names = docs.columns
+    w = np.zeros(1 << BITS, np.float32)
+    w[at] = weights
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        out = []
+        for x in texts:
+            text = x.as_py() or b""
+            found = [f[w[f] != 0] for f in features(text if isinstance(text, bytes) else text.encode())]
+            out.append(bias + float(w[np.unique(np.concatenate(found))].sum(dtype=np.float64)) if found else bias)
+        return 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -35, 35)))
+
+    return scores
+
+
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """doc_id and score, the chance of label 1, of every row. Null or empty text: the bias alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(model)
+        for batch in batches:
+            yield pa.record_batch([batch["doc_id"], pa.array(scores(batch["text"]))], names=["doc_id", "score"])
+
+    own = binary(docs.select("doc_id", "text"))
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def tolerated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, whole, whose score stays under 0.5."""
+    model = fit(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros(1 << BITS, np.float32)
-        w[at] = weights
+        scores = _scorer(model)
         for batch in batches:
-            scores = []
-            for x in batch["text"]:
-                found = [f[w[f] != 0] for f in features(x.as_py() or b"")]
-                scores.append(bias + float(w[np.unique(np.concatenate(found))].sum(dtype=np.float64)) if found else bias)
-            score = 1 / (1 + np.exp(-np.clip(np.array(scores, np.float64), -35, 35)))
-            yield pa.record_batch([batch["key"], pa.array(score)], names=["key", "score"])
+            yield batch.filter(pa.array(scores(batch["text"]) < 0.5))
 
-    if names != ["key", "text"]:
-        raise ValueError("scored() takes key and text")
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -119,5 +139,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     Without usable labels every score is 0.5.
     """
     model = fit(docs, labels, sample)
-    keyed = binary(docs.select(F.col("doc_id").alias("key"), "text"))
-    return scored(keyed, model).select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
