@@ -19,7 +19,7 @@ from sparkloom.llm.common import CHUNK, binary, buckets, word_chunks, written
 
 CAPACITY, END = 2048, 0
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 #: Documents whose words are looked up together.
 TOGETHER = 250
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -38,7 +38,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -48,9 +48,9 @@ class WordIds:
         for w in words:
             u = w.decode("utf-8", "replace")
             (plain if u.isalpha() and "\u0130" not in u else rest).append((w, u))  # that letter's lower case has a mark
-        for at in range(0, len(plain), 5000):
-            if not self._joined(plain[at : at + 5000]):
-                self._apart(plain[at : at + 5000])
+        for at in range(0, len(plain), 1500):
+            if not self._joined(plain[at : at + 1500]):
+                self._apart(plain[at : at + 1500])
         self._apart(rest)
 
     def _joined(self, part: list[tuple[bytes, str]]) -> bool:
@@ -77,12 +77,15 @@ class WordIds:
         out: list = []
         for at in range(0, len(words), REMEMBERED // 4):
             part = words[at : at + REMEMBERED // 4]
+            if len(self.known) > REMEMBERED // 2:
+                self.known, self.old = {}, self.known
             found = list(map(self.known.get, part))
             if None in found:
                 lost = [i for i, x in enumerate(found) if x is None]
                 new = {part[i] for i in lost}
-                if len(new) + len(self.known) > REMEMBERED:
-                    self.known.clear()
+                if self.old:  # what is still in use comes along
+                    self.known.update((w, x) for w in new if (x := self.old.get(w)) is not None)
+                    new.difference_update(self.known)
                 self.learn(new)
                 for i in lost:
                     found[i] = self.known[part[i]]
