@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.ann import by_modulus, nearest
 from sparkloom.llm.chat import format_conversations, read_back
 from sparkloom.llm.common import read
 from sparkloom.llm.decontam import contamination
@@ -20,6 +21,10 @@ from sparkloom.llm.toxicity import toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), by_modulus(20))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op3_lm_scoring, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity, op8_secret_scan, op9_chat_formatting, op10_decontamination)}
+    return {f.__name__: f for f in (op1_prefix_forest, op2_simhash_dedup, op3_lm_scoring, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity, op8_secret_scan, op9_chat_formatting, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
