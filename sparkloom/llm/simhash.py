@@ -6,6 +6,10 @@ differs in at most t_i bits of some part i. The thresholds are unequal and the r
 candidates least, by counts of part values over all fingerprints. Rows stand in an index under each part's exact value,
 probe the values within their thresholds, and what meets is verified by its full distance.
 
+Fingerprints of 64 bits are majorities over the shingles' hashes. Wider ones are signs of random projections of the set
+of shingles; they tell a shingle similarity of 0.8 from 0.7, which 64 bits can't. Such a radius is too wide for a
+guarantee to be worth its candidates, so parts are then as many as find a pair at the radius with 95 % or more each.
+
 Equal fingerprints are one node from the start. A value that very many nodes share is salted: nodes within the radius
 of its most copied fingerprint, its pivot, are linked to that and need no comparison among each other; only the others
 probe all salts. Buckets give spanning forests, never all pairs.
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, fmix, word_chunks, written
+from sparkloom.llm.common import binary, binary_array, fmix, hashed, word_chunks, written
 from sparkloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -32,6 +36,8 @@ CROWD, HOT_VALUES = 4096, 50_000
 FOLD = 12
 #: Costs of a probing row and of a verified candidate, in microseconds.
 PROBE, VERIFY = 2.0, 0.01
+#: Bits of a wide fingerprint, dimensions that shingles are hashed to, and the share of bits in which a similarity of 0.8 differs.
+WIDE, HASHED = 512, 2048
 #: Stands for the doc_id of fingerprints whose rows have none.
 NAMELESS = 1 << 62
 
@@ -57,29 +63,77 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+    """doc_id and fp, the fingerprint as eight bytes, highest first, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch["text"]), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = [fingerprint(x.as_py(), shingle, seed).to_bytes(8, "big") for x in batch["text"]]
+            yield pa.record_batch([batch["doc_id"], pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+
+    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp binary")
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the set of shingles of the lower-cased text; fewer words are one shingle, none is none."""
+    rest, out, any_words = [], [], False
+    for part in word_chunks(text.lower()):
+        words = rest + part
+        if len(words) >= shingle:
+            h, n = hashed(words), len(words) - shingle + 1
+            own = np.zeros(n, np.uint64)
+            for i in range(shingle):
+                own = fmix(own * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+            out.append(np.unique(own))
+            any_words = True
+        rest = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
+    if not any_words and rest:
+        out.append(fmix(np.bitwise_xor.reduce(fmix(hashed(rest) + np.arange(len(rest), dtype=np.uint64)), keepdims=True)))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, width: int = WIDE) -> DataFrame:
+    """doc_id and fp, width signs of random projections of the shingle set, of every row; no words: all bits zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(17).normal(size=(HASHED, width)).astype(np.float32)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                x = np.zeros((batch.num_rows, HASHED), np.float32)
+                for i, text in enumerate(batch["text"]):
+                    h = shingles(text.as_py(), shingle)
+                    sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
+                    x[i] = np.bincount((h % np.uint64(HASHED)).astype(np.int64), sign, HASHED)
+                fps = np.packbits(x @ planes > 0, axis=1).tobytes()
+                yield pa.record_batch([batch["doc_id"], binary_array(fps, np.arange(batch.num_rows + 1) * (width // 8))], names=["doc_id", "fp"])
+
+    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp binary")
+
 
-    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp long")
+def _fps(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    n = len(column)
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.uint64).reshape(n, -1) if n else np.zeros((0, 1), np.uint64)
 
 
-def _bits(fps: np.ndarray) -> np.ndarray:
-    return np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def correlated_parts(ones: np.ndarray, pairs: np.ndarray, n: int, m: int) -> list[list[int]]:
-    """m parts of nearly equal width: each grows from a free bit by the bit that correlates most with those it has."""
+def _bits(fps: np.ndarray, width: int) -> np.ndarray:
+    return np.unpackbits(fps[:, : -(-width // 64)].copy().view(np.uint8), axis=1, bitorder="little")
+
+
+def correlated_parts(ones: np.ndarray, pairs: np.ndarray, n: int, m: int, bits: int) -> list[list[int]]:
+    """m parts of nearly equal width that share the first `bits` bits: each grows from a free bit by the bit that correlates most with those it has."""
     p = ones / max(n, 1)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(pairs / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd)
     np.fill_diagonal(corr, 0)
-    free, parts = list(range(64)), []
+    free, parts = list(range(bits)), []
     for i in range(m):
-        width = 64 // m + (i < 64 % m)
+        width = bits // m + (i < bits % m)
         seed = max(free, key=lambda b: (corr[b, free].max(), -b))
         part = [seed]
         free.remove(seed)
@@ -104,22 +158,24 @@ def _fold(v: np.ndarray) -> np.ndarray:
 
 
 class Plan:
-    """Parts, counts of their values, and crowded values: what a task needs to place and to allocate fingerprints."""
+    """Parts, their thresholds' sum, counts of their values, and crowded values: what a task needs to place fingerprints."""
 
-    def __init__(self, parts: list[list[int]], radius: int):
-        self.parts, self.radius, self.total = parts, radius, radius - len(parts) + 1
+    def __init__(self, parts: list[list[int]], total: int, radius: int):
+        self.parts, self.radius, self.total = parts, radius, total
+        self.most = min(total + len(parts) - 1, 4 if len(parts) < 6 else 1)
+        self.bits = 1 + max(max(p) for p in parts)
         self.weights = [1 << np.arange(len(p), dtype=np.int64) for p in parts]
-        self.flips = [[_flips(len(p), t) for t in range(self.total + len(parts))] if len(p) < 33 else [] for p in parts]
+        self.flips = [[_flips(len(p), t) for t in range(self.most + 1)] for p in parts]
         self.counts = np.zeros((len(parts), 1 << FOLD))
-        self.hot: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4] * len(parts)
+        self.hot: list[tuple] = [(np.zeros(0, np.int64),) * 4] * len(parts)
 
     def values(self, fps: np.ndarray) -> list[np.ndarray]:
-        bits = _bits(fps)
+        bits = _bits(fps, self.bits)
         return [bits[:, p].astype(np.int64) @ w for p, w in zip(self.parts, self.weights, strict=True)]
 
     def thresholds(self, values: list[np.ndarray]) -> np.ndarray:
         """For each row the thresholds of least cost whose sum is total, by dynamic programming over the parts."""
-        n, m, most = len(values[0]), len(self.parts), self.total + len(self.parts) - 1
+        n, m, most = len(values[0]), len(self.parts), self.most
         costs = np.zeros((m, most + 2, n))  # of thresholds -1, 0, 1, ...
         for i, v in enumerate(values):
             thin = 2.0 ** max(0, len(self.parts[i]) - FOLD)
@@ -149,7 +205,7 @@ class Plan:
 
 
 def _choose(n: int, radius: int) -> int:
-    """The number of parts whose probes and candidates cost least, if values were spread evenly."""
+    """The number of parts of 64 bits whose probes and candidates cost least, if values were spread evenly."""
 
     def cost(m: int) -> float:
         base, over = divmod(radius - m + 1, m)
@@ -159,13 +215,20 @@ def _choose(n: int, radius: int) -> int:
     return min(range(min(3, radius + 1), radius + 2), key=cost)
 
 
+def _wide_parts(n: int, radius: int, width: int) -> tuple[int, int]:
+    """Parts and bits of each: a value has a few dozen rows, and some part is equal in 95 % of pairs at the radius."""
+    w = max(10, int(np.ceil(np.log2(max(n, 1) / 64 + 1))))
+    equal = (1 - radius / width) ** w
+    return min(int(np.ceil(np.log(0.05) / np.log1p(-equal))), width // w), w
+
+
 def _counted(nodes: DataFrame, plan: Plan) -> None:
     m, size = len(plan.parts), 1 << FOLD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(m * size, np.int64)
         for batch in batches:
-            for i, v in enumerate(plan.values(batch["fp"].to_numpy().view(np.uint64))):
+            for i, v in enumerate(plan.values(_fps(batch["fp"]))):
                 counts[i * size : (i + 1) * size] += np.bincount(_fold(v), minlength=size)
         at = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
@@ -174,37 +237,40 @@ def _counted(nodes: DataFrame, plan: Plan) -> None:
         plan.counts[cell // size, cell % size] = n
 
 
-def _parts(nodes: DataFrame, m: int) -> list[list[int]]:
-    """Bits by correlation over all fingerprints; 64 x 65 sums come to the driver."""
+def _parts(nodes: DataFrame, m: int, width: int) -> list[list[int]]:
+    """Bits by correlation over all fingerprints; width x width sums come to the driver, width being some hundreds at most."""
+    words = -(-width // 64)
+    size = 64 * words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((65, 64), np.int64)
+        pairs, n = np.zeros((size, size), np.int64), 0
         for batch in batches:
-            bits = _bits(batch["fp"].to_numpy().view(np.uint64)).astype(np.float32)
-            pairs[:64] += (bits.T @ bits).astype(np.int64)
-            pairs[64, 0] += len(bits)
-        yield pa.record_batch([pa.array(np.arange(65 * 64)), pa.array(pairs.ravel())], names=["cell", "n"])
+            bits = _bits(_fps(batch["fp"]), size).astype(np.float32)
+            pairs += (bits.T @ bits).astype(np.int64)
+            n += len(bits)
+        yield pa.record_batch([pa.array(np.arange(size * size + 1)), pa.array(np.append(pairs.ravel(), n))], names=["cell", "n"])
 
-    got = np.zeros(65 * 64)
-    for cell, n in nodes.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        got[cell] = n
-    pairs = got.reshape(65, 64)
-    return correlated_parts(np.diag(pairs[:64]), pairs[:64], int(pairs[64, 0]), m)
+    got = nodes.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(size * size + 1)
+    sums[got["cell"].to_numpy()] = got["n"].to_numpy()
+    pairs = sums[:-1].reshape(size, size)[:width, :width]
+    return correlated_parts(np.diag(pairs), pairs, int(sums[-1]), m, width)
 
 
 def _crowded(nodes: DataFrame, plan: Plan, n: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, v in enumerate(plan.values(batch["fp"].to_numpy().view(np.uint64))):
+            for i, v in enumerate(plan.values(_fps(batch["fp"]))):
                 yield pa.record_batch([pa.array(np.full(len(v), i, np.int32)), pa.array(v), batch["fp"], batch["node"], batch["copies"]], names=["part", "value", "fp", "node", "copies"])
 
     least = max(CROWD, n * len(plan.parts) // HOT_VALUES)
-    values = nodes.mapInArrow(run, "part int, value long, fp long, node long, copies long")
+    values = nodes.mapInArrow(run, "part int, value long, fp binary, node long, copies long")
     most = F.max(F.struct("copies", -F.col("node"), "fp")).alias("most")
     rows = values.groupBy("part", "value").agg(F.count("*").alias("n"), most).where(F.col("n") > least).select("part", "value", "n", "most.fp", F.col("most.col2").alias("node")).collect()  # HOT_VALUES at most
     for i in range(len(plan.parts)):
-        own = sorted((r["value"], -(-r["n"] // least), r["fp"], -r["node"]) for r in rows if r["part"] == i)
-        plan.hot[i] = tuple(np.array([x[j] for x in own], np.int64) for j in range(4))
+        own = sorted((r["value"], -(-r["n"] // least), -r["node"], bytes(r["fp"])) for r in rows if r["part"] == i)
+        if own:
+            plan.hot[i] = (*(np.array([x[j] for x in own], np.int64) for j in range(3)), np.frombuffer(b"".join(x[3] for x in own), np.uint64).reshape(len(own), -1))
 
 
 def _placed(plan: Plan):
@@ -214,11 +280,11 @@ def _placed(plan: Plan):
         for whole in batches:
             for at in range(0, whole.num_rows, 1 << 14):
                 batch = whole.slice(at, 1 << 14)
-                fp, node = batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy()
+                fp, node = _fps(batch["fp"]), batch["node"].to_numpy()
                 values = plan.values(fp)
                 t = plan.thresholds(values)
                 for i, v in enumerate(values):
-                    hot, salts, pivot, pivot_node = plan.hot[i]
+                    hot, salts, pivot_node, pivot = plan.hot[i]
                     for radius in range(int(max(t[i].max(initial=0), 0)) + 1):
                         own = np.arange(len(v)) if radius == 0 else np.flatnonzero(t[i] >= radius)
                         masks = plan.flips[i][radius]
@@ -231,8 +297,8 @@ def _placed(plan: Plan):
         if len(hot):
             at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
             crowd = hot[at] == key
-            near = crowd & (np.bitwise_count(fp[rows] ^ pivot.view(np.uint64)[at]) <= most)
-            salt = np.where(crowd, (fmix(fp[rows]) % np.maximum(salts[at], 1).astype(np.uint64)).astype(np.int64), 0)
+            near = crowd & (_apart(fp[rows], pivot[at]) <= most)
+            salt = np.where(crowd, (fmix(fp[rows, 0]) % np.maximum(salts[at], 1).astype(np.uint64)).astype(np.int64), 0)
             if near.any():
                 yield out(np.full(near.sum(), -1), pivot_node[at][near], salt[near], fp[rows][near], node[rows][near])
             ask = np.flatnonzero(crowd & ~near & (probes[rows] if indexes else True))
@@ -244,7 +310,7 @@ def _placed(plan: Plan):
         yield out(np.full(len(rows), i), key, salt, fp[rows], node[rows])
 
     def out(part, key, salt, fp, node):
-        return pa.record_batch([pa.array(part.astype(np.int32)), pa.array(key), pa.array(salt.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(node)], names=["part", "value", "salt", "fp", "node"])
+        return pa.record_batch([pa.array(part.astype(np.int32)), pa.array(key), pa.array(salt.astype(np.int32)), binary_array(np.ascontiguousarray(fp).tobytes(), np.arange(len(fp) + 1) * 8 * fp.shape[1]), pa.array(node)], names=["part", "value", "salt", "fp", "node"])
 
     return run
 
@@ -256,7 +322,7 @@ def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list) -> None:
         grow, left = [left[0]], left[1:]
         while grow and len(left):
             p = grow.pop()
-            near = np.bitwise_count(fp[left] ^ fp[p]) <= radius
+            near = _apart(fp[left], fp[p]) <= radius
             if near.any():
                 new = left[near]
                 out.append((np.full(len(new), node[p]), node[new]))
@@ -264,17 +330,16 @@ def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list) -> None:
                 left = left[~near]
 
 
-def _verified(radius: int, small: int = 64):
+def _verified(radius: int, small: int = 256):
     def links(group: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(group)]]))
         size = np.repeat(sizes, sizes)
         linked = size > small
         for o in range(1, min(small, int(sizes.max(initial=1)))):
-            pair = (group[o:] == group[:-o]) & (size[o:] <= small)
-            pair &= np.bitwise_count(fp[o:] ^ fp[:-o]) <= radius
-            linked[o:] |= pair
-            linked[:-o] |= pair
+            at = np.flatnonzero((group[o:] == group[:-o]) & (size[o:] <= small))
+            at = at[_apart(fp[at], fp[at + o]) <= radius]
+            linked[at] = linked[at + o] = True
         at = np.flatnonzero(linked)
         cuts = np.flatnonzero(np.concatenate([[True], group[at][1:] != group[at][:-1], [True]])) if len(at) else np.zeros(1, int)
         out: list = []
@@ -287,11 +352,12 @@ def _verified(radius: int, small: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            part, value, salt, fp, node = (batch[c].to_numpy() for c in ("part", "value", "salt", "fp", "node"))
+            part, value, salt, node = (batch[c].to_numpy() for c in ("part", "value", "salt", "node"))
+            fp = _fps(batch["fp"])
             sure = part < 0
             if sure.any():
                 yield pa.record_batch([pa.array(node[sure]), pa.array(value[sure])], names=["a", "b"])
-            held.append((part[~sure], value[~sure], salt[~sure], fp[~sure].view(np.uint64), node[~sure]))
+            held.append((part[~sure], value[~sure], salt[~sure], fp[~sure], node[~sure]))
             if sum(len(x[0]) for x in held) >= 1 << 16:
                 part, value, salt, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
                 new = np.flatnonzero((part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (salt[1:] != salt[:-1])) + 1
@@ -311,20 +377,36 @@ def _verified(radius: int, small: int = 64):
     return run
 
 
-def near_pairs(nodes: DataFrame, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
-    """Links a, b that connect what is within radius bits: nodes has distinct fp, node (a long) and copies (a long)."""
+def near_pairs(nodes: DataFrame, radius: int = RADIUS, width: int = 64, parts: int | None = None) -> DataFrame:
+    """Links a, b that connect what is within radius bits: nodes has distinct fp (binary), node and copies (longs).
+
+    Fingerprints of 64 bits: every link within the radius. Wider ones: each link with a chance of 95 % or more.
+    """
     n = nodes.count()
-    m = parts or _choose(n, radius)
-    plan = Plan(_parts(nodes, m), radius)
+    if width == 64:
+        m = parts or _choose(n, radius)
+        plan = Plan(_parts(nodes, m, 64), radius - m + 1, radius)
+    else:
+        m, w = _wide_parts(n, radius, width)
+        plan = Plan(_parts(nodes, m, m * w), 0, radius)
     _counted(nodes, plan)
     _crowded(nodes, plan, n)
-    placed = nodes.select("fp", "node").mapInArrow(_placed(plan), "part int, value long, salt int, fp long, node long")
+    placed = nodes.select("fp", "node").mapInArrow(_placed(plan), "part int, value long, salt int, fp binary, node long")
     keys = ["part", "value", "salt"]
     # links that are certain meet by their node, not by the value they share
     spread = F.when(F.col("part") < 0, F.col("node")).otherwise(F.xxhash64(*keys)).alias("spread")
     return placed.withColumn("spread", spread).repartition("spread").sortWithinPartitions(*keys).drop("spread").mapInArrow(_verified(radius), "a long, b long")
 
 
+def _components(rows: DataFrame, radius: int, width: int) -> DataFrame:
+    """fp and component_id of every fingerprint in rows (doc_id, fp), as a written table."""
+    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    nodes = written(own.select("fp", "least", F.coalesce("least", F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))).alias("node"), "copies"))
+    roots = written(components(near_pairs(nodes, radius, width)))
+    of = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return written(of.select("fp", F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id")))
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable by links) of every row.
 
@@ -332,20 +414,24 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     Rows without a doc_id link too; a component of only such rows has a null component_id. Other columns are ignored.
     """
     rows = written(fingerprints(docs, shingle, seed))
-    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    nodes = written(own.select("fp", "least", F.coalesce("least", F.lit(NAMELESS) + F.abs(F.col("fp") / 4).cast("long")).alias("node"), "copies"))
-    roots = written(components(near_pairs(nodes, radius)))
-    of = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    named = written(of.select("fp", F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_components(rows, radius, 64), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def bits_apart(similarity: float, width: int = WIDE, slack: float = 1.2) -> int:
+    """Bits in which wide fingerprints of that Jaccard similarity differ, and so many standard deviations more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(width * share + slack * (width * share * (1 - share)) ** 0.5)
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, whole, that stand for their component: those whose doc_id is the component's smallest.
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, whole, that stand for their group of near-duplicates: those whose doc_id is the group's smallest.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id stay.
+    Groups are components of documents whose sets of shingles have that Jaccard similarity or more, as wide
+    fingerprints tell it (to about 0.02). Rows that repeat a doc_id are one document, of which one row stays; rows
+    without a doc_id stay. Texts without words are copies of each other.
     """
-    found = simhash_components(docs, radius, shingle)
+    rows = written(wide_fingerprints(docs, shingle))
+    found = rows.join(_components(rows, bits_apart(similarity), WIDE), "fp")
     kept = written(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
