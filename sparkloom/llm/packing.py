@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +17,7 @@ from sparkloom.llm.common import CHUNK, binary, buckets, word_chunks, written
 
 CAPACITY, END = 2048, 0
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Documents whose words are looked up together.
 TOGETHER = 250
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -39,68 +37,54 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
 
     def learn(self, words: Iterable[bytes]) -> None:
-        plain, rest = [], []
-        for w in words:
-            u = w.decode("utf-8", "replace")
-            (plain if u.isalpha() and "\u0130" not in u else rest).append((w, u))  # that letter's lower case has a mark
-        for at in range(0, len(plain), 1500):
-            if not self._joined(plain[at : at + 1500]):
-                self._apart(plain[at : at + 1500])
-        self._apart(rest)
-
-    def _joined(self, part: list[tuple[bytes, str]]) -> bool:
-        """Words of letters alone, as one text: each is one run for the vocabulary and ends where a word's last piece is."""
-        ids = np.array(self.tokenizer.encode(" ".join(u for _, u in part), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(part):
-            return False
-        self._keep(part, ids, [0, *cuts.tolist()])
-        return True
-
-    def _apart(self, part: list[tuple[bytes, str]]) -> None:
-        for at in range(0, len(part), 1000):
-            own = part[at : at + 1000]
-            e = self.tokenizer.encode([u for _, u in own], is_pretokenized=True, add_special_tokens=False)
-            self._keep(own, np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(own) + 1)).tolist())
-
-    def _keep(self, part: list[tuple[bytes, str]], ids: np.ndarray, cuts: list[int]) -> None:
-        raw = ids.tobytes()
-        self.known.update((w, raw[4 * a : 4 * b]) for (w, _), a, b in zip(part, cuts, cuts[1:], strict=False))
-
-    def __call__(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian 32-bit numbers."""
-        out: list = []
-        for at in range(0, len(words), REMEMBERED // 4):
-            part = words[at : at + REMEMBERED // 4]
-            if len(self.known) > REMEMBERED // 2:
-                self.known, self.old = {}, self.known
-            found = list(map(self.known.get, part))
-            if None in found:
-                lost = [i for i, x in enumerate(found) if x is None]
-                new = {part[i] for i in lost}
-                if self.old:  # what is still in use comes along
-                    self.known.update((w, x) for w in new if (x := self.old.get(w)) is not None)
-                    new.difference_update(self.known)
-                self.learn(new)
-                for i in lost:
-                    found[i] = self.known[part[i]]
-            out += found
-        return out
-
-
-#: Where a full stop or comma follows a letter, both vocabulary and text have a boundary: parting them there leaves fewer words.
-_STOP = re.compile(rb"(?<=[a-z])[.,]")
+        """Many words as one text; where a word's characters start tells which ids are its own."""
+        new = list(words)
+        for at in range(0, len(new), 1500):
+            part = new[at : at + 1500]
+            text = b" ".join(part).decode("utf-8", "replace")
+            starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, text.split(" ")), np.int64, len(part)) + 1)])
+            e = self.tokenizer.encode(text, add_special_tokens=False)
+            cuts = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64), starts).tolist()
+            raw = np.array(e.ids, "<u4").tobytes()
+            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+
+    def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each text's words as little-endian 32-bit numbers; what no text before had is looked up together."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.old = {}, self.known
+        found = [list(map(self.known.get, words)) for words in texts]
+        lost = [(ids, [(i, words[i]) for i, x in enumerate(ids) if x is None]) for words, ids in zip(texts, found, strict=True) if None in ids]
+        if lost:
+            new = {w for _, places in lost for _, w in places}
+            if self.old:  # what is still in use comes along
+                self.known.update((w, x) for w in new if (x := self.old.get(w)) is not None)
+                new.difference_update(self.known)
+            self.learn(new)
+            for ids, places in lost:
+                for i, w in places:
+                    ids[i] = self.known[w]
+        return [b"".join(ids) for ids in found]
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+
+
+def _stops_apart(text: bytes) -> bytes:
+    """A space between a letter and a full stop or comma. The vocabulary parts them there anyway; so there are fewer words."""
+    raw = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero((raw == ord(",")) | (raw == ord(".")))
+    at = at[at > 0]
+    at = at[_LETTER[raw[at - 1]]]
+    return np.insert(raw, at, ord(" ")).tobytes() if len(at) else text
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
     """Words whose ids make up the text's. Case goes first, as the vocabulary has lower case only, but for texts with
     what may become one of its special marks."""
-    for at, words in enumerate(word_chunks(text if b"<|" in text else _STOP.sub(rb" \g<0>", text.lower()))):
+    for at, words in enumerate(word_chunks(text if b"<|" in text else _stops_apart(text.lower()))):
         if words or not at:
             yield words
 
@@ -115,15 +99,14 @@ def _cut(path: str, capacity: int, end: int, keep: bool):
 
     def short(texts: list[list[bytes]]) -> Iterator[list[bytes]]:
         """The pieces of texts, whose words are looked up together."""
-        ids = iter(word_ids(path)([w for words in texts for w in words]))
-        for words in texts:
-            whole = b"".join(islice(ids, len(words))) + last
+        for ids in word_ids(path)(texts):
+            whole = ids + last
             yield [whole[at : at + size] for at in range(0, len(whole), size)]
 
     def long(text: bytes) -> Iterator[bytes]:
         held = b""
         for words in words_of(text):
-            held += b"".join(word_ids(path)(words))
+            held += word_ids(path)([words])[0]
             cut = len(held) - len(held) % size
             yield from (held[at : at + size] for at in range(0, cut, size))
             held = held[cut:]
