@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -92,6 +93,20 @@ def binary_array(data: bytes, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(data)])
 
 
+def trimmed(run):
+    """run for mapInArrow, whose memory goes back to the system when a task ends: workers are used again."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole
+
+
 def blob(*arrays: np.ndarray) -> bytes:
     """Arrays of one length each, compressed; unblob() gives them back."""
     import zstandard

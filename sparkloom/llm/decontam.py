@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary
+from sparkloom.llm.common import binary, trimmed
 
 #: Edits allowed for each character of an item; characters below which an item says nothing about its source.
 RATE, LEAST = 0.08, 30
@@ -128,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, lea
 
     schema = "doc_id long, item_id long, distance long, end long"
     own = binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = [own.mapInArrow(_task(docs, items, rate, run), schema) for items in _blocks(benchmark, least)]
+    found = [own.mapInArrow(trimmed(_task(docs, items, rate, run)), schema) for items in _blocks(benchmark, least)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -139,5 +139,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, le
         yield batch.filter(pa.array([not matcher.match(normal((x.as_py() or "").encode())) for x in batch["text"]], pa.bool_()))
 
     for items in _blocks(benchmark, least):
-        docs = docs.mapInArrow(_task(docs, items, rate, run), docs.schema)
+        docs = docs.mapInArrow(trimmed(_task(docs, items, rate, run)), docs.schema)
     return docs

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, input_bytes, word_chunks, written
+from sparkloom.llm.common import binary, input_bytes, trimmed, word_chunks, written
 
 #: Words with a vector of their own (two places are for unknown words and the end), words in a class, and the state's width.
 VOCABULARY, CLASS, WIDTH = 4096, 64, 32
@@ -248,7 +248,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if counts:
             yield told()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -314,7 +314,7 @@ def fit(docs: DataFrame, lex: Lexicon) -> Gru:
 
     pick = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(SHARE * shards * ROUNDS))
     some = docs.select(pick.alias("pick"), "text").where(F.col("pick") < shards * ROUNDS)
-    sample = written(some.mapInArrow(chosen, "pick long, ids binary"))
+    sample = written(some.mapInArrow(trimmed(chosen), "pick long, ids binary"))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
 
@@ -382,7 +382,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     model = fit(learn, lex)
     sent = docs.sparkSession.sparkContext.broadcast(lex)
     shape = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"
-    rows = written(own.mapInArrow(_scored(sent, model), shape))
+    rows = written(own.mapInArrow(trimmed(_scored(sent, model)), shape))
     each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     more = each.join(counts, "word").groupBy("row").agg(F.sum("k").alias("known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("log"))
     log = F.coalesce("log", F.lit(0.0))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import CHUNK, binary, buckets, word_chunks, written
+from sparkloom.llm.common import CHUNK, binary, buckets, trimmed, word_chunks, written
 
 CAPACITY, END = 2048, 0
 #: Words whose ids a worker remembers.
@@ -32,7 +32,8 @@ def default_tokenizer() -> str:
 class WordIds:
     """Ids of texts, word by word: this vocabulary never joins what white space parts, so a word's ids are always the same."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,7 +53,7 @@ class WordIds:
 
     def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of each text's words as little-endian 32-bit numbers; what no text before had is looked up together."""
-        if len(self.known) > REMEMBERED // 2:
+        if len(self.known) > self.remembered // 2:
             self.known, self.old = {}, self.known
         found = [list(map(self.known.get, words)) for words in texts]
         lost = [(ids, [(i, words[i]) for i, x in enumerate(ids) if x is None]) for words, ids in zip(texts, found, strict=True) if None in ids]
@@ -90,23 +91,23 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 @lru_cache(1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+    return WordIds(path, remembered)
 
 
-def _cut(path: str, capacity: int, end: int, keep: bool):
+def _cut(path: str, capacity: int, end: int, keep: bool, remembered: int = REMEMBERED):
     size, last = 4 * capacity, np.uint32(end).tobytes()
 
     def short(texts: list[list[bytes]]) -> Iterator[list[bytes]]:
         """The pieces of texts, whose words are looked up together."""
-        for ids in word_ids(path)(texts):
+        for ids in word_ids(path, remembered)(texts):
             whole = ids + last
             yield [whole[at : at + size] for at in range(0, len(whole), size)]
 
     def long(text: bytes) -> Iterator[bytes]:
         held = b""
         for words in words_of(text):
-            held += word_ids(path)([words])[0]
+            held += word_ids(path, remembered)([words])[0]
             cut = len(held) - len(held) % size
             yield from (held[at : at + size] for at in range(0, cut, size))
             held = held[cut:]
@@ -143,9 +144,9 @@ def _cut(path: str, capacity: int, end: int, keep: bool):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Each document's ids and the end id, cut at every capacity ids; ids: the ids themselves, too."""
-    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_cut(tokenizer, capacity, end, ids), _PIECES)
+    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(trimmed(_cut(tokenizer, capacity, end, ids, remembered)), _PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -230,14 +231,14 @@ def placed(own: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` ids.
 
     Returns for each piece: doc_id, piece (from 0), start (the document's ids before it), length, ids_crc32 (of the ids
     as little-endian 32-bit numbers), sequence_id, offset in the sequence, and ids if asked for. Only documents longer
     than a sequence are cut. Null or empty text: the end id alone. Null or repeated doc_ids: each row is a document of
-    its own. An empty table gives no rows. Other columns are ignored.
+    its own. An empty table gives no rows. remembered: words whose ids a worker keeps. Other columns are ignored.
     """
-    own = written(pieces(docs, tokenizer or default_tokenizer(), capacity, end, ids))
+    own = written(pieces(docs, tokenizer or default_tokenizer(), capacity, end, ids, remembered))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return placed(own, capacity).select(*names, *["ids"] * ids)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import binary, binary_array, blob, buckets, fmix, hashed, unblob, word_chunks
+from sparkloom.llm.common import binary, binary_array, blob, buckets, fmix, hashed, trimmed, unblob, word_chunks
 
 #: Words that are compared within a task before anything is sent.
 FLUSH = 1 << 20
@@ -236,8 +236,8 @@ def repeats(docs: DataFrame, window: int, k: int) -> DataFrame:
     if not 1 <= k < window <= 100 + k:
         raise ValueError("k must be below window, and window at most k + 100")
     n = buckets(docs)
-    sealed = binary(docs.select("doc_id", "text")).mapInArrow(_seeds(window, k, n), _SEALED)
-    met = sealed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_extend(window), _FLAGS)
+    sealed = binary(docs.select("doc_id", "text")).mapInArrow(trimmed(_seeds(window, k, n)), _SEALED)
+    met = sealed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_extend(window)), _FLAGS)
     return met.groupBy("doc_id").agg(F.collect_list("flags").alias("flags"))
 
 

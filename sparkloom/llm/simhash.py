@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, binary_array, fmix, hashed, word_chunks, written
+from sparkloom.llm.common import binary, binary_array, fmix, hashed, trimmed, word_chunks, written
 from sparkloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = [fingerprint(x.as_py(), shingle, seed).to_bytes(8, "big") for x in batch["text"]]
             yield pa.record_batch([batch["doc_id"], pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
-    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp binary")
+    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(trimmed(run), "doc_id long, fp binary")
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int, width: int = WIDE) -> DataF
                 fps = np.packbits(x @ planes > 0, axis=1).tobytes()
                 yield pa.record_batch([batch["doc_id"], binary_array(fps, np.arange(batch.num_rows + 1) * (width // 8))], names=["doc_id", "fp"])
 
-    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp binary")
+    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(trimmed(run), "doc_id long, fp binary")
 
 
 def _fps(column: pa.Array) -> np.ndarray:
@@ -391,11 +391,11 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, width: int = 64, parts: i
         plan = Plan(_parts(nodes, m, m * w), 0, radius)
     _counted(nodes, plan)
     _crowded(nodes, plan, n)
-    placed = nodes.select("fp", "node").mapInArrow(_placed(plan), "part int, value long, salt int, fp binary, node long")
+    placed = nodes.select("fp", "node").mapInArrow(trimmed(_placed(plan)), "part int, value long, salt int, fp binary, node long")
     keys = ["part", "value", "salt"]
     # links that are certain meet by their node, not by the value they share
     spread = F.when(F.col("part") < 0, F.col("node")).otherwise(F.xxhash64(*keys)).alias("spread")
-    return placed.withColumn("spread", spread).repartition("spread").sortWithinPartitions(*keys).drop("spread").mapInArrow(_verified(radius), "a long, b long")
+    return placed.withColumn("spread", spread).repartition("spread").sortWithinPartitions(*keys).drop("spread").mapInArrow(trimmed(_verified(radius)), "a long, b long")
 
 
 def _components(rows: DataFrame, radius: int, width: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, fmix, hashed, word_chunks
+from sparkloom.llm.common import binary, fmix, hashed, trimmed, word_chunks
 
 #: Labelled rows that the classifier is fitted on at most; bits of a feature's index.
 SAMPLE, BITS = 8000, 20
@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
             at = [np.unique(np.concatenate([*features(x.as_py()), np.zeros(0, np.int64)])).astype(np.int32).tobytes() for x in batch["text"]]
             yield pa.record_batch([batch["doc_id"], batch["y"], pa.array(at, pa.binary())], names=["doc_id", "y", "at"])
 
-    rows = binary(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at binary").toArrow().to_pydict()
+    rows = binary(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(trimmed(run), "doc_id long, y int, at binary").toArrow().to_pydict()
     size = 1 << BITS
     model, order = Ftrl(size), np.argsort([np.uint64(d * 0x9E3779B97F4A7C15 % (1 << 64)) for d in rows["doc_id"]], kind="stable")
     for _ in range(epochs):
@@ -117,7 +117,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Data
             yield pa.record_batch([batch["doc_id"], pa.array(scores(batch["text"]))], names=["doc_id", "score"])
 
     own = binary(docs.select("doc_id", "text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
+    return own.mapInArrow(trimmed(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def tolerated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -129,7 +129,7 @@ def tolerated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(scores(batch["text"]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
