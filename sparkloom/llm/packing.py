@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as itself, the others by turns from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordIds:
     """Ids of texts, word by word: this vocabulary never joins what white space parts, so a word's ids are always the same."""
 
@@ -38,18 +49,29 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.packed = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def learn(self, words: Iterable[bytes]) -> None:
+        """Words that are one run of lower-case letters are the model's input as they stand; others take the whole way."""
+        other, known, ids, split = [], self.known, self.packed, self.tokenizer.model.tokenize
+        for w in words:
+            if w.isalpha() and w.islower():
+                known[w] = b"".join([ids[x.id] for x in split(w.decode())])
+            elif not w.isascii() and (u := w.decode("utf-8", "replace")).isalpha() and u == u.lower() and is_normalized("NFC", u) and "\ufffd" not in u:
+                known[w] = b"".join([ids[x.id] for x in split(w.decode("latin-1").translate(_BYTE_LETTERS))])
+            else:
+                other.append(w)
+        for at in range(0, len(other), 1500):
+            self._apart(other[at : at + 1500])
+
+    def _apart(self, part: list[bytes]) -> None:
         """Many words as one text; where a word's characters start tells which ids are its own."""
-        new = list(words)
-        for at in range(0, len(new), 1500):
-            part = new[at : at + 1500]
-            text = b" ".join(part).decode("utf-8", "replace")
-            starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, text.split(" ")), np.int64, len(part)) + 1)])
-            e = self.tokenizer.encode(text, add_special_tokens=False)
-            cuts = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64), starts).tolist()
-            raw = np.array(e.ids, "<u4").tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+        text = b" ".join(part).decode("utf-8", "replace")
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, text.split(" ")), np.int64, len(part)) + 1)])
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        cuts = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64), starts).tolist()
+        raw = np.array(e.ids, "<u4").tobytes()
+        self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
 
     def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of each text's words as little-endian 32-bit numbers; what no text before had is looked up together."""
