@@ -1 +1 @@
-
+"""Scalar functions as Column expressions; pandas UDFs only where SQL has no such function."""

@@ -1 +1 @@
-
+"""Sources: delimited text with inferred types, Parquet, matrices."""
