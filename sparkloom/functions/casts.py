@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.errors import InvalidRequest
 from sparkloom.functions.parsing import format_datetime, parse_datetime
 
-NAMES = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "long": "int", "double": "float", "float": "float", "timestamp": "datetime", "string": "string"}
+NAMES = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "long": "int", "double": "float", "float": "float", "timestamp": "datetime", "timestamp_ntz": "datetime", "string": "string"}
 
 
 def cast(value: Column, source: str, target: str, strict: bool = True) -> Column:
@@ -22,6 +22,7 @@ def cast(value: Column, source: str, target: str, strict: bool = True) -> Column
     if source == target:
         return value
     if source == "datetime":
+        value = value.cast("timestamp")  # one without a zone is taken as UTC
         millis = F.unix_millis(value)
         return {"int": millis, "float": millis.cast("double"), "string": format_datetime(value)}[target]
     if target == "datetime":

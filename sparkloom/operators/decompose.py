@@ -52,18 +52,6 @@ def pca(x: DataFrame, n_components: int | None = None, preprocess: str = "standa
     return PCA(vectors[:, :k], values / total if total else values, values, M.multiply(own, vectors[:, :k]))
 
 
-def _apply(x: DataFrame, b: np.ndarray) -> DataFrame:
-    """Rows times a small matrix by a block kernel, for wide results."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = M.rows_of(batch) @ b if batch.num_rows else np.zeros((0, b.shape[1]))
-            offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * b.shape[1])
-            yield pa.record_batch([batch["row_id"], pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["row_id", M.FEATURES])
-
-    return x.select("row_id", M.FEATURES).mapInArrow(run, f"row_id long, {M.FEATURES} array<double>")
-
-
 def _through(x: DataFrame, b: np.ndarray) -> np.ndarray:
     """X'(X b) in one pass."""
 
@@ -96,7 +84,7 @@ def tsqr(x: DataFrame) -> tuple[DataFrame, np.ndarray]:
     if len(stack) < p:
         raise InvalidRequest("thin QR is for tall matrices")
     _, r = qr(stack, thin=True)
-    return _apply(x, np.linalg.inv(r)), r
+    return M.multiply(x, np.linalg.inv(r)), r
 
 
 def _stacked(batches: Iterator[pa.RecordBatch], p: int) -> np.ndarray:
@@ -114,7 +102,7 @@ def low_rank(x: DataFrame, rank: int | None = None, iterations: int = 10, seed:
     sketch = np.random.default_rng(seed).uniform(size=(p, k))
     for _ in range(iterations):
         sketch = lu(_through(x, sketch))[0]
-    own = _apply(x, sketch)
+    own = M.multiply(x, sketch)
     g = M.gram(own, p=k)
     values, vectors = eigen((g + g.T) / 2)
     keep = values > values[0] * 1e-13 if len(values) and values[0] > 0 else np.zeros(len(values), bool)

@@ -98,16 +98,28 @@ def transpose_multiply(a: DataFrame, b: DataFrame, on: str = "row_id") -> np.nda
 
 
 def multiply(x: DataFrame, b: np.ndarray) -> DataFrame:
-    """Each row times a small matrix, in Spark's own expressions."""
+    """Each row times a small matrix: Spark's own expressions for few result columns, a block kernel for more."""
     b = np.asarray(b, float)
     if b.ndim != 2 or b.shape[0] != width(x):
         raise OutOfBounds(f"{width(x)} columns by {b.shape}")
+    if b.shape[1] > NARROW:
+        return mapped(x, lambda rows: rows @ b)
     column = lambda j: F.aggregate(F.zip_with(doubles(F.col(FEATURES)), F.array(*map(F.lit, b[:, j].tolist())), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
     return x.withColumn(FEATURES, F.array(*(column(j) for j in range(b.shape[1]))))
 
 
-def _each(x: DataFrame, f) -> DataFrame:
-    return x.withColumn(FEATURES, F.transform(doubles(F.col(FEATURES)), f))
+def mapped(x: DataFrame, f) -> DataFrame:
+    """x with f of the features, a block at a time; other columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(FEATURES)
+            out = np.asarray(f(rows_of(batch))) if batch.num_rows else np.zeros((0, 1))
+            offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+            yield pa.record_batch([*batch.columns[:at], pa.ListArray.from_arrays(offsets, pa.array(out.ravel())), *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    own = x.withColumn(FEATURES, doubles(F.col(FEATURES)))
+    return own.mapInArrow(run, own.schema)
 
 
 def shifted(x: DataFrame, shift: np.ndarray, scale: np.ndarray) -> DataFrame:

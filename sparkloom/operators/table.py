@@ -148,7 +148,7 @@ class Table:
         new = {
             "int": lambda: c + F.lit(int(value)).cast("bigint"),
             "float": lambda: c + F.lit(float(value)),
-            "datetime": lambda: F.timestamp_millis(F.unix_millis(c) + F.lit(int(value)).cast("bigint")),
+            "datetime": lambda: F.timestamp_millis(F.unix_millis(c.cast("timestamp")) + F.lit(int(value)).cast("bigint")),
             "string": lambda: F.concat(c, F.lit(f"{value:g}")),
         }[kind]()
         return Table(self.df.withColumn(own, new), self.row_id)
@@ -215,7 +215,7 @@ class Table:
         own = [self.name(c) for c in (self.names if columns is None else columns)]
         if text := [n for n in own if self.kind(n) not in ("int", "float", "datetime")]:
             raise InvalidRequest(f"no numbers: {', '.join(text)}")
-        numbers = [(F.unix_millis(self[n]) if self.kind(n) == "datetime" else self[n]).cast("double") for n in own]
+        numbers = [(F.unix_millis(self[n].cast("timestamp")) if self.kind(n) == "datetime" else self[n]).cast("double") for n in own]
         checked = [F.coalesce(x, F.raise_error(F.lit(f"null in {n}")).cast("double")) for n, x in zip(own, numbers, strict=True)]
         return self.df.select(F.col(self.row_id), F.array(*checked).alias("features"))
 
