@@ -28,7 +28,7 @@ VOCABULARY, CLASS, WIDTH = 4096, 64, 32
 COMMON = 300_000
 UNKNOWN, END = 0, 1
 #: One training document in SHARE fits the network, in ROUNDS rounds; MB of input for each shard.
-SHARE, ROUNDS, SHARD_MB = 12, 4, 16
+SHARE, ROUNDS, SHARD_MB = 14, 4, 16
 WINDOW, LANES, RATE = 32, 16, 0.12
 FOLDS, HELD_OUT = 7, 2
 _COUNTER = 200_000
@@ -319,7 +319,7 @@ def fit(docs: DataFrame, lex: Lexicon) -> Gru:
         start = spark.sparkContext.broadcast(model.flat())
 
         shape = "part int, weight double, data binary"
-        learned = sample.where(F.col("pick") % ROUNDS == turn).groupBy("pick").applyInArrow(_learner(start), shape)
+        learned = sample.where(F.col("pick") % ROUNDS == turn).repartition(shards, "pick").groupBy("pick").applyInArrow(_learner(start), shape)
         some = learned.withColumn("salt", F.floor(F.rand(1) * max(1, int(shards**0.5)))).groupBy("part", "salt")
         halves = some.applyInArrow(_summed, shape)
         parts = halves.groupBy("part").applyInArrow(_summed, shape).toArrow().sort_by("part").to_pylist()

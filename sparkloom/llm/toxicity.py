@@ -78,6 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
 
     rows = binary(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(trimmed(run), "doc_id long, y int, at binary").toArrow().to_pydict()
     size = 1 << BITS
+    if not rows["doc_id"]:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0
     model, order = Ftrl(size), np.argsort([np.uint64(d * 0x9E3779B97F4A7C15 % (1 << 64)) for d in rows["doc_id"]], kind="stable")
     for _ in range(epochs):
         for i in order:
@@ -136,7 +138,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score and predicted (1 from a score of 0.5) of every row of docs.
 
     Null text counts as empty; null doc_ids are never held out nor learned from; repeated ids stay rows of their own.
-    Without usable labels every score is 0.5.
+    Without usable labels nothing is known to be toxic: every score is next to 0.
     """
     model = fit(docs, labels, sample)
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
