@@ -365,7 +365,7 @@ def add_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.add_values([10, 20, 30, 40, 50], "tens").df.drop("row_id")
 
 
-@query("select event_id, user_id + 2 as user_id, round(value + 2.5, 6) as value, epoch_ms(ts) + 1500 as millis, event_type || '2.5' as event_type from events")
+@query("select event_id, user_id + 2 as user_id, round(value + 2.5, 6) as value, epoch_us(ts) // 1000 + 1500 as millis, event_type || '2.5' as event_type from events")
 def column_plus_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Table(read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id")
     df = t.add_to("user_id", 2.5).add_to("value", 2.5).add_to("ts", 1500).add_to("event_type", 2.5).df
