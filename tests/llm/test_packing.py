@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import random
 import zlib
 
@@ -59,21 +60,32 @@ def test_long_texts_in_pieces(spark, words, monkeypatch, tokenizer):
     assert b"".join(r["ids"] for r in rows if r["doc_id"] == 4) == np.array(ids, "<u4").tobytes()
 
 
+def _best_fit_one_by_one(counts):
+    """Sequences that best-fit decreasing opens, a piece at a time."""
+    rooms = []
+    for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else 2048
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
 def test_best_fit_uses_each_piece_once_and_fills():
     rng = random.Random(1)
-    counts = {n: rng.randint(1, 5000) for n in rng.sample(range(1, 2049), 300)}
-    plan = P.best_fit(counts, 2048)
-    used = {}
-    for times, filling in plan:
-        assert sum(n * k for n, k in filling) <= 2048
-        for n, k in filling:
-            used[n] = used.get(n, 0) + k * times
-    assert used == counts
-    assert sum(t for t, _ in plan) <= 1.02 * sum(n * c for n, c in counts.items()) / 2048 + 1
-    slots = P.Slots(plan)
-    for length, n in list(counts.items())[:20]:
-        sequence, offset = slots.take(np.full(n, length), np.arange(n))
-        assert len(set(zip(sequence.tolist(), offset.tolist(), strict=True))) == n
+    for most in (1, 3, 40):
+        counts = {n: rng.randint(1, most) for n in rng.sample(range(1, 2049), 300)}
+        plan = P.best_fit(counts, 2048)
+        used = {}
+        for times, filling in plan:
+            assert sum(n * k for n, k in filling) <= 2048
+            for n, k in filling:
+                used[n] = used.get(n, 0) + k * times
+        assert used == counts
+        assert sum(t for t, _ in plan) <= 1.01 * _best_fit_one_by_one(counts) + 1
+        slots = P.Slots(plan)
+        for length, n in counts.items():
+            sequence, offset = slots.take(np.full(n, length), np.arange(n))
+            assert len(set(zip(sequence.tolist(), offset.tolist(), strict=True))) == n
 
 
 def test_nothing(spark, empty):
