@@ -1 +1 @@
-
+"""Running sums over a stream."""
