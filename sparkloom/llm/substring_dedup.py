@@ -9,7 +9,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sparkloom.llm.common import binary, word_chunks
 from sparkloom.llm.repeats import covered, merged, repeats, tag_of
@@ -68,4 +67,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return substring_dedup(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256", F.array_join("removed", ",").alias("removed"))
+    return substring_dedup(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
