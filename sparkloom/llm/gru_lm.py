@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import binary, input_bytes, trimmed, word_chunks, written
 
 #: Words with a vector of their own (two places are for unknown words and the end), words in a class, and the state's width.
-VOCABULARY, CLASS, WIDTH = 4096, 64, 32
+VOCABULARY, CLASS, WIDTH = 4096, 64, 24
 #: Words whose counts every task knows; rarer ones are looked up by a join.
 COMMON = 300_000
 UNKNOWN, END = 0, 1
 #: One training document in SHARE fits the network, in ROUNDS rounds; MB of input for each shard.
-SHARE, ROUNDS, SHARD_MB = 14, 4, 16
+SHARE, ROUNDS, SHARD_MB = 16, 4, 16
 WINDOW, LANES, RATE = 32, 16, 0.12
 FOLDS, HELD_OUT = 7, 2
 _COUNTER = 200_000
