@@ -37,11 +37,12 @@ def _fraction(x: float, a: float, b: float) -> float:
     d = 1 / (d if abs(d) > _TINY else _TINY)
     out = d
     for m in range(1, 100_000):
+        before = out
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d, c = 1 + top * d, 1 + top / c
             d, c = 1 / (d if abs(d) > _TINY else _TINY), c if abs(c) > _TINY else _TINY
             out *= d * c
-        if abs(d * c - 1) < _EPS * 4:
+        if abs(out - before) <= _EPS * 2 * abs(out):
             return out
     raise UnableToConverge("incomplete beta ratio")
 

@@ -38,7 +38,7 @@ def is_match(text: Column, pattern: str, *options: str) -> Column:
 
 def match(text: Column, pattern: str, *options: str) -> Column:
     """The leftmost match, or null."""
-    return F.regexp_substr(text, F.lit(compiled(pattern, *options)))
+    return group(text, pattern, 0, *options)
 
 
 def group(text: Column, pattern: str, index: int, *options: str) -> Column:
@@ -49,9 +49,8 @@ def group(text: Column, pattern: str, index: int, *options: str) -> Column:
 
 def match_end(text: Column, pattern: str, *options: str) -> Column:
     """Offset behind the leftmost match, from 0; -1 without one."""
-    own = F.lit(compiled(pattern, *options))
-    found = F.regexp_substr(text, own)
-    return F.when(text.isNull(), F.lit(None)).otherwise(F.coalesce(F.regexp_instr(text, own) - 1 + F.length(found), F.lit(-1))).cast("bigint")
+    end = F.regexp_instr(text, F.lit(compiled(pattern, *options))) - 1 + F.length(match(text, pattern, *options))
+    return F.when(text.isNotNull(), F.coalesce(end, F.lit(-1))).cast("bigint")
 
 
 def matches(text: Column, pattern: str, *options: str) -> Column:

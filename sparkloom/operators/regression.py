@@ -155,7 +155,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def logistic(df: DataFrame, label: str, x: Sequence[str], positive: object = 1, iterations: int = 50, tolerance: float = 1e-6, ridge: float = 1e-6) -> Binary:
     """One label against the rest by Newton's method: gradient, Hessian and counts are one pass an iteration.
 
-    Complete separation is flagged where every error is under 1e-6 in the last pass; without convergence the model says so.
+    Complete separation is flagged where the coefficients put every row on its side; there is no optimum then, and the
+    steps end when every error is under 1e-6. Without convergence the model says so.
     """
     rows, p = _labelled(df, label, positive, x), len(x) + 1
     beta, separated, converged, turn, n = np.zeros(p), False, False, 0, 0
@@ -167,17 +168,18 @@ def logistic(df: DataFrame, label: str, x: Sequence[str], positive: object = 1,
             out = np.zeros((p + 1, p + 1))
             out[:p, :p] = d.T @ (d * (mu * (1 - mu))[:, None])
             out[p, :p] = d.T @ (y - mu)
-            out[:p, p] = [len(y), (np.abs(y - mu) < 1e-6).sum(), *[0] * (p - 2)]
+            out[:p, p] = [len(y), (np.abs(y - mu) < 0.5).sum(), *[0] * (p - 2)]
+            out[p, p] = (np.abs(y - mu) < 1e-6).sum()
             return out
 
         sums = block_sum(rows, kernel, (p + 1, p + 1))
         n = int(sums[0, p])
         if not n:
             raise OutOfBounds("no rows")
-        separated = sums[1, p] == n
+        separated = bool(sums[1, p] == n)
         step = np.linalg.solve(sums[:p, :p] + ridge * np.eye(p), sums[p, :p])
         beta = beta + step
-        if np.abs(step).max() <= tolerance or separated:
+        if np.abs(step).max() <= tolerance or sums[p, p] == n:
             converged = bool(np.abs(step).max() <= tolerance)
             break
     return Binary(label, positive, list(x), beta, converged, separated, turn, n)

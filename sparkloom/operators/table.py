@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.errors import InvalidRequest, NotFound, NullValue, OutOfBounds
 from sparkloom.functions.casts import NAMES, cast
@@ -161,8 +160,8 @@ class Table:
         own = self.name(column)
         if self.df.where(self[own].isNull()).limit(1).count():
             raise NullValue(own)
-        schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable and f.name != own) for f in self.df.schema])
-        return Table(self.df.to(schema) if not self.is_nullable(own) else self.df.withColumn(own, F.coalesce(self[own], F.raise_error(F.lit(f"null in {own}")).cast(self.df.schema[own].dataType))), self.row_id)
+        never = F.timestamp_millis(F.lit(0)) if self.kind(own) == "datetime" else F.lit("" if self.kind(own) == "string" else 0)
+        return Table(self.df.withColumn(own, F.coalesce(self[own], never.cast(self.df.schema[own].dataType))), self.row_id)
 
     # rows and cells
 
