@@ -45,8 +45,9 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of df's input as the optimizer estimates them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of df's input as the optimizer estimates them; what has no estimate counts as some for each shuffle partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else partitions(df.sparkSession) << 24
 
 
 def partitions(spark: SparkSession) -> int:

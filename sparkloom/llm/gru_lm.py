@@ -31,6 +31,8 @@ UNKNOWN, END = 0, 1
 SHARE, ROUNDS, SHARD_MB = 16, 4, 16
 WINDOW, LANES, RATE = 32, 16, 0.12
 FOLDS, HELD_OUT = 7, 2
+#: Lanes of a scoring batch, its tokens, and states that meet the softmax together; words after which training starts a document's state afresh.
+SCORE_LANES, BATCH, TOGETHER, SPAN = 192, 1_000_000, 32_768, 1024
 _COUNTER = 200_000
 _FLOATS = 1 << 14
 
@@ -179,8 +181,8 @@ def windows(docs: list[np.ndarray], most: int, window: int) -> Iterator[tuple[np
     dealt = lanes([len(d) for d in docs], most)
     steps = max(sum(len(docs[k]) for k in lane) for lane in dealt)
     shape = (-(-steps // window) * window, len(dealt))
-    y, own, fresh = np.full(shape, END, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
-    x = np.full(shape, END, np.int32)
+    y, own, fresh = np.full(shape, END, np.int16), np.full(shape, -1, np.int32), np.zeros(shape, bool)
+    x = np.full(shape, END, np.int16)
     for i, lane in enumerate(dealt):
         at = 0
         for k in lane:
@@ -196,6 +198,7 @@ def train(model: Gru, docs: list[np.ndarray]) -> Gru:
     """One walk over docs, a step of Adagrad a window."""
     squares = {k: np.full_like(v, 1e-4 if k in ("wx", "wo", "bo") else 1e-3) for k, v in model.p.items()}
     h = None
+    docs = [d[at : at + SPAN] for d in docs for at in range(0, len(d), SPAN)]  # or lanes would wait for the longest
     for x, y, own, fresh in windows(docs, LANES, WINDOW):
         h = np.zeros((x.shape[1], WIDTH), np.float32) if h is None else h
         g, words, rows, h = model.gradients(x, y, own >= 0, fresh, h)
@@ -209,8 +212,14 @@ def train(model: Gru, docs: list[np.ndarray]) -> Gru:
 
 def score(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each whole document, its end included."""
-    total, h = np.zeros(len(docs)), None
-    for x, y, own, fresh in windows(docs, 256, 64):
+    total, h, held, n = np.zeros(len(docs)), None, [], 0
+
+    def settle() -> None:
+        hs, y, own = (np.concatenate(p) for p in zip(*held, strict=True))
+        total.__iadd__(np.bincount(own, model.losses(hs, y), len(docs)))
+        held.clear()
+
+    for x, y, own, fresh in windows(docs, SCORE_LANES, 64):
         h = np.zeros((x.shape[1], WIDTH), np.float32) if h is None else h
         live = (own >= 0).any(axis=0)
         if not live.all():  # lanes that have ended stay ended
@@ -219,7 +228,13 @@ def score(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
         else:
             hs, h, _ = model.run(x, fresh, h)
         at = np.flatnonzero(own.ravel() >= 0)
-        total += np.bincount(own.ravel()[at], model.losses(hs.reshape(-1, WIDTH)[at], y.ravel()[at]), len(docs))
+        held.append((hs.reshape(-1, WIDTH)[at], y.ravel()[at], own.ravel()[at]))
+        n += len(at)
+        if n >= TOGETHER:  # so that each class has many rows
+            settle()
+            n = 0
+    if held:
+        settle()
     return total
 
 
@@ -358,7 +373,7 @@ def _scored(sent, model: Gru):
                 docs.append(np.append(np.concatenate(parts), END).astype(np.int32) if parts else np.array([END], np.int32))
                 held.append((d, n, known, base, of_tail, unknown, rare))
                 size += n
-                if size >= 300_000:
+                if size >= BATCH:
                     yield flush(docs, held)
                     docs, held, size = [], [], 0
         if docs:

@@ -80,7 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     size = 1 << BITS
     if not rows["doc_id"]:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0
-    model, order = Ftrl(size), np.argsort([np.uint64(d * 0x9E3779B97F4A7C15 % (1 << 64)) for d in rows["doc_id"]], kind="stable")
+    model = Ftrl(size)
+    order = sorted(range(len(rows["at"])), key=lambda i: (rows["doc_id"][i] * 0x9E3779B97F4A7C15 % (1 << 64), rows["at"][i]))  # the same however rows come
     for _ in range(epochs):
         for i in order:
             model.learn(np.append(np.frombuffer(rows["at"][i], np.int32), size), rows["y"][i])

@@ -74,7 +74,7 @@ def test_links_of_dense_balls(spark, monkeypatch, crowd, parts):
 
 def test_thresholds_add_up():
     plan = S.Plan([list(range(i * 16, i * 16 + 16)) for i in range(4)], 1, 4)
-    plan.counts[0] += 1000
+    plan.counts[0] += 1e6
     t = plan.thresholds(plan.values(np.random.default_rng(0).integers(0, 2**63, (50, 1), dtype=np.uint64)))
     assert (t.sum(axis=0) == 1).all()
     assert (t >= -1).all()
