@@ -19,7 +19,7 @@ from sparkloom.llm.common import CHUNK, binary, buckets, trimmed, word_chunks, w
 CAPACITY, END = 2048, 0
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_000_000
-#: Documents whose words are looked up together.
+#: Documents whose pieces are told together.
 TOGETHER = 250
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -40,55 +40,43 @@ def _byte_letters() -> dict[int, int]:
 _BYTE_LETTERS = _byte_letters()
 
 
-class WordIds:
-    """Ids of texts, word by word: this vocabulary never joins what white space parts, so a word's ids are always the same."""
+class WordIds(dict):
+    """Ids of words as little-endian 32-bit numbers: this vocabulary never joins what white space parts, so a word's ids
+    are always the same, and a text's are those of its words. A word is looked up once while it is remembered: in two
+    generations, so that words in use stay when the older goes.
+    """
 
     def __init__(self, path: str, remembered: int):
-        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        super().__init__()
+        self.remembered, self.old = remembered, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.split = self.tokenizer.model.tokenize
         self.packed = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Words that are one run of lower-case letters are the model's input as they stand; others take the whole way."""
-        other, known, ids, split = [], self.known, self.packed, self.tokenizer.model.tokenize
-        for w in words:
-            if w.isalpha() and w.islower():
-                known[w] = b"".join([ids[x.id] for x in split(w.decode())])
-            elif not w.isascii() and (u := w.decode("utf-8", "replace")).isalpha() and u == u.lower() and is_normalized("NFC", u) and "\ufffd" not in u:
-                known[w] = b"".join([ids[x.id] for x in split(w.decode("latin-1").translate(_BYTE_LETTERS))])
-            else:
-                other.append(w)
-        for at in range(0, len(other), 1500):
-            self._apart(other[at : at + 1500])
-
-    def _apart(self, part: list[bytes]) -> None:
-        """Many words as one text; where a word's characters start tells which ids are its own."""
-        text = b" ".join(part).decode("utf-8", "replace")
-        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, text.split(" ")), np.int64, len(part)) + 1)])
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        cuts = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64), starts).tolist()
-        raw = np.array(e.ids, "<u4").tobytes()
-        self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
-
-    def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
-        """The ids of each text's words as little-endian 32-bit numbers; what no text before had is looked up together."""
-        if len(self.known) > self.remembered // 2:
-            self.known, self.old = {}, self.known
-        found = [list(map(self.known.get, words)) for words in texts]
-        lost = [(ids, [(i, words[i]) for i, x in enumerate(ids) if x is None]) for words, ids in zip(texts, found, strict=True) if None in ids]
-        if lost:
-            new = {w for _, places in lost for _, w in places}
-            if self.old:  # what is still in use comes along
-                self.known.update((w, x) for w in new if (x := self.old.get(w)) is not None)
-                new.difference_update(self.known)
-            self.learn(new)
-            for ids, places in lost:
-                for i, w in places:
-                    ids[i] = self.known[w]
-        return [b"".join(ids) for ids in found]
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.old.get(word)) is None:
+            ids = self.learn(word)
+        self[word] = ids
+        return ids
+
+    def learn(self, word: bytes) -> bytes:
+        """A word that is one run of lower-case letters is the model's input as it stands; others take the whole way."""
+        packed = self.packed
+        if word.isalpha() and word.islower():
+            return b"".join([packed[x.id] for x in self.split(word.decode())])
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and text == text.lower() and is_normalized("NFC", text) and "\ufffd" not in text:
+            return b"".join([packed[x.id] for x in self.split(word.decode("latin-1").translate(_BYTE_LETTERS))])
+        return b"".join([packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def of(self, words: list[bytes]) -> bytes:
+        if len(self) > self.remembered // 2:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
 
 
 _LETTER = np.zeros(256, bool)
@@ -120,16 +108,14 @@ def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
 def _cut(path: str, capacity: int, end: int, keep: bool, remembered: int = REMEMBERED):
     size, last = 4 * capacity, np.uint32(end).tobytes()
 
-    def short(texts: list[list[bytes]]) -> Iterator[list[bytes]]:
-        """The pieces of texts, whose words are looked up together."""
-        for ids in word_ids(path, remembered)(texts):
-            whole = ids + last
-            yield [whole[at : at + size] for at in range(0, len(whole), size)]
+    def short(words: list[bytes]) -> list[bytes]:
+        whole = word_ids(path, remembered).of(words) + last
+        return [whole[at : at + size] for at in range(0, len(whole), size)]
 
     def long(text: bytes) -> Iterator[bytes]:
         held = b""
         for words in words_of(text):
-            held += word_ids(path, remembered)([words])[0]
+            held += word_ids(path, remembered).of(words)
             cut = len(held) - len(held) % size
             yield from (held[at : at + size] for at in range(0, cut, size))
             held = held[cut:]
@@ -146,20 +132,13 @@ def _cut(path: str, capacity: int, end: int, keep: bool, remembered: int = REMEM
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(at, TOGETHER)
-                ids, texts, rows = [], [], []
+                rows = []
                 for d, x in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                     text = x.as_py()
-                    if len(text) > CHUNK // 2:
-                        for row in numbered(d, long(text)):
-                            rows.append(row)
-                            if len(rows) >= 10 * TOGETHER:
-                                yield told(rows)
-                                rows = []
-                    else:
-                        ids.append(d)
-                        texts.append(next(words_of(text)))
-                for d, parts in zip(ids, short(texts), strict=True):
-                    rows += numbered(d, parts)
+                    rows += numbered(d, short(next(words_of(text))) if len(text) <= CHUNK // 2 else long(text))
+                    if len(rows) >= 10 * TOGETHER:
+                        yield told(rows)
+                        rows = []
                 if rows:
                     yield told(rows)
 
