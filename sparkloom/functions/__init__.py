@@ -1 +1,11 @@
 """Scalar functions as Column expressions; pandas UDFs only where SQL has no such function."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def named(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")

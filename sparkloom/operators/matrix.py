@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.errors import InvalidRequest, OutOfBounds
+from sparkloom.functions import named
 from sparkloom.functions.vectors import doubles
 
 NARROW = 4
@@ -22,7 +23,7 @@ FEATURES = "features"
 
 def features(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:
     keep = [row_id] if row_id in df.columns else []
-    return df.select(*keep, F.array(*(F.col(c).cast("double") for c in columns)).alias(FEATURES))
+    return df.select(*keep, F.array(*(named(c).cast("double") for c in columns)).alias(FEATURES))
 
 
 def width(x: DataFrame) -> int:

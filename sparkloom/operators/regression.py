@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.errors import InvalidRequest, OutOfBounds
+from sparkloom.functions import named
 from sparkloom.functions.distributions import f_cdf, normal_cdf, normal_quantile, t_cdf, t_quantile
 from sparkloom.operators.decompose import tsqr
 from sparkloom.operators.linalg import lbfgs
@@ -40,11 +41,11 @@ class OLS:
     n: int
 
     def estimate(self) -> Column:
-        return _linear([F.col(c).cast("double") for c in self.x], self.beta)
+        return _linear([named(c).cast("double") for c in self.x], self.beta)
 
 
 def _rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cells = [F.col(c).cast("double") for c in columns]
+    cells = [named(c).cast("double") for c in columns]
     return df.select(F.array(*(F.coalesce(c, F.raise_error(F.lit("null in a regression")).cast("double")) for c in cells)).alias(FEATURES))
 
 
@@ -58,7 +59,7 @@ def ols(df: DataFrame, y: str, x: Sequence[str], worst: float = 1e10) -> OLS:
     scale = np.where(sd[1:] > 0, sd[1:], 1)
     own = g[1:, 1:] / np.outer(scale, scale)
     if np.linalg.cond(own) > worst:
-        shifted = df.select(F.lit(0).cast("long").alias("row_id"), F.array(*((F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(x, mean[1:], scale, strict=True)), F.col(y).cast("double") - float(mean[0])).alias(FEATURES))
+        shifted = df.select(F.lit(0).cast("long").alias("row_id"), F.array(*((named(c).cast("double") - float(m)) / float(s) for c, m, s in zip(x, mean[1:], scale, strict=True)), named(y).cast("double") - float(mean[0])).alias(FEATURES))
         r = tsqr(shifted)[1]
         slope = np.linalg.lstsq(r[:-1, :-1], r[:-1, -1], rcond=1e-12)[0] / scale
     else:
@@ -100,7 +101,7 @@ class OLSSummary:
 
 def ols_summary(model: OLS, df: DataFrame, level: float = 0.95) -> OLSSummary:
     """p-values are two-sided, intervals by t quantiles. log_likelihood takes the variance SSE / df, _ml SSE / n."""
-    y = F.col(model.y).cast("double")
+    y = named(model.y).cast("double")
     mean = df.agg(F.avg(y)).first()[0]
     fit = model.estimate()
     sse, ssr, sst = df.agg(F.sum((y - fit) ** 2), F.sum((fit - mean) ** 2), F.sum((y - mean) ** 2)).first()
@@ -133,12 +134,12 @@ class Binary:
     history: list[float] = field(default_factory=list)
 
     def predict(self) -> Column:
-        return 1 / (1 + F.exp(-_linear([F.col(c).cast("double") for c in self.x], self.beta)))
+        return 1 / (1 + F.exp(-_linear([named(c).cast("double") for c in self.x], self.beta)))
 
 
 def _labelled(df: DataFrame, label: str, positive: object, x: Sequence[str]) -> DataFrame:
-    y = F.when(F.col(label) == F.lit(positive), 1.0).otherwise(0.0)
-    return df.select(F.array(y, *(F.col(c).cast("double") for c in x)).alias(FEATURES))
+    y = F.when(named(label) == F.lit(positive), 1.0).otherwise(0.0)
+    return df.select(F.array(y, *(named(c).cast("double") for c in x)).alias(FEATURES))
 
 
 def _design(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +222,7 @@ class BinarySummary:
 def logistic_summary(model: Binary, df: DataFrame, level: float = 0.95) -> BinarySummary:
     """Counts and losses are one aggregation in SQL, the Fisher information one block pass."""
     p = len(model.x) + 1
-    y = F.when(F.col(model.label) == F.lit(model.positive), 1.0).otherwise(0.0)
+    y = F.when(named(model.label) == F.lit(model.positive), 1.0).otherwise(0.0)
     mu, base = model.predict(), 1 / (1 + math.exp(-float(np.clip(model.beta[0], -700, 700))))
     said = F.when(mu >= 0.5, 1.0).otherwise(0.0)
     count = lambda a, b: F.sum(F.when((y == a) & (said == b), 1).otherwise(0)).cast("long")
@@ -254,7 +255,7 @@ class Multinomial:
     n: int
 
     def scores(self) -> list[Column]:
-        return [_linear([F.col(c).cast("double") for c in self.x], b) for b in self.beta]
+        return [_linear([named(c).cast("double") for c in self.x], b) for b in self.beta]
 
     def predict(self) -> Column:
         """An array of (probability, class), best first."""
@@ -272,8 +273,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _classed(df: DataFrame, label: str, classes: Sequence, x: Sequence[str]) -> DataFrame:
-    y = F.array_position(F.array(*map(F.lit, classes)), F.col(label)).cast("double") - 1
-    return df.select(F.array(y, *(F.col(c).cast("double") for c in x)).alias(FEATURES))
+    y = F.array_position(F.array(*map(F.lit, classes)), named(label)).cast("double") - 1
+    return df.select(F.array(y, *(named(c).cast("double") for c in x)).alias(FEATURES))
 
 
 def multinomial(df: DataFrame, label: str, x: Sequence[str], memory: int = 8, iterations: int = 100, tolerance: float = 1e-4) -> Multinomial:
@@ -281,7 +282,7 @@ def multinomial(df: DataFrame, label: str, x: Sequence[str], memory: int = 8, it
 
     Columns are standardised inside, which changes the path but not the optimum; the blocks' sum stays zero.
     """
-    classes = [r[0] for r in df.select(label).distinct().orderBy(label).limit(1001).collect()]
+    classes = [r[0] for r in df.select(named(label).alias("c")).distinct().orderBy("c").limit(1001).collect()]
     if not 2 <= len(classes) <= 1000 or None in classes:
         raise InvalidRequest(f"{len(classes)} classes")
     rows = _classed(df, label, classes, x).cache()

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.errors import InvalidRequest, NotFound, NullValue, OutOfBounds
+from sparkloom.functions import named
 from sparkloom.functions.casts import NAMES, cast
 from sparkloom.sources.delimited import ROW_ID, with_row_id
 
@@ -60,7 +61,7 @@ class Table:
         raise NotFound(column)
 
     def __getitem__(self, column: str | int) -> Column:
-        return self.df[f"`{self.name(column)}`"]
+        return self.df["`" + self.name(column).replace("`", "``") + "`"]
 
     def kind(self, column: str | int) -> str:
         return NAMES.get(self.df.schema[self.name(column)].dataType.simpleString(), self.df.schema[self.name(column)].dataType.simpleString())
@@ -82,7 +83,7 @@ class Table:
         return f"column_{i}"
 
     def _with(self, df: DataFrame, names: Sequence[str]) -> Table:
-        return Table(df.select(self.row_id, *(F.col(f"`{n}`") for n in names)), self.row_id)
+        return Table(df.select(self.row_id, *map(named, names)), self.row_id)
 
     def _insert(self, df: DataFrame, name: str, offset: int | None) -> Table:
         at = self.column_count if offset is None else offset
@@ -228,7 +229,7 @@ def factorized(df: DataFrame, column: str, order: str, code: str = "code") -> Da
     One aggregation over the rows; only distinct values are ranked. Ranking has no key to be dealt by, so
     values are ranked within ranges of their first appearance, and ranges are shifted by what comes before.
     """
-    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("__first"))
+    first = df.where(named(column).isNotNull()).groupBy(named(column).alias(column)).agg(F.min(named(order)).alias("__first"))
     cuts = sorted(set(first.approxQuantile("__first", [i / RANGES for i in range(1, RANGES)], 0.01)))
     part = sum((F.when(F.col("__first") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     ranges = first.withColumn("__part", part)
@@ -237,6 +238,6 @@ def factorized(df: DataFrame, column: str, order: str, code: str = "code") -> Da
         shift += [F.lit(p), F.lit(at).cast("bigint")]
         at += n
     if not shift:
-        return first.select(column, F.lit(0).cast("bigint").alias(code)).limit(0)
-    rank = F.row_number().over(W.partitionBy("__part").orderBy("__first", column)) - 1
-    return ranges.select(column, (rank + F.element_at(F.create_map(*shift), F.col("__part"))).cast("bigint").alias(code))
+        return first.select(named(column), F.lit(0).cast("bigint").alias(code)).limit(0)
+    rank = F.row_number().over(W.partitionBy("__part").orderBy("__first", named(column))) - 1
+    return ranges.select(named(column), (rank + F.element_at(F.create_map(*shift), F.col("__part"))).cast("bigint").alias(code))

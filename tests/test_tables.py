@@ -133,3 +133,14 @@ def test_containers(spark):
     assert [r.v for r in containers.ordered(df, "v").collect()] == [1, 2, 2, 3, 9]
     with pytest.raises(InvalidRequest):
         containers.smallest(df, -1, "v")
+
+
+def test_names_with_dots(spark):
+    from sparkloom.operators.regression import multinomial, ols
+
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), "ab"[i % 2]) for i in range(60)], "row_id long, `x.a` double, `x.b` double, `the.label` string")
+    u = Table(df).factorize("the.label", "label", 0).remove_column("the.label")
+    assert u.names == ["label", "x.a", "x.b"]
+    assert multinomial(u.df, "label", ["x.a", "x.b"]).n == 60
+    assert abs(ols(u.df, "x.a", ["x.b"]).beta).max() < 10
+    assert u.to_matrix(["x.a"]).count() == 60
