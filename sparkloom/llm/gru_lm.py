@@ -28,7 +28,7 @@ VOCABULARY, CLASS, WIDTH = 4096, 64, 24
 COMMON = 300_000
 UNKNOWN, END = 0, 1
 #: One training document in SHARE fits the network, in ROUNDS rounds; MB of input for each shard.
-SHARE, ROUNDS, SHARD_MB = 16, 4, 16
+SHARE, ROUNDS, SHARD_MB = 10, 4, 16
 WINDOW, LANES, RATE = 32, 16, 0.12
 FOLDS, HELD_OUT = 7, 2
 #: Lanes of a scoring batch, its tokens, and states that meet the softmax together; words after which training starts a document's state afresh.
