@@ -24,6 +24,10 @@ from sparkloom.operators.matrix import FEATURES, block_sum, gram, moments, rows_
 from sparkloom.operators.summary import SummaryTable
 
 
+#: Cells (rows x columns) that the driver takes in at most instead of a job a pass.
+LOCAL = 1_000_000
+
+
 def _linear(columns: Sequence[Column], beta: np.ndarray) -> Column:
     out = F.lit(float(beta[0]))
     for c, b in zip(columns, beta[1:], strict=True):
@@ -259,12 +263,19 @@ class Multinomial:
 
     def predict(self) -> Column:
         """An array of (probability, class), best first."""
-        scores = self.scores()
-        most = F.greatest(*scores)
-        shares = [F.exp(s - most) for s in scores]
-        total = sum(shares[1:], shares[0])
-        each = [F.struct((-s / total).alias("minus"), F.lit(i).alias("place"), (s / total).alias("probability"), F.lit(c).alias("class")) for i, (s, c) in enumerate(zip(shares, self.classes, strict=True))]
-        return F.transform(F.array_sort(F.array(*each)), lambda e: F.struct(e["probability"].alias("probability"), e["class"].alias("class")))
+        classes = F.array(*map(F.lit, self.classes))
+
+        def ranked(e: Column, total: Column) -> Column:
+            each = F.transform(e, lambda v, i: F.struct((-v / total).alias("minus"), i.alias("place"), (v / total).alias("probability"), F.element_at(classes, i + 1).alias("class")))
+            return F.transform(F.array_sort(each), lambda x: F.struct(x["probability"].alias("probability"), x["class"].alias("class")))
+
+        shares = lambda s: _bound(F.transform(s, lambda v: F.exp(v - F.array_max(s))), lambda e: _bound(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda t: ranked(e, t)))
+        return _bound(F.array(*self.scores()), shares)
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -289,6 +300,8 @@ def multinomial(df: DataFrame, label: str, x: Sequence[str], memory: int = 8, it
     try:
         k, p = len(classes), len(x) + 1
         n, mean, sd = moments(rows, p)
+        # some hundred passes: over few rows they are quicker here than as jobs
+        local = rows.toArrow().to_batches() if n * p <= LOCAL else None
         shift, scale = np.concatenate([[0], mean[1:]]), np.concatenate([[1], np.where(sd[1:] > 0, sd[1:], 1)])
 
         def evaluate(flat: np.ndarray) -> tuple[float, np.ndarray]:
@@ -306,7 +319,7 @@ def multinomial(df: DataFrame, label: str, x: Sequence[str], memory: int = 8, it
                 out[:k] = share.T @ d
                 return out
 
-            sums = block_sum(rows, kernel, (k + 1, p)) / n
+            sums = (block_sum(rows, kernel, (k + 1, p)) if local is None else sum(map(kernel, local))) / n
             return float(sums[k, 0]), sums[:k].ravel()
 
         flat, loss, converged = lbfgs(evaluate, np.zeros(k * p), memory, iterations, tolerance)

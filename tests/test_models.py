@@ -171,7 +171,9 @@ def test_logistic(spark, simulated):
     assert "separated" in str(regression.logistic_summary(m, apart))
 
 
-def test_multinomial(spark, simulated):
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_multinomial(spark, simulated, monkeypatch, local):
+    monkeypatch.setattr(regression, "LOCAL", local)
     m = regression.multinomial(simulated, "g", ["x1", "x2"], tolerance=1e-6)
     assert m.converged
     assert np.allclose(m.beta.sum(axis=0), 0, atol=1e-8)
