@@ -15,19 +15,22 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import binary, fmix, hashed, trimmed, word_chunks
 
 #: Labelled rows that the classifier is fitted on at most; bits of a feature's index.
-SAMPLE, BITS = 8000, 20
+SAMPLE, BITS = 12_000, 20
+#: What a feature counts, by its kind (two bits of the index): a word, and pairs that skip none, one or two words.
+VALUES = np.array([1.0, 0.3, 0.3, 0.3])
+_KIND = BITS - 2
 FOLDS, HELD_OUT = 5, 0
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _grams(h: np.ndarray, fresh: int) -> list[np.ndarray]:
     """Indices of words, word pairs and pairs that skip one or two words, of those that end among the last `fresh` words."""
-    shift, n = np.uint64(64 - BITS), len(h)
+    shift, n = np.uint64(64 - _KIND), len(h)
     out = [fmix(h[n - fresh :]) >> shift]
     for gap in (1, 2, 3):
         a = max(0, n - fresh - gap)
         if n > a + gap:
-            out.append(fmix(h[a : n - gap] * _A + h[a + gap :] * _B + np.uint64(gap)) >> shift)
+            out.append((fmix(h[a : n - gap] * _A + h[a + gap :] * _B + np.uint64(gap)) >> shift) + np.uint64(gap << _KIND))
     return out
 
 
@@ -42,7 +45,7 @@ def features(text: bytes) -> Iterator[np.ndarray]:
 
 
 class Ftrl:
-    """FTRL-proximal: a rate for each coordinate, L1 and L2; features are there or not. Label 1, the rarer, counts `rise` times."""
+    """FTRL-proximal: a rate for each coordinate, L1 and L2. Label 1, the rarer, counts `rise` times."""
 
     def __init__(self, size: int, alpha: float = 2.5, beta: float = 1.0, l1: float = 16.0, l2: float = 0.01, rise: float = 3.0):
         self.alpha, self.beta, self.l1, self.l2, self.rise = alpha, beta, l1, l2, rise
@@ -52,11 +55,10 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def learn(self, at: np.ndarray, y: int) -> None:
+    def learn(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-        if y:
-            g *= self.rise
+        g = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y
+        g = g * (self.rise if y else 1) * x
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -84,10 +86,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     order = sorted(range(len(rows["at"])), key=lambda i: (rows["doc_id"][i] * 0x9E3779B97F4A7C15 % (1 << 64), rows["at"][i]))  # the same however rows come
     for _ in range(epochs):
         for i in order:
-            model.learn(np.append(np.frombuffer(rows["at"][i], np.int32), size), rows["y"][i])
+            at = np.frombuffer(rows["at"][i], np.int32)
+            model.learn(np.append(at, size), np.append(VALUES[at >> _KIND], 1.0), rows["y"][i])
     w = model.weights(slice(None))
     at = np.flatnonzero(w[:size])
-    return at, w[at].astype(np.float32), float(w[size])
+    return at, (w[at] * VALUES[at >> _KIND]).astype(np.float32), float(w[size])
 
 
 def held_out(column: str = "doc_id") -> F.Column:
