@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def session(app: str = "sparkloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -13,3 +20,18 @@ def session(app: str = "sparkloom", master: str | None = None, **conf: str) -> S
     for key, value in (fixed | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, unless their Python finds it anyway."""
+    package = Path(__file__).resolve().parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED or str(package.parent) in map(os.path.realpath, filter(None, known)):
+        return
+    path = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(application)
