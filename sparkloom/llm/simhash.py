@@ -8,7 +8,8 @@ probe the values within their thresholds, and what meets is verified by its full
 
 Fingerprints of 64 bits are majorities over the shingles' hashes. Wider ones are signs of random projections of the set
 of shingles; they tell a shingle similarity of 0.8 from 0.7, which 64 bits can't. Such a radius is too wide for a
-guarantee to be worth its candidates, so parts are then as many as find a pair at the radius with 95 % or more each.
+guarantee to be worth its candidates, so parts are then as many as find a pair at the radius with 95 % or more each; what
+doesn't fit the width side by side overlaps.
 
 Equal fingerprints are one node from the start. A value that very many nodes share is salted: nodes within the radius
 of its most copied fingerprint, its pivot, are linked to that and need no comparison among each other; only the others
@@ -32,6 +33,8 @@ from sparkloom.llm.components import components
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Nodes under one value of a part beyond which it is salted, and values at most that are: those with over a share of all.
 CROWD, HOT_VALUES = 4096, 50_000
+#: Parts beyond which each is asked for its own value only: trading thresholds takes time and memory by the square of the parts.
+MANY = 40
 #: Bits by which values are counted for the estimates.
 FOLD = 12
 #: Costs of a probing row and of a verified candidate, in microseconds.
@@ -176,6 +179,8 @@ class Plan:
     def thresholds(self, values: list[np.ndarray]) -> np.ndarray:
         """For each row the thresholds of least cost whose sum is total, by dynamic programming over the parts."""
         n, m, most = len(values[0]), len(self.parts), self.most
+        if m > MANY and self.total == 0:
+            return np.zeros((m, n), np.int64)
         costs = np.zeros((m, most + 2, n))  # of thresholds -1, 0, 1, ...
         for i, v in enumerate(values):
             thin = 2.0 ** max(0, len(self.parts[i]) - FOLD)
@@ -216,10 +221,23 @@ def _choose(n: int, radius: int) -> int:
 
 
 def _wide_parts(n: int, radius: int, width: int) -> tuple[int, int]:
-    """Parts and bits of each: a value has a few dozen rows, and some part is equal in 95 % of pairs at the radius."""
-    w = max(10, int(np.ceil(np.log2(max(n, 1) / 64 + 1))))
-    equal = (1 - radius / width) ** w
-    return min(int(np.ceil(np.log(0.05) / np.log1p(-equal))), width // w), w
+    """Parts and bits of each: a value has a few dozen rows, and some part is equal in 95 % of pairs at the radius, for every n."""
+    w = min(max(10, int(np.ceil(np.log2(max(n, 1) / 64 + 1)))), width - radius)
+    equal = np.prod([(width - radius - i) / (width - i) for i in range(w)])
+    return int(np.ceil(np.log(0.05) / np.log1p(-equal))), w
+
+
+def more_parts(m: int, w: int, width: int) -> list[list[int]]:
+    """m parts of w bits: random orders of all bits are cut, so that parts of one order are disjoint and those of several overlap.
+
+    A pair's differing bits leave each part free with the same chance, and parts of an order rather others than each
+    other: m parts find as many pairs as independent ones, or more.
+    """
+    rng, parts = np.random.default_rng(29), []
+    while len(parts) < m:
+        order = rng.permutation(width)
+        parts += [sorted(order[i : i + w].tolist()) for i in range(0, width // w * w, w)]
+    return parts[:m]
 
 
 def _counted(nodes: DataFrame, plan: Plan) -> None:
@@ -388,7 +406,9 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, width: int = 64, parts: i
         plan = Plan(_parts(nodes, m, 64), radius - m + 1, radius)
     else:
         m, w = _wide_parts(n, radius, width)
-        plan = Plan(_parts(nodes, m, m * w), 0, radius)
+        first = min(m, width // w)
+        parts_of = _parts(nodes, first, first * w) + more_parts(m - first, w, width)
+        plan = Plan(parts_of, 0, radius)
     _counted(nodes, plan)
     _crowded(nodes, plan, n)
     placed = nodes.select("fp", "node").mapInArrow(trimmed(_placed(plan)), "part int, value long, salt int, fp binary, node long")

@@ -108,6 +108,36 @@ def test_one_of_each_by_similarity(spark, words):
     assert kept == sorted([*want, 500])
 
 
+@pytest.mark.parametrize("n", [10_000, 10_000_000, 1_000_000_000])
+def test_wide_parts_find_pairs_at_every_size(n):
+    """Pairs that differ in just the radius: some part is equal in 95 %, whatever n."""
+    radius = S.bits_apart(0.8)
+    m, w = S._wide_parts(n, radius, S.WIDE)
+    rng = np.random.default_rng(n)
+    differs = np.zeros((2000, S.WIDE), bool)
+    for row in differs:
+        row[rng.choice(S.WIDE, radius, replace=False)] = True
+    parts = S.more_parts(m, w, S.WIDE)
+    assert len(parts) == m
+    assert all(len(set(p)) == w for p in parts)
+    found = np.zeros(len(differs), bool)
+    for p in parts:
+        found |= ~differs[:, p].any(axis=1)
+    assert found.mean() > 0.935
+
+
+def test_overlapping_parts_link(spark, monkeypatch):
+    monkeypatch.setattr(S, "_wide_parts", lambda *a: (60, 16))
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (200, S.WIDE)).astype(np.uint8)
+    near = bits.copy()
+    for row in near:
+        row[rng.choice(S.WIDE, 40, replace=False)] ^= 1
+    rows = [(np.packbits(b).tobytes(), i, 1) for i, b in enumerate([*bits, *near])]
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in S.near_pairs(spark.createDataFrame(rows, "fp binary, node long, copies long"), 87, S.WIDE).collect()}
+    assert got == {(i, i + 200) for i in range(200)}
+
+
 def test_nothing(spark, empty):
     assert S.simhash_components(empty).count() == 0
     assert S.one_of_each(empty).count() == 0
