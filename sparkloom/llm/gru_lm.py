@@ -1,8 +1,8 @@
 """LM scoring by a gated recurrent language model: truncated backpropagation in numpy, class-factored softmax.
 
 Word counts, the vocabulary, the classes and the open-vocabulary tail come from all training documents. The network is
-fitted on a share of them that hash picks, the same at every size, in shards: each starts from the common parameters,
-and what the shards learned is averaged after every round. Scoring runs over whole documents: the state is carried
+fitted on all of them too, each once, in shards: each starts from the common parameters, and what the shards learned is
+averaged after every round. Scoring runs over whole documents: the state is carried
 from window to window, so the score is the complete document's log-likelihood.
 """
 
@@ -27,8 +27,8 @@ VOCABULARY, CLASS, WIDTH = 4096, 64, 24
 #: Words whose counts every task knows; rarer ones are looked up by a join.
 COMMON = 300_000
 UNKNOWN, END = 0, 1
-#: One training document in SHARE fits the network, in ROUNDS rounds; MB of input for each shard.
-SHARE, ROUNDS, SHARD_MB = 10, 4, 16
+#: One training document in SHARE fits the network: every one. ROUNDS they are dealt to; MB of input for each shard.
+SHARE, ROUNDS, SHARD_MB = 1, 4, 16
 WINDOW, LANES, RATE = 32, 16, 0.12
 FOLDS, HELD_OUT = 7, 2
 #: Lanes of a scoring batch, its tokens, and states that meet the softmax together; words after which training starts a document's state afresh.
@@ -315,26 +315,32 @@ def _summed(group: pa.Table) -> pa.Table:
     return pa.table({"part": group["part"].slice(0, 1), "weight": pa.array([sum(group["weight"].to_pylist())]), "data": pa.array([data.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, lex: Lexicon) -> Gru:
-    """Averaged shards; docs are training rows as bytes."""
-    spark, model = docs.sparkSession, Gru.fresh(lex.mass)
-    shards = max(1, input_bytes(docs) // (SHARD_MB << 20))
-    sent = spark.sparkContext.broadcast(lex)
+def lessons(docs: DataFrame, lex: Lexicon, shards: int) -> DataFrame:
+    """pick (a shard's round) and ids of every row of docs, as a written table."""
+    sent = docs.sparkSession.sparkContext.broadcast(lex)
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {w: i for i, w in enumerate(sent.value.words[: sent.value.own])}
         for batch in batches:
             ids = [np.append(np.concatenate([np.zeros(0, np.int16), *(sent.value.ids(_numbered(w, index, len(w))) for w in word_chunks(x.as_py().lower()))]), END).astype(np.int16).tobytes() for x in batch["text"]]
             yield pa.record_batch([batch["pick"], pa.array(ids, pa.binary())], names=["pick", "ids"])
 
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(SHARE * shards * ROUNDS))
+    # by text too: rows of one id, or of none, are dealt apart
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(SHARE * shards * ROUNDS))
     some = docs.select(pick.alias("pick"), "text").where(F.col("pick") < shards * ROUNDS)
-    sample = written(some.mapInArrow(trimmed(chosen), "pick long, ids binary"))
+    return written(some.mapInArrow(trimmed(numbered), "pick long, ids binary"))
+
+
+def fit(docs: DataFrame, lex: Lexicon) -> Gru:
+    """Averaged shards; docs are training rows as bytes, and all of them are learned from."""
+    spark, model = docs.sparkSession, Gru.fresh(lex.mass)
+    shards = max(1, input_bytes(docs) // (SHARD_MB << 20))
+    dealt = lessons(docs, lex, shards)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
 
         shape = "part int, weight double, data binary"
-        learned = sample.where(F.col("pick") % ROUNDS == turn).repartition(shards, "pick").groupBy("pick").applyInArrow(_learner(start), shape)
+        learned = dealt.where(F.col("pick") % ROUNDS == turn).repartition(shards, "pick").groupBy("pick").applyInArrow(_learner(start), shape)
         some = learned.withColumn("salt", F.floor(F.rand(1) * max(1, int(shards**0.5)))).groupBy("part", "salt")
         halves = some.applyInArrow(_summed, shape)
         parts = halves.groupBy("part").applyInArrow(_summed, shape).toArrow().sort_by("part").to_pylist()

@@ -81,6 +81,15 @@ def test_language_model(spark, languages, empty, monkeypatch):
     assert gru_lm.lm_scores(empty).count() == 0
 
 
+def test_every_training_row_is_learned_from(spark, languages):
+    docs = gru_lm.binary(spark.createDataFrame([*enumerate(languages), (None, "ka lo"), (None, None), (5, "")], "doc_id long, text string"))
+    lex = gru_lm.lexicon(gru_lm.word_counts(docs))
+    got = gru_lm.lessons(docs, lex, 3).collect()
+    assert len(got) == len(languages) + 3
+    assert sum(len(r.ids) // 2 for r in got) == lex.total
+    assert {r.pick for r in got} == set(range(3 * gru_lm.ROUNDS))
+
+
 def _network():
     rng = np.random.default_rng(2)
     model = gru_lm.Gru.fresh(rng.uniform(1, 5, gru_lm.VOCABULARY))
