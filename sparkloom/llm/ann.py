@@ -5,8 +5,8 @@ query descends in all trees to the vectors that share its longest prefixes, and
 at a time, until those that share a prefix of that length are enough; they are ranked by their exact inner products.
 
 The sorted array of a tree is cut into segments of bounded size, by counts of short prefixes, so that segments are
-searched apart; a prefix that very many vectors share is cut by hash. Each query goes to the segments that hold its
-prefix. For inner products, vectors are hashed with one more component that makes all norms equal.
+searched apart; a prefix that very many vectors share is counted and cut by its further bits, and by hash only where all
+bits are the same. Each query goes to all segments that hold its prefix. For inner products, vectors are hashed with one more component that makes all norms equal.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import written
 
 TREES, BITS, COUNTED = 32, 30, 12
+#: Bits by which the prefixes of crowded cells are counted further.
+MORE = 6
 #: Candidates, counted in every tree that has them, that a query asks for: FACTOR x N ^ POWER.
 FACTOR, POWER = 18.0, 0.7
 #: Vectors of a segment.
@@ -39,7 +41,10 @@ class Forest:
     def __init__(self, dim: int, longest: float, trees: int, n: int, factor: float):
         self.dim, self.longest, self.trees, self.n = dim, longest, trees, n
         self.ask = factor * max(n, 1) ** POWER
-        self.counts = np.zeros((trees, 1 << COUNTED), np.int64)
+        #: Cells of each tree in order: their least key, the bits of their prefix, and their vectors.
+        self.starts = [np.arange(1 << COUNTED, dtype=np.int64) << (BITS - COUNTED) for _ in range(trees)]
+        self.bits = [np.full(1 << COUNTED, COUNTED) for _ in range(trees)]
+        self.counts = [np.zeros(1 << COUNTED, np.int64) for _ in range(trees)]
 
     def planes(self) -> np.ndarray:
         return np.random.default_rng(11).normal(size=(self.dim + 1, self.trees * BITS)).astype(np.float32)
@@ -58,28 +63,51 @@ class Forest:
             out[at : at + 4096] = part.reshape(len(part), self.trees, BITS).astype(np.float32) @ bits.astype(np.float32) if BITS <= 24 else part.reshape(len(part), self.trees, BITS).astype(np.float64) @ bits.astype(np.float64)
         return out
 
+    def crowded(self, bits: int) -> list[np.ndarray]:
+        """Of each tree, where the cells of so many bits are that hold too many vectors."""
+        return [np.flatnonzero((b == bits) & (n > SEGMENT)) for b, n in zip(self.bits, self.counts, strict=True)]
+
+    def split(self, t: int, hot: np.ndarray, bits: int, low: np.ndarray, n: np.ndarray) -> None:
+        """Cells hot of tree t give way to those of `bits` bits, of which those from low on hold n."""
+        step = 1 << (BITS - bits)
+        span = 1 << (bits - int(self.bits[t][hot[0]]))
+        new = (self.starts[t][hot][:, None] + np.arange(span) * step).ravel()
+        held = np.zeros(len(new), np.int64)
+        held[np.searchsorted(new, low)] = n
+        starts = np.concatenate([np.delete(self.starts[t], hot), new])
+        order = np.argsort(starts)
+        self.starts[t] = starts[order]
+        self.bits[t] = np.concatenate([np.delete(self.bits[t], hot), np.full(len(new), bits)])[order]
+        self.counts[t] = np.concatenate([np.delete(self.counts[t], hot), held])[order]
+
     def cut(self) -> None:
-        """Segments of each tree: the first of each cell, and how many a crowded cell has."""
-        self.first, self.salts = np.zeros(self.counts.shape, np.int64), np.maximum(-(-self.counts // SEGMENT), 1)
+        """Segments of each tree: the first of each cell, and how many a cell has that is crowded to its last bit."""
+        self.salts = [np.maximum(-(-n // SEGMENT), 1) for n in self.counts]
+        self.first, self.upto = [], [np.append(0, np.cumsum(n)) for n in self.counts]
         for t in range(self.trees):
-            segment, held = 0, 0
+            segment, held, first = 0, 0, np.zeros(len(self.counts[t]), np.int64)
             for c, n in enumerate(self.counts[t].tolist()):
                 if held and held + n > SEGMENT:
                     segment, held = segment + 1, 0
-                self.first[t, c] = segment
+                first[c] = segment
                 held += n
-                if self.salts[t, c] > 1:
-                    segment, held = segment + self.salts[t, c], 0
-        sums = np.concatenate([np.zeros((self.trees, 1), np.int64), np.cumsum(self.counts, axis=1)], axis=1)
-        self.upto = sums
+                if self.salts[t][c] > 1:
+                    segment, held = segment + self.salts[t][c], 0
+            self.first.append(first)
+
+    def cells(self, t: int, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts[t], keys, "right") - 1
 
     def depths(self, keys: np.ndarray) -> np.ndarray:
-        """Ascending in all trees at once: the longest prefix that enough candidates share."""
+        """Ascending in all trees at once: the longest prefix that enough candidates share, by trees that count prefixes of that length."""
         depth = np.zeros(len(keys), np.int32)
-        cells, t = keys >> (BITS - COUNTED), np.arange(self.trees)
-        for d in range(1, COUNTED + 1):
-            low = cells >> (COUNTED - d) << (COUNTED - d)
-            n = (self.upto[t, low + (1 << (COUNTED - d))] - self.upto[t, low]).sum(axis=1)
+        for d in range(1, max(int(b.max()) for b in self.bits) + 1):
+            low, n = keys >> (BITS - d) << (BITS - d), np.zeros(len(keys), np.int64)
+            for t in range(self.trees):
+                ends = np.append(self.starts[t], 1 << BITS)
+                a, b = np.searchsorted(ends, low[:, t]), np.searchsorted(ends, low[:, t] + (1 << (BITS - d)))
+                whole = (ends[a] == low[:, t]) & (ends[b] == low[:, t] + (1 << (BITS - d)))
+                n += np.where(whole, self.upto[t][b] - self.upto[t][a], 0)
             depth[n >= self.ask] = d
         return depth
 
@@ -104,10 +132,39 @@ def _counted(rows: DataFrame, forest: Forest) -> None:
         yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
     got = rows.select("embedding").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # trees x cells at most
-    forest.counts.ravel()[got["cell"].to_numpy()] = got["n"].to_numpy()
+    counts = np.zeros(forest.trees * size, np.int64)
+    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
+    forest.counts = list(counts.reshape(forest.trees, size))
+    for bits in range(COUNTED, BITS, MORE):
+        _recounted(rows, forest, bits, min(bits + MORE, BITS))
     forest.cut()
 
 
+def _recounted(rows: DataFrame, forest: Forest, bits: int, more: int) -> None:
+    """Cells of `bits` bits that are crowded are counted by `more` bits."""
+    hot = forest.crowded(bits)
+    if not any(len(h) for h in hot):
+        return
+    lows = [forest.starts[t][h] for t, h in enumerate(hot)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = forest.planes()
+        for batch in batches:
+            keys = forest.keys(_rows(batch["embedding"], forest.dim), planes, False)
+            for t, own in enumerate(lows):
+                if len(own):
+                    key = keys[np.isin(keys[:, t] >> (BITS - bits) << (BITS - bits), own), t]
+                    low, n = np.unique(key >> (BITS - more) << (BITS - more), return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(low), t, np.int32)), pa.array(low), pa.array(n.astype(np.int64))], names=["tree", "low", "n"])
+
+    counted = rows.select("embedding").mapInArrow(run, "tree int, low long, n long").groupBy("tree", "low").agg(F.sum("n").alias("n"))
+    got = counted.toArrow()  # 2^MORE times the crowded cells at most, which are n / SEGMENT a tree at most
+    tree, low, n = (got[c].to_numpy() for c in ("tree", "low", "n"))
+    for t, h in enumerate(hot):
+        if len(h):
+            forest.split(t, h, more, low[tree == t], n[tree == t])
+
+
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -126,24 +183,22 @@ def _entries(forest: Forest):
                     if kind:
                         yield from _asked(keys, ids[own], raw[own])
                         continue
-                    cells = keys >> (BITS - COUNTED)
                     for t in range(forest.trees):
-                        salt = (ids[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % forest.salts[t, cells[:, t]]
-                        yield out(np.full(len(own), t), forest.first[t, cells[:, t]] + salt, keys[:, t], np.full(len(own), -1), ids[own], raw[own])
+                        cells = forest.cells(t, keys[:, t])
+                        salt = (ids[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % forest.salts[t][cells]
+                        yield out(np.full(len(own), t), forest.first[t][cells] + salt, keys[:, t], np.full(len(own), -1), ids[own], raw[own])
 
     def _asked(keys: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
-        depth, cells = forest.depths(keys), keys >> (BITS - COUNTED)
-        span = 1 << (COUNTED - depth)
+        depth = forest.depths(keys)
+        span = np.int64(1) << (BITS - depth).astype(np.int64)
         for t in range(forest.trees):
-            low = cells[:, t] // span * span
-            first, last = forest.first[t, low], forest.first[t, low + span - 1] + forest.salts[t, low + span - 1] - 1
-            # one crowded cell: as many of its segments as hold what the tree is asked for
-            most = np.where(span == 1, -(-4 * forest.ask / forest.trees // SEGMENT) + 1, last - first + 1).astype(np.int64)
-            n = np.minimum(last - first + 1, most)
-            turn = np.where(n < last - first + 1, ids % np.maximum(last - first + 1 - n, 1), 0)
+            low = keys[:, t] // span * span
+            a, b = forest.cells(t, low), forest.cells(t, low + span - 1)
+            first = forest.first[t][a]
+            n = forest.first[t][b] + forest.salts[t][b] - first
             rows = np.repeat(np.arange(len(ids)), n)
             each = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-            yield out(np.full(len(rows), t), (first + turn)[rows] + each, keys[rows, t], depth[rows], ids[rows], raw[rows])
+            yield out(np.full(len(rows), t), first[rows] + each, keys[rows, t], depth[rows], ids[rows], raw[rows])
 
     def out(tree, segment, key, depth, ids, raw):
         return pa.record_batch([pa.array(tree.astype(np.int32)), pa.array(segment.astype(np.int32)), pa.array(key), pa.array(depth.astype(np.int32)), pa.array(ids), pa.array(raw.tolist(), pa.binary())], names=["tree", "segment", "key", "depth", "vec_id", "vector"])

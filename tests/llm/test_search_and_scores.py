@@ -56,6 +56,21 @@ def test_crowded_prefixes_are_cut(spark, monkeypatch):
     assert {(r.query_id, r["count"]) for r in got} == {(i, 20) for i in range(0, 400, 20)}
 
 
+@pytest.mark.parametrize("spread", [0.05, 1e-4])
+def test_recall_in_a_crowded_cell(spark, monkeypatch, spread):
+    """A third of the rows within some degrees, or so close that most share all bits: their queries find their true neighbours."""
+    monkeypatch.setattr(ann, "SEGMENT", 16)
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=6) + rng.normal(size=(700, 6)) * spread, rng.normal(size=(1400, 6))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, ann.by_modulus(20), factor=8).where("query_id < 700").collect()}
+    scores = x[:700:20] @ x.T
+    scores[np.arange(35), np.arange(0, 700, 20)] = -np.inf
+    want = {(20 * i, int(j)) for i, row in enumerate(scores) for j in np.argsort(-row, kind="stable")[:20]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 @pytest.fixture(scope="module")
 def languages():
     """Texts of two languages whose words tell each other."""
