@@ -41,6 +41,8 @@ FOLD = 12
 PROBE, VERIFY = 2.0, 0.01
 #: Bits of a wide fingerprint, dimensions that shingles are hashed to, and the share of bits in which a similarity of 0.8 differs.
 WIDE, HASHED = 512, 2048
+#: Standard deviations of a fingerprint's bits to which rows are compared by their sets, hashing's noise included; rows of a block of those.
+REACH, BLOCK = 4.2, 256
 #: Stands for the doc_id of fingerprints whose rows have none.
 NAMELESS = 1 << 62
 
@@ -95,22 +97,28 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, width: int = WIDE) -> DataFrame:
-    """doc_id and fp, width signs of random projections of the shingle set, of every row; no words: all bits zero."""
+    """doc_id, own (SHA-256 of the text), node (a hash of the shingle set) and fp, width signs of random projections of that set, of every row; no words: all bits zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(17).normal(size=(HASHED, width)).astype(np.float32)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                x = np.zeros((batch.num_rows, HASHED), np.float32)
+                x, node = np.zeros((batch.num_rows, HASHED), np.float32), np.zeros(batch.num_rows, np.int64)
                 for i, text in enumerate(batch["text"]):
                     h = shingles(text.as_py(), shingle)
+                    node[i] = xxhash.xxh64_intdigest(h.tobytes(), SEED) >> 1
                     sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
                     x[i] = np.bincount((h % np.uint64(HASHED)).astype(np.int64), sign, HASHED)
                 fps = np.packbits(x @ planes > 0, axis=1).tobytes()
-                yield pa.record_batch([batch["doc_id"], binary_array(fps, np.arange(batch.num_rows + 1) * (width // 8))], names=["doc_id", "fp"])
+                yield pa.record_batch([batch["doc_id"], batch["own"], pa.array(node), binary_array(fps, np.arange(batch.num_rows + 1) * (width // 8))], names=["doc_id", "own", "node", "fp"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("own"))
+    return binary(own).mapInArrow(trimmed(run), "doc_id long, own binary, node long, fp binary")
 
-    return binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(trimmed(run), "doc_id long, fp binary")
+
+def _digest() -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")), 256))
 
 
 def _fps(column: pa.Array) -> np.ndarray:
@@ -395,12 +403,13 @@ def _verified(radius: int, small: int = 256):
     return run
 
 
-def near_pairs(nodes: DataFrame, radius: int = RADIUS, width: int = 64, parts: int | None = None) -> DataFrame:
+def near_pairs(nodes: DataFrame, radius: int = RADIUS, width: int = 64, parts: int | None = None, reach: int | None = None) -> DataFrame:
     """Links a, b that connect what is within radius bits: nodes has distinct fp (binary), node and copies (longs).
 
-    Fingerprints of 64 bits: every link within the radius. Wider ones: each link with a chance of 95 % or more.
+    Fingerprints of 64 bits: every link within the radius. Wider ones: each link with a chance of 95 % or more, and those
+    up to reach bits as they are met.
     """
-    n = nodes.count()
+    n, reach = nodes.count(), reach or radius
     if width == 64:
         m = parts or _choose(n, radius)
         plan = Plan(_parts(nodes, m, 64), radius - m + 1, radius)
@@ -408,14 +417,14 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, width: int = 64, parts: i
         m, w = _wide_parts(n, radius, width)
         first = min(m, width // w)
         parts_of = _parts(nodes, first, first * w) + more_parts(m - first, w, width)
-        plan = Plan(parts_of, 0, radius)
+        plan = Plan(parts_of, 0, reach)
     _counted(nodes, plan)
     _crowded(nodes, plan, n)
     placed = nodes.select("fp", "node").mapInArrow(trimmed(_placed(plan)), "part int, value long, salt int, fp binary, node long")
     keys = ["part", "value", "salt"]
     # links that are certain meet by their node, not by the value they share
     spread = F.when(F.col("part") < 0, F.col("node")).otherwise(F.xxhash64(*keys)).alias("spread")
-    return placed.withColumn("spread", spread).repartition("spread").sortWithinPartitions(*keys).drop("spread").mapInArrow(trimmed(_verified(radius)), "a long, b long")
+    return placed.withColumn("spread", spread).repartition("spread").sortWithinPartitions(*keys).drop("spread").mapInArrow(trimmed(_verified(reach)), "a long, b long")
 
 
 def _components(rows: DataFrame, radius: int, width: int) -> DataFrame:
@@ -443,15 +452,105 @@ def bits_apart(similarity: float, width: int = WIDE, slack: float = 1.2) -> int:
     return int(width * share + slack * (width * share * (1 - share)) ** 0.5)
 
 
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """own and items, the sorted shingle hashes, of docs (own, text as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch["own"], pa.array([shingles(x.as_py(), shingle).tobytes() for x in batch["text"]], pa.binary())], names=["own", "items"])
+
+    return docs.select("own", "text").mapInArrow(trimmed(run), "own binary, items binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity or more; two empty ones have."""
+    small, large = min(len(a), len(b)), max(len(a), len(b))
+    if small < similarity * large:
+        return False
+    both = small + large - len(np.union1d(a, b))
+    return both >= similarity * (small + large - both)
+
+
+def _to_pivot(similarity: float):
+    """node, pivot and whether they are alike, of rows that have both sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [alike(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity) for a, b in zip(batch["items"], batch["most"], strict=True)]
+            yield pa.record_batch([batch["node"], batch["pivot"], pa.array(near, pa.bool_())], names=["node", "pivot", "near"])
+
+    return run
+
+
+def _compared(similarity: float):
+    """Spanning links between the asking rows of a group and the others; rows that are linked already are not compared."""
+
+    def links(group: pa.Table) -> pa.Table:
+        node, ask = group["node"].to_numpy(), group["ask"].to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["items"]]
+        others, root, out = np.flatnonzero(~ask), {int(n): int(n) for n in node}, []
+
+        def top(n: int) -> int:
+            while root[n] != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        # those that their pivot has linked are one from the start
+        for n, p in zip(node.tolist(), group["pivot"].to_pylist(), strict=True):
+            if p is not None:
+                root.setdefault(p, p)
+                root[top(n)] = top(p)
+        for i in np.flatnonzero(ask).tolist():
+            for j in others.tolist():
+                a, b = top(int(node[i])), top(int(node[j]))
+                if a != b and alike(sets[i], sets[j], similarity):
+                    root[a] = b
+                    out.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return links
+
+
+def verified_links(near: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect what has that Jaccard similarity or more: near (written) has node, root and items, and only rows of one root are compared.
+
+    Roots of over BLOCK nodes have a pivot: nodes that are alike to it are linked to it, and only the others, which
+    open, are compared with all, block by block. So what a group of near copies takes grows with its size.
+    """
+    many = near.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > BLOCK)
+    pivots = written(many.join(near.select(F.col("node").alias("pivot"), F.col("items").alias("most")), "pivot").select("root", "pivot", "most"))
+    told = written(near.join(F.broadcast(pivots), "root").mapInArrow(trimmed(_to_pivot(similarity)), "node long, pivot long, near boolean"))
+    own = near.join(told.where("near").select("node", "pivot"), "node", "left")
+    sizes = own.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count(F.when(F.col("pivot").isNull(), 1)) / BLOCK).alias("opens"))
+    own = own.join(F.broadcast(written(sizes.where("blocks > 1"))), "root", "left").na.fill(1, ["blocks", "opens"])
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = own.where(F.col("pivot").isNull()).select("root", F.pmod(F.xxhash64("node"), F.col("opens")).alias("i"), every("blocks").alias("j"), "node", "pivot", "items", F.lit(True).alias("ask"))
+    has = own.where("opens > 0").select("root", every("opens").alias("i"), block.alias("j"), "node", "pivot", "items", F.lit(False).alias("ask"))
+    open_links = asks.unionByName(has).groupBy("root", "i", "j").applyInArrow(_compared(similarity), "a long, b long")
+    return open_links.unionByName(told.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, whole, that stand for their group of near-duplicates: those whose doc_id is the group's smallest.
+    """The rows of docs, whole, that stand for their group of near-duplicates: the row of the group's smallest doc_id (and text hash).
 
-    Groups are components of documents whose sets of shingles have that Jaccard similarity or more, as wide
-    fingerprints tell it (to about 0.02). Rows that repeat a doc_id are one document, of which one row stays; rows
+    Groups are components of rows whose sets of shingles have that Jaccard similarity or more, computed from the sets
+    themselves (of 64-bit shingle hashes). Wide fingerprints only say which rows are compared: those of components within a
+    wider radius; a pair at the similarity meets there with a chance of 95 % or more. Rows are decided each for
+    itself: rows that repeat a doc_id stay if their texts are of different groups; those of one text are one. Rows
     without a doc_id stay. Texts without words are copies of each other.
     """
     rows = written(wide_fingerprints(docs, shingle))
-    found = rows.join(_components(rows, bits_apart(similarity), WIDE), "fp")
-    kept = written(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    nodes = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.count("*").alias("copies"), F.min("own").alias("own")))
+    reached = written(components(near_pairs(nodes.select("fp", "node", "copies"), bits_apart(similarity), WIDE, reach=bits_apart(similarity, slack=REACH))))
+    texts = binary(docs.select("text", _digest().alias("own")))
+    wanted = nodes.join(reached, "node").select("own", "node", "root")
+    sets = _sets(texts.dropDuplicates(["own"]).join(wanted.select("own"), "own", "left_semi"), shingle)
+    near = written(wanted.join(sets, "own").select("node", "root", "items"))
+    roots = written(components(verified_links(near, similarity)))
+    found = rows.join(roots, "node", "left").select("doc_id", "own", F.coalesce("root", "node").alias("root"))
+    kept = written(found.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("least")).select("least.doc_id", "least.own").distinct())
+    name, digest = "_sparkloom_id", "_sparkloom_own"
+    named = docs.withColumn(name, F.col("doc_id").cast("long")).withColumn(digest, _digest())
+    chosen = named.join(kept.select(F.col("doc_id").alias(name), F.col("own").alias(digest)), [name, digest], "left_semi").dropDuplicates([name, digest]).drop(name, digest)
+    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -138,6 +138,25 @@ def test_overlapping_parts_link(spark, monkeypatch):
     assert got == {(i, i + 200) for i in range(200)}
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_one_of_each_by_exact_similarity(spark, monkeypatch, block):
+    """Pairs of 0.75 to 0.79 both stay; of pairs of 0.81 or more one goes, be the group of one block or many."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(31)
+    rows, want = [], []
+    for g in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        n = (33, 36, 41, 44)[g % 4]  # of 400 shingles these at the end differ: 0.85, 0.83, 0.81 and 0.80
+        far = (52, 50, 48, 46)[g % 4]  # 0.77 to 0.79
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[:-n] + [f"n{i}" for i in range(n)])), (10 * g + 2, " ".join([f"f{g}x{i}" for i in range(far)] + base[far:]))]
+        want += [10 * g, 10 * g + 2]
+    hub = [f"h{rng.randrange(10**6)}" for _ in range(404)]
+    for i in range(40):  # near copies of one
+        rows.append((1000 + i, " ".join(hub[:-10] + [f"c{i}x{j}" for j in range(10)])))
+    got = {r.doc_id for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {*want, 1000}
+
+
 def test_nothing(spark, empty):
     assert S.simhash_components(empty).count() == 0
     assert S.one_of_each(empty).count() == 0
