@@ -157,6 +157,14 @@ def test_one_of_each_by_exact_similarity(spark, monkeypatch, block):
     assert got == {*want, 1000}
 
 
+def test_rows_of_a_repeated_id_are_decided_each(spark, words):
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choice(words) + str(rng.randint(0, 9)) for _ in range(200)) for _ in range(3))
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b), (7, c), (7, b + " too")]
+    got = sorted((r.doc_id, r.text) for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, a), (5, b), (7, c)])
+
+
 def test_nothing(spark, empty):
     assert S.simhash_components(empty).count() == 0
     assert S.one_of_each(empty).count() == 0
