@@ -195,17 +195,32 @@ class Forest:
 
 
 def approximate(x: DataFrame, k: int, trees: int = 10, leaf: int | None = None, seed: int = 42, kind: str = "euclidean", forest: Forest | None = None) -> DataFrame:
-    """Like exact(), by rows that share a leaf of some tree. A leaf with very many rows is dealt in parts by hash."""
+    """Like exact(), by rows that share a leaf of some tree. All rows of a leaf are compared: those of a leaf of over BLOCK rows block by block.
+
+    Of equal rows in such a leaf only the k + 1 smallest row_ids can be neighbours, so that copies don't multiply.
+    """
     own = forest or Forest.fit(x, trees, leaf, seed)
     placed = own.placed(x)
-    sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = placed.join(sizes.select("tree", "leaf", "parts"), ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("row_id", "tree"), F.coalesce("parts", F.lit(1))).cast("int"))
+    key = ["tree", "leaf"]
+    crowded = placed.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*key, F.ceil(F.col("n") / BLOCK).alias("asks"))
+    schema = "row_id long, neighbor long, distance double"
 
     def search(group: pa.Table) -> pa.Table:
         ids, rows = group["row_id"].to_numpy(), rows_of(group.combine_chunks().to_batches()[0])
-        return _told(list(_nearest(rows, ids, rows, ids, k, kind)))
-
-    found = dealt.select("tree", "leaf", "part", "row_id", FEATURES).groupBy("tree", "leaf", "part").applyInArrow(search, "row_id long, neighbor long, distance double")
+        ask, has = (group[c].to_numpy() for c in ("ask", "has"))
+        return _told(list(_nearest(rows[ask], ids[ask], rows[has], ids[has], k, kind)))
+
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0).cast("long")
+    few = placed.join(crowded, key, "left_anti").select(*key, zero.alias("i"), zero.alias("j"), "row_id", FEATURES, yes.alias("ask"), yes.alias("has"))
+    full = placed.join(crowded, key)
+    copy = F.row_number().over(W.partitionBy(*key, FEATURES).orderBy("row_id"))
+    first = full.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
+    blocks = first.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = lambda n: F.pmod(F.xxhash64("row_id", "tree"), F.col(n))
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    asks = full.join(blocks, key).select(*key, dealt("asks").alias("i"), every("blocks").alias("j"), "row_id", FEATURES, yes.alias("ask"), no.alias("has"))
+    has = first.join(blocks, key).select(*key, every("asks").alias("i"), dealt("blocks").alias("j"), "row_id", FEATURES, no.alias("ask"), yes.alias("has"))
+    found = few.unionByName(asks).unionByName(has).groupBy(*key, "i", "j").applyInArrow(search, schema)
     return ranked(found.distinct(), k)
 
 

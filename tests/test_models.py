@@ -234,3 +234,14 @@ def test_summary_table():
     assert "1.0000e-05" in text
     assert text.endswith("Warning: w")
     assert number(None) == ""
+
+
+def test_crowded_leaves_are_compared_whole(spark, monkeypatch):
+    """One leaf of many blocks, with copies: as by the exact search."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(60, 3)), np.ones((40, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    want = {(r.row_id, r.rank, r.neighbor) for r in neighbors.exact(df, 4).collect()}
+    monkeypatch.setattr(neighbors, "BLOCK", 10)
+    one = neighbors.Forest([neighbors.grow(x[:1], 1, 0)])
+    assert {(r.row_id, r.rank, r.neighbor) for r in neighbors.approximate(df, 4, forest=one).collect()} == want
