@@ -1,4 +1,8 @@
-"""Suffix-array dedup: a sparse suffix array over minimiser positions; neighbours are compared and extended both ways."""
+"""Repeated passages across documents by hashes of word windows, in place of a suffix array.
+
+No suffix is kept or sorted, and no neighbours are compared: every window of `passage` words is compared by its hash, as
+in substring_dedup. README says why.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from sparkloom.llm.repeats import merged, repeats
 
-#: Words of a repeated passage at least, and of the gram whose least hash keeps a suffix: one suffix in about 22 stays.
+#: Words of a repeated passage at least, and of the gram of least hash by which windows meet.
 PASSAGE, MINIMISER = 50, 8
 
 
@@ -30,9 +34,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame, passage: int = PASSAGE, minimiser: int = MINIMISER) -> DataFrame:
     """The passages of at least `passage` words that several documents hold.
 
-    Suffixes that start at a minimiser (the gram of least hash among those of some passage) are kept, and sorted
-    within the bucket of their gram by the words around it; neighbours that agree are the repeats, and what agrees
-    left and right of the minimiser is extended to maximal ranges. One row for each document that holds any: doc_id,
+    Windows of `passage` words meet by an anchor (the gram of least hash in them) and are equal if the hashes of what
+    they hold are; windows that overlap or touch are merged to maximal ranges. One row for each document that holds any: doc_id,
     row_tag (tells rows of one doc_id apart), n_repeated and repeated (words in maximal ranges first:end that another
     document holds too), n_copied and copied (those that a smaller doc_id holds, which dedup would cut). Documents
     without repeats, empty or null texts and rows of null doc_id give no row; a document isn't compared with itself.
