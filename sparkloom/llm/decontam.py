@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import binary, trimmed
 
-#: Edits allowed for each character of an item; characters below which an item says nothing about its source.
+#: Edits allowed for each character of an item; characters below which an item is matched as it stands, between word boundaries.
 RATE, LEAST = 0.08, 30
 #: Bytes of items that are sent to the executors at once; more are matched in several passes.
 BLOCK = 16 << 20
@@ -25,8 +25,9 @@ def normal(text: bytes) -> str:
 class Item:
     """One test item: its budget, its pieces, and the bit masks of its characters."""
 
-    def __init__(self, item_id: int, text: str, rate: float):
-        self.item_id, self.text, self.budget = item_id, text, int(rate * len(text))
+    def __init__(self, item_id: int, text: str, rate: float, least: int = 0):
+        self.item_id, self.text, self.short = item_id, text, len(text) < least
+        self.budget = 0 if self.short else int(rate * len(text))
         n = self.budget + 1
         cuts = [len(text) * i // n for i in range(n + 1)]
         self.pieces = [(text[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -59,10 +60,10 @@ class Item:
 class Matcher:
     """All items of a block: one automaton finds every exact piece in one walk over a text."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int = LEAST):
         import ahocorasick
 
-        self.items = [Item(i, t, rate) for i, t in items]
+        self.items = [Item(i, t, rate, least) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):
             for piece, at in item.pieces:
@@ -75,10 +76,13 @@ class Matcher:
     def match(self, text: str) -> list[tuple[int, int, int]]:
         """item_id, distance and end in text of each item within its budget, its best place only."""
         regions: dict[tuple[int, int], None] = {}
+        best: dict[int, tuple[int, int]] = {}
         for end, (length, places) in self.automaton.iter(text):
             for k, at in places:
-                regions[k, end - length + 1 - at >> 6] = None
-        best: dict[int, tuple[int, int]] = {}
+                if not self.items[k].short:
+                    regions[k, end - length + 1 - at >> 6] = None
+                elif not text[max(0, end - length) : end - length + 1].isalnum() and not text[end + 1 : end + 2].isalnum():
+                    best.setdefault(k, (0, end + 1))
         for k, cell in regions:
             item = self.items[k]
             if k in best and best[k][0] == 0:
@@ -90,7 +94,7 @@ class Matcher:
         return [(self.items[k].item_id, d, end) for k, (d, end) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, by hash."""
     own = binary(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -98,15 +102,15 @@ def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]
     for i in range(n):
         rows = own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()  # BLOCK bytes, about
         items = sorted({(r["item_id"], normal(bytes(r["text"]))) for r in rows if r["item_id"] is not None})
-        if items := [x for x in items if len(x[1]) >= least]:
+        if items := [x for x in items if x[1]]:
             yield items
 
 
-def _task(docs: DataFrame, items: list[tuple[int, str]], rate: float, run):
+def _task(docs: DataFrame, items: list[tuple[int, str]], rate: float, least: int, run):
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, rate)
+        matcher = Matcher(sent.value, rate, least)
         for batch in batches:
             yield from run(matcher, batch)
 
@@ -117,8 +121,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, lea
     """doc_id, item_id, distance and end (code points of the normalised text) of every match.
 
     A row of docs and an item match if some part of the text is within rate x length edits of the item, after lower-casing
-    A-Z and single spaces. Null or empty texts match nothing; items that are null, without id or under `least` characters
-    are left out. Repeated doc_ids each give their rows; repeated items count once.
+    A-Z and single spaces. Null or empty texts match nothing; items that are null, empty or without
+    id are left out; those under `least` characters match without edits, between word boundaries. Repeated doc_ids each give their rows; repeated items count once.
     """
 
     def run(matcher: Matcher, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -128,7 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, lea
 
     schema = "doc_id long, item_id long, distance long, end long"
     own = binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = [own.mapInArrow(trimmed(_task(docs, items, rate, run)), schema) for items in _blocks(benchmark, least)]
+    found = [own.mapInArrow(trimmed(_task(docs, items, rate, least, run)), schema) for items in _blocks(benchmark)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -138,6 +142,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, le
     def run(matcher: Matcher, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([not matcher.match(normal((x.as_py() or "").encode())) for x in batch["text"]], pa.bool_()))
 
-    for items in _blocks(benchmark, least):
-        docs = docs.mapInArrow(trimmed(_task(docs, items, rate, run)), docs.schema)
+    for items in _blocks(benchmark):
+        docs = docs.mapInArrow(trimmed(_task(docs, items, rate, least, run)), docs.schema)
     return docs

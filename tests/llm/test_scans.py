@@ -146,6 +146,14 @@ def test_matches_within_budget(spark, words, docs, empty):
     assert decontam.contamination(df, bench.limit(0)).count() == decontam.contamination(empty, bench).count() == 0
 
 
+def test_short_items_match_as_they_stand(spark):
+    bench = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "ten cats"), (3, " ")], "item_id long, text string")
+    df = spark.createDataFrame([(0, "so what  is 2 + 2? four"), (1, "often cats sleep"), (2, "Ten cats, and ten cats"), (3, "ten cat"), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.end) for r in decontam.contamination(df, bench).collect()}
+    assert got == {(0, 1, 0, 17), (2, 2, 0, 8)}
+    assert {r.doc_id for r in decontam.decontaminated(df, bench).collect()} == {1, 3, 4}
+
+
 def test_items_in_blocks(spark, words, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", 300)
     rng = random.Random(8)
