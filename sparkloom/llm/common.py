@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,9 +28,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{folder.rstrip('/')}/sparkloom/{uuid.uuid4().hex}"
+    """This application's folder in the cluster's shared one, spark.checkpoint.dir; one of our own only in local mode, and only where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _own_folder()
+    return f"{folder.rstrip('/')}/sparkloom/{spark.sparkContext.applicationId}"
 
 
 @lru_cache
@@ -37,11 +42,34 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="sparkloom-")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, safe when executors are lost."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in the shared folder, in folders by those columns: computed once, its lineage cut, safe when executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where written() put what is still in use.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; its results can't be read afterwards."""
+    _delete(spark, shared_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def input_bytes(df: DataFrame) -> int:
