@@ -32,7 +32,7 @@ from sparkloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Nodes under one value of a part beyond which it is salted, and values at most that are: those with over a share of all.
-CROWD, HOT_VALUES = 4096, 50_000
+CROWD, HOT_VALUES = 4096, 1 << 19
 #: Parts beyond which each is asked for its own value only: trading thresholds takes time and memory by the square of the parts.
 MANY = 40
 #: Bits by which values are counted for the estimates.
@@ -292,11 +292,13 @@ def _crowded(nodes: DataFrame, plan: Plan, n: int) -> None:
     least = max(CROWD, n * len(plan.parts) // HOT_VALUES)
     values = nodes.mapInArrow(run, "part int, value long, fp binary, node long, copies long")
     most = F.max(F.struct("copies", -F.col("node"), "fp")).alias("most")
-    rows = values.groupBy("part", "value").agg(F.count("*").alias("n"), most).where(F.col("n") > least).select("part", "value", "n", "most.fp", F.col("most.col2").alias("node")).collect()  # HOT_VALUES at most
+    rows = values.groupBy("part", "value").agg(F.count("*").alias("n"), most).where(F.col("n") > least).select("part", "value", "n", "most.fp", F.col("most.col2").alias("node")).toArrow().sort_by([("part", "ascending"), ("value", "ascending")])  # HOT_VALUES at most
+    part, fps = rows["part"].to_numpy(), _fps(rows["fp"])
+    columns = [x.astype(np.int64) for x in (rows["value"].to_numpy(), -(-rows["n"].to_numpy() // least), -rows["node"].to_numpy())]
     for i in range(len(plan.parts)):
-        own = sorted((r["value"], -(-r["n"] // least), -r["node"], bytes(r["fp"])) for r in rows if r["part"] == i)
-        if own:
-            plan.hot[i] = (*(np.array([x[j] for x in own], np.int64) for j in range(3)), np.frombuffer(b"".join(x[3] for x in own), np.uint64).reshape(len(own), -1))
+        own = part == i
+        if own.any():
+            plan.hot[i] = (*(x[own] for x in columns), fps[own])
 
 
 def _placed(plan: Plan):
@@ -545,7 +547,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     reached = written(components(near_pairs(nodes.select("fp", "node", "copies"), bits_apart(similarity), WIDE, reach=bits_apart(similarity, slack=REACH))))
     texts = binary(docs.select("text", _digest().alias("own")))
     wanted = nodes.join(reached, "node").select("own", "node", "root")
-    sets = _sets(texts.dropDuplicates(["own"]).join(wanted.select("own"), "own", "left_semi"), shingle)
+    sets = _sets(texts.join(wanted.select("own"), "own", "left_semi").dropDuplicates(["own"]), shingle)
     near = written(wanted.join(sets, "own").select("node", "root", "items"))
     roots = written(components(verified_links(near, similarity)))
     found = rows.join(roots, "node", "left").select("doc_id", "own", F.coalesce("root", "node").alias("root"))
