@@ -1,4 +1,6 @@
-"""Substring dedup by seed and extend: winnowed anchors, extension both ways, maximal repeats cut from later copies."""
+"""Substring dedup by seed and extend: documents meet on winnowed anchors, matches are extended word by word both ways,
+and maximal repeats of a window or more are cut from later copies.
+"""
 
 from __future__ import annotations
 
@@ -57,13 +59,15 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = True) -> DataFrame:
     """Cuts from each document the words of windows that also start in a document of smaller doc_id.
 
+    Anchors are grams of `anchor` words, of which every window chooses one (winnowing); repeats() extends them.
+
     Returns for each row: doc_id, kept (its other words, one space between; null unless texts are wanted), n_words, n_removed, kept_sha256 of kept,
     removed (maximal ranges first:end of words). Null text: no words. A null doc_id is neither smaller nor larger than
     any: its row stays whole. Rows that repeat a doc_id are each compared with smaller ids only. Words are told by
     bytes. Columns other than doc_id and text are ignored.
     """
     own = docs.select("doc_id", "text")
-    return binary(own).join(repeats(own, window, anchor), "doc_id", "left").select("doc_id", "text", "flags").mapInArrow(partial(_cut, texts=texts), "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string, removed array<string>")
+    return binary(own).join(repeats(own, window, anchor, window - anchor), "doc_id", "left").select("doc_id", "text", "flags").mapInArrow(partial(_cut, texts=texts), "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string, removed array<string>")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import repeats
@@ -53,26 +54,48 @@ def test_suffix_dedup_finds_all_passages(spark, docs, corpus):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd", [4, 16])
+def test_crowded_keys_go_by_window(spark, docs, corpus, monkeypatch, crowd):
+    """Keys that many different entries share are dealt by whole windows; the result is the same."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "SHARE", 1)
+    own = repeats.binary(docs.select("doc_id", "text"))
+    assert len(repeats.crowded(own, 13, 2, 11)) > 0
+    got = sorted((repr(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup(docs, anchor=2, texts=False).collect())
+    assert got == sorted((repr(i), len(w), sum(later)) for i, w, later, _ in brute(corpus, 13))
+
+
 def test_long_texts_in_pieces(spark, words, monkeypatch):
     from sparkloom.llm import common
 
     monkeypatch.setattr(common, "CHUNK", 64)
     monkeypatch.setattr(repeats, "STEP", 200)
     w = [words[i * 7 % 400] + str(i) for i in range(600)]
-    rows = [(1, " ".join(w)), (2, "x y " + " ".join(w[100:400]) + " z"), (3, " ".join(w[250:258]))]
-    found = repeats._Windows(13, 5)
+    rows = [(1, " ".join(w)), (2, "x y " + " ".join(w[100:400]) + " z"), (3, " ".join(w[250:258])), (4, " ".join(w[250:263]))]
+    found = repeats._Entries(13, 5, 8, np.zeros(0, np.uint64))
     for i, t in rows:
         found.add(i, 0, t.encode())
-    seed, doc, _, start, place, whole = found.take()
-    assert len(whole) == sum(max(0, len(t.split()) - 12) for _, t in rows)
-    assert len(set(zip(doc.tolist(), start.tolist(), strict=True))) == len(whole)
-    one = {int(h): int(s) for h, d, s in zip(whole, doc, start, strict=True) if d == 1}
-    assert sorted(one[int(h)] for h, d in zip(whole, doc, strict=True) if d == 2 and int(h) in one) == list(range(100, 388))
+    key, doc, _, at, left, right, whole, context = found.take()
+    windows = left.astype(int) + right - 8 + 1
+    assert windows.sum() == sum(max(0, len(t.split()) - 12) for _, t in rows)
+    assert len(context) == (left.astype(int) + right).sum()
+    starts = [(d, p) for d, a, x, n in zip(doc.tolist(), at.tolist(), left.tolist(), windows.tolist(), strict=True) for p in range(a - x, a - x + n)]
+    assert len(set(starts)) == len(starts) == windows.sum()
+    got = {(r.doc_id, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 300), (3, 0), (4, 13)}
+
+
+def test_neighbours_of_sorted_suffixes():
+    rng = np.random.default_rng(3)
+    key, rest = rng.integers(0, 3, 60).astype(np.uint64), rng.integers(0, 2, (60, 5)).astype(np.uint32)
+    order, common = repeats.sorted_neighbours(key, rest)
+    rows = [(int(key[i]), *rest[i].tolist()) for i in order]
+    assert rows == sorted(rows)
+    for before, now, n in zip(rows, rows[1:], common[1:].tolist(), strict=False):
+        assert n == -1 if before[0] != now[0] else before[: n + 1] == now[: n + 1] and (n == 5 or before[n + 1] != now[n + 1])
 
 
 def test_least_by_doubling_is_leftmost():
-    import numpy as np
-
     x = np.random.default_rng(1).integers(0, 5, 300).astype(np.uint64)
     for w in (1, 2, 7, 16, 43):
         want = np.lib.stride_tricks.sliding_window_view(x, w).argmin(axis=1)
