@@ -2,8 +2,8 @@
 
 Word counts, the vocabulary, the classes and the open-vocabulary tail come from all training documents. The network is
 fitted on all of them too, each once, in shards: each starts from the common parameters, and what the shards learned is
-averaged after every round. Scoring runs over whole documents: the state is carried
-from window to window, so the score is the complete document's log-likelihood.
+averaged after every round. Learning and scoring both run over whole documents: the state is carried from window to
+window, so a score is the complete document's log-likelihood.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +20,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, input_bytes, trimmed, word_chunks, written
+from sparkloom.llm.common import binary, partitions, trimmed, word_chunks, written
 
 #: Words with a vector of their own (two places are for unknown words and the end), words in a class, and the state's width.
 VOCABULARY, CLASS, WIDTH = 4096, 64, 24
 #: Words whose counts every task knows; rarer ones are looked up by a join.
 COMMON = 300_000
 UNKNOWN, END = 0, 1
-#: One training document in SHARE fits the network: every one. ROUNDS they are dealt to; MB of input for each shard.
-SHARE, ROUNDS, SHARD_MB = 1, 4, 16
-WINDOW, LANES, RATE = 32, 16, 0.12
+#: Rounds that training documents are dealt to, each to one; steps that are backpropagated through; Adagrad's rate.
+ROUNDS, WINDOW, RATE = 2, 32, 0.12
+#: Lanes that learn together: as many as leave a shard UPDATES steps a round, within bounds.
+LANES, LEAST_LANES, UPDATES = 128, 8, 100
 FOLDS, HELD_OUT = 7, 2
-#: Lanes of a scoring batch, its tokens, and states that meet the softmax together; words after which training starts a document's state afresh.
-SCORE_LANES, BATCH, TOGETHER, SPAN = 192, 1_000_000, 32_768, 1024
+#: Lanes of a scoring batch, its tokens, and states that meet the softmax together.
+SCORE_LANES, BATCH, TOGETHER = 192, 1_000_000, 32_768
 _COUNTER = 200_000
 _FLOATS = 1 << 14
 
@@ -63,32 +64,35 @@ class Gru:
         out, at = {}, 0
         for k in sorted(self.p):
             n = self.p[k].size
-            out[k] = np.ascontiguousarray(flat[at : at + n].reshape(self.p[k].shape), np.float32)
+            out[k] = np.array(flat[at : at + n].reshape(self.p[k].shape), np.float32)  # a copy: flat may be a broadcast that others start from
             at += n
         return Gru(out)
 
     def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple:
-        """States of a window: x the words before, fresh where a document starts, h the state carried in."""
+        """States of a window: x the words before, fresh where a document starts, h the state carried in; kept for
+        backpropagation: the states before, both gates, the candidates and their recurrent part, of all steps.
+        """
         p, w = self.p, WIDTH
         steps = p["wx"][x] + p["bx"]
-        hs = np.empty((len(x), x.shape[1], w), np.float32)
-        saved = []
-        starts = fresh.any(axis=1)
-        for t in range(len(x)):
+        hs, u = np.empty((*x.shape, w), steps.dtype), p["u"]
+        saved = tuple(np.empty((*x.shape, n * w), steps.dtype) for n in (1, 2, 1, 1)) if keep else ()
+        starts = fresh.any(axis=1).tolist()
+        for t, step in enumerate(steps):
             if starts[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            hu, step = h @ p["u"], steps[t]
-            zr = step[:, : 2 * w] + hu[:, : 2 * w]
+                h = np.where(fresh[t][:, None], 0, h).astype(steps.dtype, copy=False)
+            hu = h @ u
+            zr = step[:, : 2 * w]
+            zr += hu[:, : 2 * w]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :w], zr[:, w:]
-            n = r * hu[:, 2 * w :]
-            n += step[:, 2 * w :]
+            z, n = zr[:, :w], step[:, 2 * w :]
+            n += zr[:, w:] * hu[:, 2 * w :]
             np.tanh(n, out=n)
             if keep:
-                saved.append((h, z, r, n, hu[:, 2 * w :]))
+                for into, part in zip(saved, (h, zr, n, hu[:, 2 * w :]), strict=True):
+                    into[t] = part
             h = np.subtract(h, n, out=hs[t])
             h *= z
             h += n
@@ -119,50 +123,55 @@ class Gru:
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple:
         """Backpropagation through one window: the mean loss's gradients, those of words by row, and the state to carry."""
         p, w = self.p, WIDTH
-        hs, last, saved = self.run(x, fresh, h, True)
+        hs, last, (before, zr, n, hn) = self.run(x, fresh, h, True)
         at = np.flatnonzero(valid.ravel())
-        flat, yy = hs.reshape(-1, w)[at], y.ravel()[at]
-        c, scale = yy // CLASS, np.float32(1 / max(len(at), 1))
-        logits = flat @ p["wc"] + p["bc"]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
-        e[np.arange(len(yy)), c] -= 1
+        c = y.ravel()[at] // CLASS
+        order = at[np.argsort(c, kind="stable")]  # so that each class is a slice
+        flat, yy = hs.reshape(-1, w)[order], y.ravel()[order]
+        c, scale, rows = yy // CLASS, np.float32(1 / max(len(at), 1)), np.arange(len(at))
+        e = _softmax(flat @ p["wc"] + p["bc"])
+        e[rows, c] -= 1
         e *= scale
         g = {"wc": flat.T @ e, "bc": e.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        dflat = e @ p["wc"].T
-        for k, rows in _by_class(c):
-            own = flat[rows] @ p["wo"][k].T + p["bo"][k]
-            e = np.exp(own - own.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(rows)), yy[rows] % CLASS] -= 1
+        dflat, within = e @ p["wc"].T, yy % CLASS
+        kinds, starts = np.unique(c, return_index=True)
+        for k, a, b in zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
+            e = _softmax(flat[a:b] @ p["wo"][k].T + p["bo"][k])
+            e[rows[: b - a], within[a:b]] -= 1
             e *= scale
-            g["wo"][k], g["bo"][k] = e.T @ flat[rows], e.sum(axis=0)
-            dflat[rows] += e @ p["wo"][k]
-        dhs = np.zeros((x.size, w), np.float32)
-        dhs[at] = dflat
+            g["wo"][k], g["bo"][k] = e.T @ flat[a:b], e.sum(axis=0)
+            dflat[a:b] += e @ p["wo"][k]
+        dhs = np.zeros((x.size, w), hs.dtype)
+        dhs[order] = dflat
         dhs = dhs.reshape(*x.shape, w)
-        dx, du, carry = np.empty((*x.shape, 3 * w), np.float32), np.zeros_like(p["u"]), np.zeros_like(h)
+        z, r = zr[..., :w], zr[..., w:]
+        to_z, to_n, to_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), hn * r * (1 - r)
+        dx, du, ut = np.empty((*x.shape, 3 * w), hs.dtype), np.empty((*x.shape, 3 * w), hs.dtype), np.ascontiguousarray(p["u"].T)
+        carry, starts = np.zeros_like(h), fresh.any(axis=1).tolist()
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, n, hn = saved[t]
-            dh = dhs[t] + carry
-            dz, dn = dh * (before - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-            dr = dn * hn * r * (1 - r)
-            dx[t, :, :w], dx[t, :, w : 2 * w], dx[t, :, 2 * w :] = dz, dr, dn
-            du3 = np.concatenate([dz, dr, dn * r], axis=1)
-            du += before.T @ du3
-            carry = np.where(fresh[t][:, None], np.float32(0), dh * z + du3 @ p["u"].T)
-        rows = dx.reshape(-1, 3 * w)
-        g["u"], g["bx"] = du, rows.sum(axis=0)
+            dh, own, back = dhs[t], dx[t], du[t]
+            dh += carry
+            np.multiply(dh, to_z[t], out=own[:, :w])
+            dn = np.multiply(dh, to_n[t], out=own[:, 2 * w :])
+            np.multiply(dn, to_r[t], out=own[:, w : 2 * w])
+            back[:, : 2 * w] = own[:, : 2 * w]
+            np.multiply(dn, r[t], out=back[:, 2 * w :])
+            carry = back @ ut
+            carry += dh * z[t]
+            if starts[t]:
+                carry[fresh[t]] = 0
+        rows, back = dx.reshape(-1, 3 * w), du.reshape(-1, 3 * w)
+        g["u"], g["bx"] = before.reshape(-1, w).T @ back, rows.sum(axis=0)
         order = np.argsort(x.ravel(), kind="stable")
         words, starts = np.unique(x.ravel()[order], return_index=True)
         return g, words, np.add.reduceat(rows[order], starts, axis=0), last
 
 
-def _by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(c, kind="stable")
-    kinds, starts = np.unique(c[order], return_index=True)
-    for k, rows in zip(kinds.tolist(), np.split(order, starts[1:]), strict=False):
-        yield k, rows
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def lanes(lengths: list[int], most: int) -> list[list[int]]:
@@ -194,20 +203,52 @@ def windows(docs: list[np.ndarray], most: int, window: int) -> Iterator[tuple[np
         yield x[t : t + window], y[t : t + window], own[t : t + window], fresh[t : t + window]
 
 
-def train(model: Gru, docs: list[np.ndarray]) -> Gru:
-    """One walk over docs, a step of Adagrad a window."""
+def streamed(docs: Iterator[np.ndarray], most: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """x, y, valid, fresh and which lanes go on, a window of steps at a time; a lane whose document ends takes the next one.
+
+    No more than a document a lane is held. Where documents run out, lanes that have ended are left out.
+    """
+    held = list(islice(docs, most))
+    at, live = [0] * len(held), np.arange(len(held))
+    while held:
+        shape = (window, len(held))
+        x, y, valid, fresh = np.full(shape, END, np.int32), np.full(shape, END, np.int32), np.zeros(shape, bool), np.zeros(shape, bool)
+        for i, doc in enumerate(held):
+            t = 0
+            while doc is not None and t < window:
+                a = at[i]
+                n = min(window - t, len(doc) - a)
+                y[t : t + n, i], valid[t : t + n, i] = doc[a : a + n], True
+                if a:
+                    x[t : t + n, i] = doc[a - 1 : a + n - 1]
+                else:
+                    fresh[t, i], x[t + 1 : t + n, i] = True, doc[: n - 1]
+                t, at[i] = t + n, a + n
+                if at[i] == len(doc):
+                    doc, at[i] = next(docs, None), 0
+            held[i] = doc
+        yield x, y, valid, fresh, live
+        live = np.array([i for i, doc in enumerate(held) if doc is not None], int)
+        if len(live) < len(held):
+            held, at = [held[i] for i in live], [at[i] for i in live]
+
+
+def train(model: Gru, docs: Iterator[np.ndarray], most: int) -> tuple[Gru, int]:
+    """One walk over docs, a step of Adagrad a window; and the tokens learned from."""
     squares = {k: np.full_like(v, 1e-4 if k in ("wx", "wo", "bo") else 1e-3) for k, v in model.p.items()}
-    h = None
-    docs = [d[at : at + SPAN] for d in docs for at in range(0, len(d), SPAN)]  # or lanes would wait for the longest
-    for x, y, own, fresh in windows(docs, LANES, WINDOW):
-        h = np.zeros((x.shape[1], WIDTH), np.float32) if h is None else h
-        g, words, rows, h = model.gradients(x, y, own >= 0, fresh, h)
+    h, tokens = None, 0
+    for x, y, valid, fresh, live in streamed(docs, most, WINDOW):
+        h = np.zeros((x.shape[1], WIDTH), np.float32) if h is None else h if len(live) == len(h) else h[live]
+        g, words, rows, h = model.gradients(x, y, valid, fresh, h)
+        tokens += int(valid.sum())
         for k, v in g.items():
             squares[k] += v * v
-            model.p[k] -= RATE * v / np.sqrt(squares[k])
+            v /= np.sqrt(squares[k])
+            v *= RATE
+            model.p[k] -= v
         squares["wx"][words] += rows * rows
         model.p["wx"][words] -= RATE * rows / np.sqrt(squares["wx"][words])
-    return model
+    return model, tokens
 
 
 def score(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
@@ -298,54 +339,59 @@ def _numbered(words: Iterator[bytes], index: dict[bytes, int], n: int) -> np.nda
     return np.fromiter(map(index.get, words, repeat(-1)), np.int64, n)
 
 
-def _learner(start):
-    """What one shard learns from its documents, in parts that are weighted by its tokens."""
+def _learner(start, most: int):
+    """What one shard, a partition, learns from its documents: the parameters in parts, and their weight, its tokens."""
 
-    def learn(group: pa.Table) -> pa.Table:
-        texts = [np.frombuffer(x.as_py(), np.int16).astype(np.int32) for x in group["ids"]]
-        flat = train(Gru.fresh(np.ones(VOCABULARY)).load(start.value), sorted(texts, key=lambda a: (len(a), a.tobytes()))).flat()
-        weight, cuts = float(sum(map(len, texts))), range(0, len(flat), _FLOATS)
-        return pa.table({"part": pa.array(range(len(cuts)), pa.int32()), "weight": pa.array([weight] * len(cuts)), "data": pa.array([(flat[i : i + _FLOATS] * np.float64(weight)).tobytes() for i in cuts], pa.binary())})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (np.frombuffer(x.as_py(), np.int16) for batch in batches for x in batch["ids"])
+        model, tokens = train(Gru.fresh(np.ones(VOCABULARY)).load(start.value), texts, most)
+        if tokens:
+            flat = model.flat()
+            cuts = range(0, len(flat), _FLOATS)
+            yield pa.record_batch([pa.array(range(len(cuts)), pa.int32()), pa.array([float(tokens)] * len(cuts)), pa.array([flat[i : i + _FLOATS].tobytes() for i in cuts], pa.binary())], names=["part", "weight", "data"])
 
-    return learn
+    return trimmed(learn)
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    data = sum(np.frombuffer(x.as_py(), np.float64) for x in group["data"])
-    return pa.table({"part": group["part"].slice(0, 1), "weight": pa.array([sum(group["weight"].to_pylist())]), "data": pa.array([data.tobytes()], pa.binary())})
+def _averaged(group: pa.Table) -> pa.Table:
+    weights = group["weight"].to_pylist()
+    data = sum(w * np.frombuffer(x.as_py(), np.float32).astype(np.float64) for w, x in zip(weights, group["data"], strict=True)) / sum(weights)
+    return pa.table({"part": group["part"].slice(0, 1), "weight": pa.array([sum(weights)]), "data": pa.array([data.astype(np.float32).tobytes()], pa.binary())})
 
 
-def lessons(docs: DataFrame, lex: Lexicon, shards: int) -> DataFrame:
-    """pick (a shard's round) and ids of every row of docs, as a written table."""
+def lessons(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """turn (the round that learns from it), slot (a hash that deals it to a shard), n and ids of every row of docs, as a written table."""
     sent = docs.sparkSession.sparkContext.broadcast(lex)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {w: i for i, w in enumerate(sent.value.words[: sent.value.own])}
         for batch in batches:
             ids = [np.append(np.concatenate([np.zeros(0, np.int16), *(sent.value.ids(_numbered(w, index, len(w))) for w in word_chunks(x.as_py().lower()))]), END).astype(np.int16).tobytes() for x in batch["text"]]
-            yield pa.record_batch([batch["pick"], pa.array(ids, pa.binary())], names=["pick", "ids"])
+            yield pa.record_batch([batch["slot"], pa.array([len(x) // 2 for x in ids]), pa.array(ids, pa.binary())], names=["slot", "n", "ids"])
 
     # by text too: rows of one id, or of none, are dealt apart
-    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(SHARE * shards * ROUNDS))
-    some = docs.select(pick.alias("pick"), "text").where(F.col("pick") < shards * ROUNDS)
-    return written(some.mapInArrow(trimmed(numbered), "pick long, ids binary"))
+    slots = docs.select(F.xxhash64("doc_id", "text", F.lit("fit")).alias("slot"), "text").mapInArrow(trimmed(numbered), "slot long, n long, ids binary")
+    return written(slots.withColumn("turn", F.pmod("slot", F.lit(ROUNDS)).cast("int")), "turn")
 
 
 def fit(docs: DataFrame, lex: Lexicon) -> Gru:
-    """Averaged shards; docs are training rows as bytes, and all of them are learned from."""
+    """Averaged shards, one for each shuffle partition; docs are training rows as bytes, and all of them are learned from.
+
+    A shard streams through its documents, the longest first, so that its lanes end together; it holds one a lane.
+    """
     spark, model = docs.sparkSession, Gru.fresh(lex.mass)
-    shards = max(1, input_bytes(docs) // (SHARD_MB << 20))
-    dealt = lessons(docs, lex, shards)
+    shards = partitions(spark)
+    most = min(max(int(lex.total / (shards * ROUNDS * WINDOW * UPDATES)), LEAST_LANES), LANES)
+    dealt = lessons(docs, lex)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
-
         shape = "part int, weight double, data binary"
-        learned = dealt.where(F.col("pick") % ROUNDS == turn).repartition(shards, "pick").groupBy("pick").applyInArrow(_learner(start), shape)
-        some = learned.withColumn("salt", F.floor(F.rand(1) * max(1, int(shards**0.5)))).groupBy("part", "salt")
-        halves = some.applyInArrow(_summed, shape)
-        parts = halves.groupBy("part").applyInArrow(_summed, shape).toArrow().sort_by("part").to_pylist()
+        own = dealt.where(F.col("turn") == turn).repartition(shards, F.shiftright("slot", 8)).sortWithinPartitions(F.desc("n"), "slot")
+        learned = own.select("ids").mapInArrow(_learner(start, most), shape)
+        some = learned.groupBy("part", F.floor(F.rand(1) * max(1, int(shards**0.5))).alias("salt"))
+        parts = some.applyInArrow(_averaged, shape).groupBy("part").applyInArrow(_averaged, shape).toArrow().sort_by("part").to_pylist()
         if parts:
-            model = model.load(np.concatenate([np.frombuffer(x["data"], np.float64) / x["weight"] for x in parts]))
+            model = model.load(np.concatenate([np.frombuffer(x["data"], np.float32) for x in parts]))
     return model
 
 
