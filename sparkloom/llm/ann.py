@@ -1,8 +1,11 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Each tree gives every vector a long string of sign bits of random projections, and keeps the vectors sorted by it. A
-query descends in all trees to the vectors that share its longest prefixes, and ascends in all of them at once, a bit
-at a time, until those that share a prefix of that length are enough; they are ranked by their exact inner products.
+query first descends, in some of the trees, to the vectors that share its longest prefix, and ascends in each until it
+has a few more than it asks for. Their k-th best score tells how far to go: two vectors at an angle share a bit with a
+known chance, so it gives the longest prefix under which some tree holds any better vector, but for a chance of MISS.
+To that length all trees ascend together, and what they hold is ranked by exact inner products. Where vectors lie in
+clusters that is deep and few are touched; where they lie anywhere, as shallow as it must be.
 
 The sorted array of a tree is cut into segments of bounded size, by counts of short prefixes, so that segments are
 searched apart; a prefix that very many vectors share is counted and cut by its further bits, and by hash only where all
@@ -21,14 +24,17 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import written
 
-TREES, BITS, COUNTED = 32, 30, 12
+TREES, BITS, COUNTED = 32, 40, 12
 #: Bits by which the prefixes of crowded cells are counted further.
 MORE = 6
-#: Candidates, counted in every tree that has them, that a query asks for: FACTOR x N ^ POWER.
-FACTOR, POWER = 18.0, 0.7
+#: Trees of the first descent, and candidates a tree for each neighbour that is asked for.
+FIRST, ENOUGH = 8, 3
+#: Chance that a vector as near as the k-th of the first descent shares no prefix with the query that is searched.
+MISS = 0.1
 #: Vectors of a segment.
 SEGMENT = 32_768
 _ENTRY = "tree int, segment int, key long, depth int, vec_id long, vector binary"
+_FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(column: str = "embedding") -> Column:
@@ -38,9 +44,8 @@ def usable(column: str = "embedding") -> Column:
 class Forest:
     """Projections, and where the counted prefixes of each tree lie."""
 
-    def __init__(self, dim: int, longest: float, trees: int, n: int, factor: float):
-        self.dim, self.longest, self.trees, self.n = dim, longest, trees, n
-        self.ask = factor * max(n, 1) ** POWER
+    def __init__(self, dim: int, longest: float, trees: int, kind: str = "f8"):
+        self.dim, self.longest, self.trees, self.kind = dim, longest, trees, kind
         #: Cells of each tree in order: their least key, the bits of their prefix, and their vectors.
         self.starts = [np.arange(1 << COUNTED, dtype=np.int64) << (BITS - COUNTED) for _ in range(trees)]
         self.bits = [np.full(1 << COUNTED, COUNTED) for _ in range(trees)]
@@ -60,7 +65,7 @@ class Forest:
         bits = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for at in range(0, len(x), 4096):
             part = np.column_stack([x[at : at + 4096], more[at : at + 4096]]).astype(np.float32) @ planes > 0
-            out[at : at + 4096] = part.reshape(len(part), self.trees, BITS).astype(np.float32) @ bits.astype(np.float32) if BITS <= 24 else part.reshape(len(part), self.trees, BITS).astype(np.float64) @ bits.astype(np.float64)
+            out[at : at + 4096] = part.reshape(len(part), self.trees, BITS).astype(np.float64) @ bits.astype(np.float64)
         return out
 
     def crowded(self, bits: int) -> list[np.ndarray]:
@@ -83,7 +88,7 @@ class Forest:
     def cut(self) -> None:
         """Segments of each tree: the first of each cell, and how many a cell has that is crowded to its last bit."""
         self.salts = [np.maximum(-(-n // SEGMENT), 1) for n in self.counts]
-        self.first, self.upto = [], [np.append(0, np.cumsum(n)) for n in self.counts]
+        self.first = []
         for t in range(self.trees):
             segment, held, first = 0, 0, np.zeros(len(self.counts[t]), np.int64)
             for c, n in enumerate(self.counts[t].tolist()):
@@ -98,26 +103,12 @@ class Forest:
     def cells(self, t: int, keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts[t], keys, "right") - 1
 
-    def depths(self, keys: np.ndarray) -> np.ndarray:
-        """Ascending in all trees at once: the longest prefix that enough candidates share, by trees that count prefixes of that length."""
-        depth = np.zeros(len(keys), np.int32)
-        for d in range(1, max(int(b.max()) for b in self.bits) + 1):
-            low, n = keys >> (BITS - d) << (BITS - d), np.zeros(len(keys), np.int64)
-            for t in range(self.trees):
-                ends = np.append(self.starts[t], 1 << BITS)
-                a, b = np.searchsorted(ends, low[:, t]), np.searchsorted(ends, low[:, t] + (1 << (BITS - d)))
-                whole = (ends[a] == low[:, t]) & (ends[b] == low[:, t] + (1 << (BITS - d)))
-                n += np.where(whole, self.upto[t][b] - self.upto[t][a], 0)
-            depth[n >= self.ask] = d
-        return depth
-
-
-def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
-
-
-def _packed(column: str) -> Column:
-    return F.transform(column, lambda x: x.cast("double"))
+    def depths(self, x: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """The longest prefixes that some tree shares, but for a chance of MISS, between queries x and any vector whose inner product is kth or more; nan: no such length."""
+        cosine = kth / np.maximum(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) * self.longest, 1e-300)
+        same = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
+        length = np.log(1 - MISS ** (1 / self.trees)) / np.log(np.clip(same, 1e-12, 1 - 1e-12))
+        return np.where(np.isnan(kth), 0, np.minimum(length, BITS)).astype(np.int32)
 
 
 def _counted(rows: DataFrame, forest: Forest) -> None:
@@ -169,29 +160,30 @@ def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _entries(forest: Forest):
+def _entries(forest: Forest, trees: int, again: bool):
+    """Indexed vectors in their segments of the first trees, and queries in theirs: in one segment a tree, with depth BITS, or again in all those of the prefix that kth tells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = forest.planes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                x, ids = _rows(batch["embedding"], forest.dim), batch["vec_id"].to_numpy()
-                raw = np.array([v.tobytes() for v in x], object)
-                for kind, chosen in ((False, batch["indexed"]), (True, batch["asks"])):
+                x, ids, kth = _rows(batch["embedding"], forest.dim), batch["vec_id"].to_numpy(), batch["kth"].to_numpy(zero_copy_only=False).astype(float)
+                raw = np.array([v.tobytes() for v in x.astype(forest.kind)], object)
+                for query, chosen in ((False, batch["indexed"]), (True, batch["asks"])):
                     own = np.flatnonzero(chosen.to_numpy(zero_copy_only=False))
-                    keys = forest.keys(x[own], planes, kind)
-                    if kind:
-                        yield from _asked(keys, ids[own], raw[own])
+                    keys = forest.keys(x[own], planes, query)
+                    if query and again:
+                        yield from _asked(keys, ids[own], raw[own], forest.depths(x[own], kth[own]))
                         continue
-                    for t in range(forest.trees):
+                    for t in range(trees):
                         cells = forest.cells(t, keys[:, t])
                         salt = (ids[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % forest.salts[t][cells]
-                        yield out(np.full(len(own), t), forest.first[t][cells] + salt, keys[:, t], np.full(len(own), -1), ids[own], raw[own])
+                        yield out(np.full(len(own), t), forest.first[t][cells] + salt, keys[:, t], np.full(len(own), BITS if query else -1), ids[own], raw[own])
 
-    def _asked(keys: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
-        depth = forest.depths(keys)
+    def _asked(keys: np.ndarray, ids: np.ndarray, raw: np.ndarray, depth: np.ndarray) -> Iterator[pa.RecordBatch]:
         span = np.int64(1) << (BITS - depth).astype(np.int64)
-        for t in range(forest.trees):
+        for t in range(trees):
             low = keys[:, t] // span * span
             a, b = forest.cells(t, low), forest.cells(t, low + span - 1)
             first = forest.first[t][a]
@@ -220,24 +212,36 @@ def nearest_of(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k
             yield at + i, ids[near[best]], exact[best]
 
 
-def _searched(dim: int, k: int):
+def descended(keys: np.ndarray, own: np.ndarray, depth: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sorted keys those lie that share a prefix with own: its first `depth` bits, or fewer, until there are `least` of them."""
+    a, b, depth, left = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), depth.astype(np.int64), np.arange(len(own))
+    while len(left):
+        span = np.int64(1) << (BITS - depth[left])
+        low = own[left] // span * span
+        a[left], b[left] = np.searchsorted(keys, low), np.searchsorted(keys, low + span)
+        left = left[(b[left] - a[left] < least) & (depth[left] > 0)]
+        depth[left] -= 1
+    return a, b
+
+
+def _searched(forest: Forest, k: int, least: int):
+    """The k best of each query in its segment, among those that share its prefix or, if they are fewer than `least`, a shorter one."""
+
     def run(group: pa.Table) -> pa.Table:
         depth, key, ids = (group[c].to_numpy() for c in ("depth", "key", "vec_id"))
-        x = np.frombuffer(b"".join(group["vector"].to_pylist()), np.float64).reshape(-1, dim)
+        x = np.frombuffer(b"".join(group["vector"].to_pylist()), forest.kind).reshape(-1, forest.dim)
         entry = np.flatnonzero(depth < 0)
         entry = entry[np.argsort(key[entry], kind="stable")]
         ask = np.flatnonzero(depth >= 0)
-        keys, low = key[entry], key[ask] >> (BITS - depth[ask]) << (BITS - depth[ask])
-        a, b = np.searchsorted(keys, low), np.searchsorted(keys, low + (1 << (BITS - depth[ask])))
+        a, b = descended(key[entry], key[ask], depth[ask], least)
         queries, found, scores = [], [], []
         order = np.lexsort((b, a))
         new = np.flatnonzero(np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])) if len(order) else order
         for rows in np.split(order, new[1:]) if len(order) else []:
-            lo, hi = a[rows[0]], b[rows[0]]
-            if lo == hi:
+            near = entry[a[rows[0]] : b[rows[0]]]
+            if not len(near):
                 continue
-            near = entry[lo:hi]
-            for i, got, score in nearest_of(x[ask[rows]], ids[ask[rows]], x[near], ids[near], k):
+            for i, got, score in nearest_of(x[ask[rows]].astype(np.float64), ids[ask[rows]], x[near].astype(np.float64), ids[near], k):
                 queries.append(np.full(len(got), ids[ask[rows[i]]]))
                 found.append(got)
                 scores.append(score)
@@ -247,7 +251,12 @@ def _searched(dim: int, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, asks: Column, k: int = 20, trees: int = TREES, factor: float = FACTOR) -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.distinct().withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, asks: Column, k: int = 20, trees: int = TREES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k rows found of largest inner product with each row that asks.
 
     vectors: vec_id and embedding. Rows without vec_id, and vectors that are null, empty, zero or hold null or
@@ -257,6 +266,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, trees: int = TREES, f
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable())
     sizes = own.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("longest"))
+    kind = "f4" if own.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"  # as they are
     top = sizes.orderBy(F.desc("n"), F.desc("dim")).first()
     shape = "query_id long, rank int, vec_id long, score double"
     if top is None:
@@ -265,12 +275,15 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, trees: int = TREES, f
     same = own.where(F.size("embedding") == top["dim"])
     first = same.withColumn("copy", copy).where(F.col("copy") <= k + 1).select("vec_id", "embedding", F.lit(True).alias("indexed"), F.lit(False).alias("asks"))
     rows = written(first.unionByName(same.where(asks).select("vec_id", "embedding", F.lit(False).alias("indexed"), F.lit(True).alias("asks"))))
-    index = rows.where("indexed")
-    forest = Forest(top["dim"], float(top["longest"]) ** 0.5, trees, index.count(), factor)
-    _counted(index, forest)
-    found = rows.mapInArrow(_entries(forest), _ENTRY).groupBy("tree", "segment").applyInArrow(_searched(top["dim"], k), "query_id long, vec_id long, score double")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    forest = Forest(top["dim"], float(top["longest"]) ** 0.5, trees, kind)
+    _counted(rows.where("indexed"), forest)
+    group = ["tree", "segment"]
+    near = rows.withColumn("kth", F.lit(None).cast("double")).mapInArrow(_entries(forest, min(FIRST, trees), False), _ENTRY)
+    near = written(_best(near.groupBy(*group).applyInArrow(_searched(forest, k, ENOUGH * k), _FOUND), k))
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    routed = rows.where("indexed").withColumn("kth", F.lit(None).cast("double")).unionByName(rows.where("asks").join(kth, "vec_id", "left").select(*rows.columns, "kth"))
+    found = routed.mapInArrow(_entries(forest, trees, True), _ENTRY).groupBy(*group).applyInArrow(_searched(forest, k, 0), _FOUND)
+    return _best(found.unionByName(near.select("query_id", "vec_id", "score")), k).select("query_id", "rank", "vec_id", "score")
 
 
 def by_modulus(n: int) -> Column:
