@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, fmix, hashed, trimmed, word_chunks
+from sparkloom.llm.common import binary, fmix, forget, hashed, trimmed, word_chunks, written
 
 #: Labelled rows that the classifier is fitted on at most; bits of a feature's index.
 SAMPLE, BITS = 12_000, 20
+#: Bytes of features that the driver holds at most.
+HELD = 256 << 20
 #: What a feature counts, by its kind (two bits of the index): a word, and pairs that skip none, one or two words.
 VALUES = np.array([1.0, 0.3, 0.3, 0.3])
 _KIND = BITS - 2
@@ -78,16 +80,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
             at = [np.unique(np.concatenate([*features(x.as_py()), np.zeros(0, np.int64)])).astype(np.int32).tobytes() for x in batch["text"]]
             yield pa.record_batch([batch["doc_id"], batch["y"], pa.array(at, pa.binary())], names=["doc_id", "y", "at"])
 
-    rows = binary(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(trimmed(run), "doc_id long, y int, at binary").toArrow().to_pydict()
+    taken = binary(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(trimmed(run), "doc_id long, y int, at binary")
+    rows = written(taken)
     size = 1 << BITS
-    if not rows["doc_id"]:
+    n, held = rows.agg(F.count("*"), F.sum(F.octet_length("at"))).first()
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0
+    ordered = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "at")  # the same however rows come
+    kept = ordered.collect() if held <= HELD else None
     model = Ftrl(size)
-    order = sorted(range(len(rows["at"])), key=lambda i: (rows["doc_id"][i] * 0x9E3779B97F4A7C15 % (1 << 64), rows["at"][i]))  # the same however rows come
     for _ in range(epochs):
-        for i in order:
-            at = np.frombuffer(rows["at"][i], np.int32)
-            model.learn(np.append(at, size), np.append(VALUES[at >> _KIND], 1.0), rows["y"][i])
+        for r in kept or ordered.toLocalIterator():  # the features of very long texts are read again, not held
+            at = np.frombuffer(r["at"], np.int32)
+            model.learn(np.append(at, size), np.append(VALUES[at >> _KIND], 1.0), r["y"])
+    forget(rows)
     w = model.weights(slice(None))
     at = np.flatnonzero(w[:size])
     return at, (w[at] * VALUES[at >> _KIND]).astype(np.float32), float(w[size])

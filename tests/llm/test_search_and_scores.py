@@ -47,6 +47,32 @@ def test_ann_few_and_none(spark):
     assert got == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
 
 
+@pytest.mark.parametrize("clusters", [0, 30])
+def test_recall(spark, clusters):
+    """Against brute force, over vectors that lie anywhere and over clusters; of norms that differ, with a shifted mean."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(6000, 32)) + 0.1 if not clusters else rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 6000)] + rng.normal(size=(6000, 32)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, ann.by_modulus(20)).collect()}
+    y = x.astype(np.float32).astype(np.float64)
+    scores = y[::20] @ y.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = {(20 * i, int(j)) for i, row in enumerate(scores) for j in np.argsort(-row, kind="stable")[:20]}
+    assert len(got & want) >= 0.93 * len(want)
+
+
+def test_descent_finds_the_longest_prefix():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 1 << 14, 300) << (ann.BITS - 14))
+    own = np.concatenate([keys[:40], rng.integers(0, 1 << ann.BITS, 40)])
+    a, b = ann.descended(keys, own, np.full(80, ann.BITS), 5)
+    for q, i, j in zip(own.tolist(), a.tolist(), b.tolist(), strict=True):
+        shared = [ann.BITS - (int(v) ^ q).bit_length() for v in keys]
+        assert j - i >= 5 and min(shared[i:j]) > max([-1, *shared[:i], *shared[j:]])
+        deepest = min(shared[i:j])
+        assert sum(v > deepest for v in shared) < 5
+
+
 def test_crowded_prefixes_are_cut(spark, monkeypatch):
     monkeypatch.setattr(ann, "SEGMENT", 40)
     rng = np.random.default_rng(6)
@@ -64,7 +90,7 @@ def test_recall_in_a_crowded_cell(spark, monkeypatch, spread):
     x = np.vstack([rng.normal(size=6) + rng.normal(size=(700, 6)) * spread, rng.normal(size=(1400, 6))])
     x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, ann.by_modulus(20), factor=8).where("query_id < 700").collect()}
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, ann.by_modulus(20)).where("query_id < 700").collect()}
     scores = x[:700:20] @ x.T
     scores[np.arange(35), np.arange(0, 700, 20)] = -np.inf
     want = {(20 * i, int(j)) for i, row in enumerate(scores) for j in np.argsort(-row, kind="stable")[:20]}
@@ -81,8 +107,6 @@ def languages():
 
 def test_language_model(spark, languages, empty, monkeypatch):
     monkeypatch.setattr(gru_lm, "COMMON", 20)
-    monkeypatch.setattr(gru_lm, "SHARE", 1)
-    monkeypatch.setattr(gru_lm, "ROUNDS", 2)
     rows = [*enumerate(languages), (900, None), (901, ""), (None, "Ka lo unknownword"), (5, "a b c")]
     got = gru_lm.lm_scores(spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")).collect()
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -99,10 +123,34 @@ def test_language_model(spark, languages, empty, monkeypatch):
 def test_every_training_row_is_learned_from(spark, languages):
     docs = gru_lm.binary(spark.createDataFrame([*enumerate(languages), (None, "ka lo"), (None, None), (5, "")], "doc_id long, text string"))
     lex = gru_lm.lexicon(gru_lm.word_counts(docs))
-    got = gru_lm.lessons(docs, lex, 3).collect()
+    got = gru_lm.lessons(docs, lex).collect()
     assert len(got) == len(languages) + 3
-    assert sum(len(r.ids) // 2 for r in got) == lex.total
-    assert {r.pick for r in got} == set(range(3 * gru_lm.ROUNDS))
+    assert sum(len(r.ids) // 2 for r in got) == sum(r.n for r in got) == lex.total
+    assert {r.turn for r in got} == set(range(gru_lm.ROUNDS))
+
+
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_lanes_hold_whole_documents(most):
+    """Every token is learned from once, after the one before it, and only a document's first starts afresh."""
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(2, 900, n), gru_lm.END) for n in (70, 40, 33, 32, 31, 1, 1, 9, 100)]
+    told, lanes = [], {}
+    for x, y, valid, fresh, live in gru_lm.streamed(iter(docs), most, 32):
+        before = lanes
+        lanes = {}
+        for i, lane in enumerate(live.tolist()):
+            own = before.get(lane, [])
+            for t in range(32):
+                if valid[t, i]:
+                    if fresh[t, i]:
+                        told += [own] if own else []
+                        own = []
+                    assert x[t, i] == (own[-1] if own else gru_lm.END)
+                    own.append(int(y[t, i]))
+            lanes[i] = own
+        told += [own for lane, own in before.items() if lane not in live]
+    told += [own for own in lanes.values() if own]
+    assert sorted(told) == sorted(d.tolist() for d in docs)
 
 
 def _network():
@@ -162,7 +210,7 @@ def test_state_is_carried_and_reset():
     assert np.allclose(together, alone, rtol=1e-4)
 
 
-def test_toxicity(spark, words, empty):
+def test_toxicity(spark, words, empty, monkeypatch):
     rng = random.Random(4)
     rows, labels = [], []
     for i in range(600):
@@ -184,6 +232,8 @@ def test_toxicity(spark, words, empty):
     assert np.mean([r.predicted == (r.doc_id % 6 == 0) for r in known]) > 0.95
     again = {(repr(r.doc_id), r.score) for r in toxicity.toxicity(docs, marks).collect()}
     assert again == {(repr(r.doc_id), r.score) for r in got}
+    monkeypatch.setattr(toxicity, "HELD", 0)  # features are read again, not held
+    assert again == {(repr(r.doc_id), r.score) for r in toxicity.toxicity(docs, marks).collect()}
     assert toxicity.toxicity(docs, marks.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.toxicity(empty, marks).count() == toxicity.tolerated(empty, marks).count() == 0
     stay = {r.doc_id for r in toxicity.tolerated(docs, marks).collect()}
