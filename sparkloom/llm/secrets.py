@@ -20,15 +20,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a shorter run fails as a whole, an
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
-#: name = literal, "name": literal, name["x"] = literal, name := literal + literal; <name>literal</name>.
+_TERM = rf"(?:{_QUOTED}|[A-Za-z_][\w.]*)"
+#: name = literal, "name": literal, name["x"] = literal, name := literal + NAME + literal, name: >- with indented lines; <name>literal</name>.
 _PAIR = re.compile(
     rf"""(?:(?P<tag><(?P<element>[A-Za-z_][\w.-]{{0,63}})>)(?P<inner>[^<\n]+)</(?P=element)>)
     |(?:(?P<name>(?<![\w.])[A-Za-z_][\w.-]{{0,127}})(?:\[(?P<q>["'])(?P<key>[^"'\n]{{1,64}})(?P=q)\])?|(?P<k>["'])(?P<string>[A-Za-z_][\w. -]{{0,127}})(?P=k))
     [\x20\t]*(?::=|=>|(?<![=!<>])=(?![=~])|:(?![:/]))[\x20\t]*
-    (?P<value>(?:{_QUOTED})(?:[\x20\t]*\+[\x20\t]*(?:{_QUOTED}))*|[^\s"'`,;(){{}}<>\[\]]+)""",
+    (?P<value>(?P<block>[|>][-+0-9]{{0,2}}[\x20\t]*(?=\n))|(?P<sum>{_TERM}(?:[\x20\t]*\+[\x20\t]*(?:{_QUOTED})|[\x20\t]+\+[\x20\t]+{_TERM})+)|(?:{_QUOTED})|[^\s"'`,;(){{}}<>\[\]]+)""",
     re.X | re.A,
 )
-_PART = re.compile(_QUOTED)
+_PART = re.compile(rf"(?P<quoted>{_QUOTED})|[A-Za-z_][\w.]*", re.A)
+_LINE = re.compile(r"\n(?:(?P<indent>[\x20\t]*)(?P<line>\S[^\n]*)|[\x20\t]*(?=\n|\Z))")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NAME = re.compile(r"[A-Za-z_][\w.]*\Z", re.A)
 #: What makes a name sensitive, and what makes it name something about a secret and not the secret.
@@ -52,30 +54,52 @@ def literal_score(value: str) -> int:
     return 1 + (n >= 12) + (bits >= 3.0) + (kinds >= 2)
 
 
+def _block(text: str, name_at: int, at: int) -> tuple[str, list[tuple[int, int]]]:
+    """The lines after at that are indented deeper than the line of name_at: joined, and as one span."""
+    own = text[text.rfind("\n", 0, name_at) + 1 : name_at]
+    depth, lines, span = len(own) - len(own.lstrip("\x20\t-")), [], []
+    while (m := _LINE.match(text, at)) and (m["line"] is None or len(m["indent"]) > depth):
+        at = m.end()
+        if m["line"]:
+            lines.append(m["line"].rstrip())
+            span += [m.start("line"), m.start("line") + len(lines[-1])]
+    return "".join(lines), [(span[0], span[-1])] if span else []
+
+
 def lexed(text: str, least: int = 5) -> list[tuple[int, int]]:
-    """Literals whose value reaches a sensitive name, directly or through constants: start and end."""
+    """Literals whose value reaches a sensitive name, directly or through constants: start and end.
+
+    A name's value is a literal, a name seen before, or a sum of both; it keeps the places of all literals in it.
+    """
     found, constants = set(), {}
     if not ("=" in text or ":" in text or "</" in text):
         return []
     for m in _PAIR.finditer(text):
         if m["tag"]:
-            name, literal, (start, end) = m["element"], m["inner"], m.span("inner")
+            name, literal, spans = m["element"], m["inner"], [m.span("inner")]
         else:
-            name, (start, end) = m["key"] or m["name"] or m["string"], m.span("value")
-            literal = m["value"]
-            if literal[0] in "\"'`":
-                parts = list(_PART.finditer(literal))
-                literal = "".join(p[0][1:-1] for p in parts)
-                start, end = start + 1, end - 1
-                constants[name] = (literal, start, end)
+            name, literal, (start, end) = m["key"] or m["name"] or m["string"], m["value"], m.span("value")
+            if m["block"]:
+                literal, spans = _block(text, m.start(), end)
+            elif m["sum"] or literal[0] in "\"'`":
+                literal, spans, joined = "", [], True
+                for part in _PART.finditer(text, start, end):
+                    if part["quoted"]:
+                        literal, a, b = literal + part[0][1:-1], part.start() + 1, part.end() - 1
+                        spans = [*spans[:-1], (spans[-1][0], b)] if spans and joined else [*spans, (a, b)]
+                        joined = True
+                    else:  # a name: its literals, where they stand; nothing where it isn't known
+                        more, places = constants.get(part[0], ("", []))
+                        literal, joined = literal + more, False
+                        spans += [p for p in places if p not in spans]
+                constants[name] = (literal, spans)
             elif (known := constants.get(literal)) and _NAME.match(literal):
-                literal, start, end = constants[name] = known  # a name for a name: the same literal
+                literal, spans = constants[name] = known  # a name for a name: the same literal
             else:
-                trimmed = literal.rstrip(".:")
-                end -= len(literal) - len(trimmed)
-                literal = trimmed
-        if (score := name_score(name)) >= 2 and (worth := literal_score(literal)) and score + worth >= least:
-            found.add((start, end))
+                literal = literal.rstrip(".:")
+                spans = [(start, start + len(literal))]
+        if spans and (score := name_score(name)) >= 2 and (worth := literal_score(literal)) and score + worth >= least:
+            found.update(spans)
     return sorted(found)
 
 
