@@ -52,8 +52,8 @@ def registry(layouts: list[dict] = LAYOUTS) -> dict[int, dict]:
 class Mapper:
     """Chooses the layout of records, once for each fingerprint; fields that no layout knows don't stand in the way."""
 
-    def __init__(self, layouts: list[dict] = LAYOUTS):
-        self.layouts, self.known = layouts, dict(registry(layouts))
+    def __init__(self, layouts: list[dict] = LAYOUTS, roles: dict[str, str] = ROLES):
+        self.layouts, self.roles, self.known = layouts, roles, dict(registry(layouts))
 
     def layout(self, found: set[str]) -> dict | None:
         key = fingerprint(found)
@@ -68,22 +68,21 @@ class Mapper:
             return None
         if "each" in layout:
             items, role, text = layout["each"]
-            return [(canonical(x.get(role)), _text(x.get(text))) for x in (record[items] if items else [record]) if isinstance(x, dict)]
+            return [(self.role(x.get(role)), _text(x.get(text))) for x in (record[items] if items else [record]) if isinstance(x, dict)]
         out = []
         for role, fields in layout["fields"]:
             if parts := [_text(record[f]) for f in fields if record.get(f) not in (None, "")]:
                 out.append((role, "\n\n".join(parts)))
         return out
 
+    def role(self, name: object) -> str:
+        return self.roles.get(name, name) if isinstance(name, str) else ""
+
 
 def _text(x: object) -> str:
     return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
-def canonical(role: object) -> str:
-    return ROLES.get(role, role) if isinstance(role, str) else ""
-
-
 _OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "<s>"}
 _CLOSE = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
 _CONTROL = r"<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[/ROLE\]|\[TURN\]|\[/TURN\]"
@@ -169,11 +168,11 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     The pieces of a conversation, by seq, are its formatted text; they stand in order in one partition, and no more
     than one turn is held, however long a conversation is. Turns come by turn, then role, then text, nulls first;
-    repeated turns are turns of their own. Null role or text counts as empty; null conv_id is one conversation.
+    repeated turns are turns of their own. Roles stay as they are. Null role or text counts as empty; null conv_id is one conversation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper, last, seq = Mapper(), (None, False), 0
+        mapper, last, seq = Mapper(roles={}), (None, False), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)

@@ -29,6 +29,13 @@ from sparkloom.llm import chat, decontam, secrets
         ('my_credential = "changeme"', []),
         ("passworD: ſecret12345", []),
         ("", []),
+        ('P = "abcd1234"\nS = "wxyz5678"\napi_secret = P + S', [("literal", 5, 13), ("literal", 20, 28)]),
+        ('P = "abcd1234"\nQ = P + "-x9"\nmy_pwd = Q', [("literal", 5, 13), ("literal", 24, 27)]),
+        ('my_pwd = unknown + other', []),
+        ('my_pwd = unknown + "zz99yy88xx"', [("literal", 20, 30)]),
+        ("db:\n  passphrase: >-\n    abcD1234\n    efGh5678\n\n  user: me", [("literal", 25, 46)]),
+        ("signing_key_secret: |\n  abcD1234efgh\nnext: plainvalue", [("literal", 24, 36)]),
+        ("passphrase: |\nnothing indented here", []),
     ],
 )
 def test_spans(text, spans):
@@ -40,6 +47,76 @@ def test_redaction_takes_overlaps_once():
     assert secrets.redacted(text, secrets.scan(text)) == 'say [ASSIGN]" now'
 
 
+def slow_base(text):
+    """The three patterns by hand, character by character."""
+    names = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assign(at):
+        for name in names:
+            if low.startswith(name, at):
+                for quoted in (1, 0):
+                    i = at + len(name)
+                    if quoted and text[i : i + 1] not in ('"', "'"):
+                        continue
+                    i = run(i + quoted, " ")
+                    if text[i : i + 1] in (":", "="):
+                        i = run(i + 1, " ")
+                        i += text[i : i + 1] in ('"', "'")
+                        if (end := run(i, value)) > i:
+                            return end, end - i >= 8
+        return None
+
+    def access(at):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (end, end - at >= 16) if text.startswith("AKIA", at) and end > at + 4 else None
+
+    def digits(at):
+        end = run(at, set("0123456789abcdef"))
+        return (end, end - at >= 32) if end > at else None
+
+    out = []
+    for kind, match in (("assign", assign), ("access", access), ("hex", digits)):
+        at = 0
+        while at < len(text):
+            if found := match(at):
+                if found[1]:
+                    out.append((at, ("assign", "access", "hex").index(kind), found[0], kind))
+                at = found[0]
+            else:
+                at += 1
+    return [(kind, a, b) for a, _, b, kind in sorted(out)]
+
+
+def secret_texts(n):
+    rng = random.Random(17)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "apı_key", "toKen", "=", ":", " ", "  ", "\t", "\n", '"', "'", "AKIA", "AKIA", "ABC", "1234567890AB", "akia", "deadbeef", "0123456789abcdef", "0123456789abcdef", "F", "x", "hunter2", "longenough1", "a/b+c=", "-", ".", "é", "日", ";", "==", "user", ","]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+def test_base_patterns_by_hand(spark):
+    """The base contract over a table full of secrets, through the query."""
+    texts = [*secret_texts(1500), None, ""]
+    want = []
+    for i, t in enumerate(texts):
+        own = slow_base(t or "")
+        n = [sum(k == kind for k, _, _ in own) for kind in ("assign", "access", "hex")]
+        want.append((i, *n, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in own).encode()).hexdigest()))
+    rows = secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows) == want
+    assert min(sum(w[k] for w in want) for k in (1, 2, 3)) > 50
+    for r in rows:  # the base spans stand in spans, and what is more is literal
+        own = [s for s in r.spans.split(",") if s and not s.startswith("literal:")]
+        assert own == [f"{k}:{a}:{b}" for k, a, b in slow_base(texts[r.doc_id] or "")]
+
+
 def test_secret_query(spark, docs, corpus):
     got = {(repr(r.doc_id), r.n_assign, r.base_sha256, r.spans) for r in secrets.secret_scan(docs).collect()}
     assert len(got) >= 1
@@ -85,10 +162,10 @@ def test_layouts_by_fingerprint(spark):
 
 
 def test_conversations(spark):
-    rows = [(1, 1, "assistant", "</s> x"), (1, 0, "user", None), (2, 0, "user", "a"), (2, 0, "user", "a"), (3, 0, None, "r"), (None, 5, "assistant", "n")]
+    rows = [(1, 1, "assistant", "</s> x"), (1, 0, "user", None), (2, 0, "user", "a"), (2, 0, "user", "a"), (3, 0, None, "r"), (None, 5, "assistant", "n"), (4, 0, "human", "h"), (4, 1, "gpt", "no loss"), (4, 2, "assistant", "yes")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, seq string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
-    want = {1: [("user", ""), ("assistant", "</s> x")], 2: [("user", "a")] * 2, 3: [("", "r")], None: [("assistant", "n")]}
+    want = {1: [("user", ""), ("assistant", "</s> x")], 2: [("user", "a")] * 2, 3: [("", "r")], 4: [("human", "h"), ("gpt", "no loss"), ("assistant", "yes")], None: [("assistant", "n")]}
     assert set(got) == set(want)
     for k, turns in want.items():
         loss = "".join(t for r, t in turns if r == "assistant")
