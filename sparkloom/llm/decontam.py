@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -9,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, trimmed
+from sparkloom.llm.common import binary, trimmed, written
 
 #: Edits allowed for each character of an item; characters below which an item is matched as it stands, between word boundaries.
 RATE, LEAST = 0.08, 30
-#: Bytes of items that are sent to the executors at once; more are matched in several passes.
-BLOCK = 16 << 20
+#: Bytes of items that are sent to the executors at once (their automaton takes some fifty times as much); more are matched in several passes.
+BLOCK = 4 << 20
+#: The matcher that a worker has built, by the name of its block: one at a time.
+_BUILT: dict[str, Matcher] = {}
 
 
 def normal(text: bytes) -> str:
@@ -94,8 +97,8 @@ class Matcher:
         return [(self.items[k].item_id, d, end) for k, (d, end) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, by hash."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
+    """The items in blocks of bounded size, by hash; and whether there are several blocks."""
     own = binary(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK) or 1
@@ -103,16 +106,18 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         rows = own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()  # BLOCK bytes, about
         items = sorted({(r["item_id"], normal(bytes(r["text"]))) for r in rows if r["item_id"] is not None})
         if items := [x for x in items if x[1]]:
-            yield items
+            yield n > 1, items
 
 
 def _task(docs: DataFrame, items: list[tuple[int, str]], rate: float, least: int, run):
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, rate, least)
+        if name not in _BUILT:  # once a worker, not once a task
+            _BUILT.clear()
+            _BUILT[name] = Matcher(sent.value, rate, least)
         for batch in batches:
-            yield from run(matcher, batch)
+            yield from run(_BUILT[name], batch)
 
     return task
 
@@ -132,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, lea
 
     schema = "doc_id long, item_id long, distance long, end long"
     own = binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = [own.mapInArrow(trimmed(_task(docs, items, rate, least, run)), schema) for items in _blocks(benchmark)]
+    found = [written(x) if several else x for several, items in _blocks(benchmark) for x in [own.mapInArrow(trimmed(_task(docs, items, rate, least, run)), schema)]]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -142,6 +147,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, le
     def run(matcher: Matcher, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([not matcher.match(normal((x.as_py() or "").encode())) for x in batch["text"]], pa.bool_()))
 
-    for items in _blocks(benchmark):
+    for several, items in _blocks(benchmark):
         docs = docs.mapInArrow(trimmed(_task(docs, items, rate, least, run)), docs.schema)
+        docs = written(docs) if several else docs  # a block is done before the next one comes
     return docs
