@@ -11,7 +11,8 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import groupby, islice, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, partitions, trimmed, word_chunks, written
+from sparkloom.llm.common import binary, trimmed, word_chunks, written
 
 #: Words with a vector of their own (two places are for unknown words and the end), words in a class, and the state's width.
 VOCABULARY, CLASS, WIDTH = 4096, 64, 24
@@ -29,11 +30,11 @@ COMMON = 300_000
 UNKNOWN, END = 0, 1
 #: Rounds that training documents are dealt to, each to one; steps that are backpropagated through; Adagrad's rate.
 ROUNDS, WINDOW, RATE = 2, 32, 0.12
-#: Lanes that learn together: as many as leave a shard UPDATES steps a round, within bounds.
-LANES, LEAST_LANES, UPDATES = 128, 8, 100
+#: Tokens of a shard; lanes that learn together: as many as leave a shard UPDATES steps a round, within bounds.
+SHARD, LANES, LEAST_LANES, UPDATES = 4_000_000, 256, 8, 100
 FOLDS, HELD_OUT = 7, 2
 #: Lanes of a scoring batch, its tokens, and states that meet the softmax together.
-SCORE_LANES, BATCH, TOGETHER = 192, 1_000_000, 32_768
+SCORE_LANES, BATCH, TOGETHER = 256, 4_000_000, 32_768
 _COUNTER = 200_000
 _FLOATS = 1 << 14
 
@@ -70,33 +71,34 @@ class Gru:
 
     def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple:
         """States of a window: x the words before, fresh where a document starts, h the state carried in; kept for
-        backpropagation: the states before, both gates, the candidates and their recurrent part, of all steps.
+        backpropagation: of all steps the state before, gates and candidate, and the candidate's recurrent part.
+
+        Inside, a lane is a column, so that gates are whole blocks of memory.
         """
         p, w = self.p, WIDTH
-        steps = p["wx"][x] + p["bx"]
-        hs, u = np.empty((*x.shape, w), steps.dtype), p["u"]
-        saved = tuple(np.empty((*x.shape, n * w), steps.dtype) for n in (1, 2, 1, 1)) if keep else ()
+        steps = np.ascontiguousarray((p["wx"][x] + p["bx"]).transpose(0, 2, 1))
+        np.negative(steps[:, : 2 * w], out=steps[:, : 2 * w])
+        hs, ut, h = np.empty((len(x), w, x.shape[1]), steps.dtype), np.ascontiguousarray(p["u"].T), np.ascontiguousarray(h.T)
+        before, recurrent = (np.empty_like(hs), np.empty_like(hs)) if keep else (None, None)
         starts = fresh.any(axis=1).tolist()
         for t, step in enumerate(steps):
             if starts[t]:
-                h = np.where(fresh[t][:, None], 0, h).astype(steps.dtype, copy=False)
-            hu = h @ u
-            zr = step[:, : 2 * w]
-            zr += hu[:, : 2 * w]
-            np.negative(zr, out=zr)
+                h = np.where(fresh[t], 0, h).astype(steps.dtype, copy=False)
+            hu = ut @ h
+            zr, n, hn = step[: 2 * w], step[2 * w :], hu[2 * w :]
+            zr -= hu[: 2 * w]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, n = zr[:, :w], step[:, 2 * w :]
-            n += zr[:, w:] * hu[:, 2 * w :]
-            np.tanh(n, out=n)
             if keep:
-                for into, part in zip(saved, (h, zr, n, hu[:, 2 * w :]), strict=True):
-                    into[t] = part
+                before[t], recurrent[t] = h, hn
+            hn = hn * zr[w:]
+            n += hn
+            np.tanh(n, out=n)
             h = np.subtract(h, n, out=hs[t])
-            h *= z
+            h *= zr[:w]
             h += n
-        return hs, h, saved
+        return hs.transpose(0, 2, 1), np.ascontiguousarray(h.T), (before, steps, recurrent)
 
     def losses(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of words y after states hs (rows)."""
@@ -123,54 +125,54 @@ class Gru:
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple:
         """Backpropagation through one window: the mean loss's gradients, those of words by row, and the state to carry."""
         p, w = self.p, WIDTH
-        hs, last, (before, zr, n, hn) = self.run(x, fresh, h, True)
+        hs, last, (before, gates, recurrent) = self.run(x, fresh, h, True)
         at = np.flatnonzero(valid.ravel())
         c = y.ravel()[at] // CLASS
         order = at[np.argsort(c, kind="stable")]  # so that each class is a slice
         flat, yy = hs.reshape(-1, w)[order], y.ravel()[order]
         c, scale, rows = yy // CLASS, np.float32(1 / max(len(at), 1)), np.arange(len(at))
-        e = _softmax(flat @ p["wc"] + p["bc"])
-        e[rows, c] -= 1
-        e *= scale
+        e = _errors(flat @ p["wc"] + p["bc"], rows, c, scale)
         g = {"wc": flat.T @ e, "bc": e.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
         dflat, within = e @ p["wc"].T, yy % CLASS
         kinds, starts = np.unique(c, return_index=True)
         for k, a, b in zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
-            e = _softmax(flat[a:b] @ p["wo"][k].T + p["bo"][k])
-            e[rows[: b - a], within[a:b]] -= 1
-            e *= scale
+            e = _errors(flat[a:b] @ p["wo"][k].T + p["bo"][k], rows[: b - a], within[a:b], scale)
             g["wo"][k], g["bo"][k] = e.T @ flat[a:b], e.sum(axis=0)
             dflat[a:b] += e @ p["wo"][k]
         dhs = np.zeros((x.size, w), hs.dtype)
         dhs[order] = dflat
-        dhs = dhs.reshape(*x.shape, w)
-        z, r = zr[..., :w], zr[..., w:]
-        to_z, to_n, to_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), hn * r * (1 - r)
-        dx, du, ut = np.empty((*x.shape, 3 * w), hs.dtype), np.empty((*x.shape, 3 * w), hs.dtype), np.ascontiguousarray(p["u"].T)
-        carry, starts = np.zeros_like(h), fresh.any(axis=1).tolist()
+        dhs = np.ascontiguousarray(dhs.reshape(*x.shape, w).transpose(0, 2, 1))
+        z, r, n = gates[:, :w], gates[:, w : 2 * w], gates[:, 2 * w :]
+        to_z, to_n, to_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), recurrent * r * (1 - r)
+        dx, du, carry = np.empty_like(gates), np.empty_like(gates), np.zeros_like(dhs[0])
+        starts = fresh.any(axis=1).tolist()
         for t in range(len(x) - 1, -1, -1):
             dh, own, back = dhs[t], dx[t], du[t]
             dh += carry
-            np.multiply(dh, to_z[t], out=own[:, :w])
-            dn = np.multiply(dh, to_n[t], out=own[:, 2 * w :])
-            np.multiply(dn, to_r[t], out=own[:, w : 2 * w])
-            back[:, : 2 * w] = own[:, : 2 * w]
-            np.multiply(dn, r[t], out=back[:, 2 * w :])
-            carry = back @ ut
-            carry += dh * z[t]
+            np.multiply(dh, to_z[t], out=own[:w])
+            dn = np.multiply(dh, to_n[t], out=own[2 * w :])
+            np.multiply(dn, to_r[t], out=own[w : 2 * w])
+            back[: 2 * w] = own[: 2 * w]
+            np.multiply(dn, r[t], out=back[2 * w :])
+            carry = p["u"] @ back
+            dh *= z[t]
+            carry += dh
             if starts[t]:
-                carry[fresh[t]] = 0
-        rows, back = dx.reshape(-1, 3 * w), du.reshape(-1, 3 * w)
-        g["u"], g["bx"] = before.reshape(-1, w).T @ back, rows.sum(axis=0)
+                carry[:, fresh[t]] = 0
+        rows = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * w)
+        g["u"], g["bx"] = np.matmul(before, du.transpose(0, 2, 1)).sum(axis=0), rows.sum(axis=0)
         order = np.argsort(x.ravel(), kind="stable")
         words, starts = np.unique(x.ravel()[order], return_index=True)
         return g, words, np.add.reduceat(rows[order], starts, axis=0), last
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+def _errors(x: np.ndarray, rows: np.ndarray, own: np.ndarray, scale: np.float32) -> np.ndarray:
+    """Softmax of logits x less one where the row's own is, times scale; x is used up."""
+    if x.max(initial=0) > 80:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= (scale / x.sum(axis=1))[:, None]
+    x[rows, own] -= scale
     return x
 
 
@@ -340,12 +342,12 @@ def _numbered(words: Iterator[bytes], index: dict[bytes, int], n: int) -> np.nda
 
 
 def _learner(start, most: int):
-    """What one shard, a partition, learns from its documents: the parameters in parts, and their weight, its tokens."""
+    """What each shard learns from its documents: the parameters in parts, and their weight, its tokens. A partition has whole shards, one after another."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = (np.frombuffer(x.as_py(), np.int16) for batch in batches for x in batch["ids"])
-        model, tokens = train(Gru.fresh(np.ones(VOCABULARY)).load(start.value), texts, most)
-        if tokens:
+        rows = ((shard, x) for batch in batches for shard, x in zip(batch["shard"].to_pylist(), batch["ids"], strict=True))
+        for _, own in groupby(rows, key=itemgetter(0)):
+            model, tokens = train(Gru.fresh(np.ones(VOCABULARY)).load(start.value), (np.frombuffer(x.as_py(), np.int16) for _, x in own), most)
             flat = model.flat()
             cuts = range(0, len(flat), _FLOATS)
             yield pa.record_batch([pa.array(range(len(cuts)), pa.int32()), pa.array([float(tokens)] * len(cuts)), pa.array([flat[i : i + _FLOATS].tobytes() for i in cuts], pa.binary())], names=["part", "weight", "data"])
@@ -375,19 +377,20 @@ def lessons(docs: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 def fit(docs: DataFrame, lex: Lexicon) -> Gru:
-    """Averaged shards, one for each shuffle partition; docs are training rows as bytes, and all of them are learned from.
+    """Averaged shards of SHARD tokens; docs are training rows as bytes, and all of them are learned from.
 
     A shard streams through its documents, the longest first, so that its lanes end together; it holds one a lane.
     """
     spark, model = docs.sparkSession, Gru.fresh(lex.mass)
-    shards = partitions(spark)
+    shards = max(1, round(lex.total / SHARD))
     most = min(max(int(lex.total / (shards * ROUNDS * WINDOW * UPDATES)), LEAST_LANES), LANES)
     dealt = lessons(docs, lex)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
         shape = "part int, weight double, data binary"
-        own = dealt.where(F.col("turn") == turn).repartition(shards, F.shiftright("slot", 8)).sortWithinPartitions(F.desc("n"), "slot")
-        learned = own.select("ids").mapInArrow(_learner(start, most), shape)
+        shard = F.pmod(F.shiftright("slot", 8), F.lit(shards)).alias("shard")
+        own = dealt.where(F.col("turn") == turn).select(shard, "n", "slot", "ids").repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n"), "slot")
+        learned = own.select("shard", "ids").mapInArrow(_learner(start, most), shape)
         some = learned.groupBy("part", F.floor(F.rand(1) * max(1, int(shards**0.5))).alias("salt"))
         parts = some.applyInArrow(_averaged, shape).groupBy("part").applyInArrow(_averaged, shape).toArrow().sort_by("part").to_pylist()
         if parts:
