@@ -19,6 +19,14 @@ class InvalidRequest(EngineError, ValueError):
     """Arguments that contradict each other."""
 
 
+class InvalidPattern(InvalidRequest):
+    """A regular expression that can't be compiled; kind says why: bracket, parenthesis, metacharacter, branches, groups or unknown."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
+
+
 class NotSymmetric(EngineError, ValueError):
     """A symmetric matrix was asked for."""
 

@@ -108,7 +108,7 @@ def low_rank(x: DataFrame, rank: int | None = None, iterations: int = 10, seed:
     keep = values > values[0] * 1e-13 if len(values) and values[0] > 0 else np.zeros(len(values), bool)
     basis = vectors[:, keep] / np.sqrt(values[keep])  # own @ basis has orthonormal columns
     out = np.zeros((k, p))
-    out[: keep.sum()] = basis.T @ M.transpose_multiply(own, x)
+    out[: keep.sum()] = basis.T @ _through(x, sketch).T  # (X sketch)'X, without a join
     return out
 
 

@@ -126,7 +126,7 @@ Loss = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
 def line_search(f: Loss, x: np.ndarray, fx: float, g: np.ndarray, d: np.ndarray, most: int = 40, c1: float = 1e-4, c2: float = 0.9) -> tuple[np.ndarray, float, np.ndarray, bool]:
-    """A step along d that meets the strong Wolfe conditions: bracket by doubling, then narrow by cubic steps."""
+    """A step along d that meets the strong Wolfe conditions: bracket by doubling, then narrow by quadratic steps."""
     slope = float(g @ d)
     low, flow, slow = 0.0, fx, slope
     high: float | None = None

@@ -195,6 +195,28 @@ def block(x: DataFrame, first_row: int, rows: int, first_column: int, columns: i
     return own.withColumn(FEATURES, F.slice(FEATURES, first_column + 1, columns))
 
 
+def transpose(x: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Columns as rows, numbered from 0, cells by row_id; a row of the result has a cell for each row, at most so many."""
+    if (n := x.count()) > most:
+        raise InvalidRequest(f"{n} rows are too many for a row")
+    cells = x.select("row_id", F.posexplode(FEATURES).alias("i", "v"))
+    rows = cells.groupBy(F.col("i").cast("bigint").alias("row_id")).agg(F.array_sort(F.collect_list(F.struct("row_id", "v"))).alias("cells"))
+    return rows.select("row_id", F.transform("cells", lambda c: c["v"]).alias(FEATURES))
+
+
+def swap_rows(x: DataFrame, i: int, j: int) -> DataFrame:
+    if x.where(F.col("row_id").isin(i, j)).count() != len({i, j}):
+        raise OutOfBounds(f"rows {i} and {j}")
+    return x.withColumn("row_id", F.when(F.col("row_id") == i, F.lit(j)).when(F.col("row_id") == j, F.lit(i)).otherwise(F.col("row_id")).cast("bigint"))
+
+
+def swap_columns(x: DataFrame, i: int, j: int) -> DataFrame:
+    if not 0 <= min(i, j) <= max(i, j) < width(x):
+        raise OutOfBounds(f"columns {i} and {j}")
+    cell = F.col(FEATURES)
+    return x.withColumn(FEATURES, F.transform(FEATURES, lambda v, k: F.when(k == i, cell[j]).when(k == j, cell[i]).otherwise(v)))
+
+
 def is_square(a: np.ndarray) -> bool:
     return a.ndim == 2 and a.shape[0] == a.shape[1]
 

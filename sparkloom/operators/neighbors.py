@@ -7,6 +7,7 @@ sample; rows meet in leaves, and candidates are ranked by their exact distance.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,11 +64,16 @@ def _told(parts: list) -> pa.Table:
     return pa.table({"row_id": a, "neighbor": b, "distance": d})
 
 
-def exact(x: DataFrame, k: int, kind: str = "euclidean") -> DataFrame:
-    """row_id, rank (from 1), neighbor and distance of the k nearest rows of each row, itself excluded."""
+def exact(x: DataFrame, k: int, kind: str = "euclidean", most: int = 2_000_000) -> DataFrame:
+    """row_id, rank (from 1), neighbor and distance of the k nearest rows of each row, itself excluded.
+
+    Each row meets each other: the work grows with the square of the rows, and each is sent to as many tasks as there are
+    blocks. A table of over `most` rows is an error unless that is raised; approximate() is for those.
+    """
     if k < 1:
         raise InvalidRequest("k is under 1")
-    n = x.count()
+    if (n := x.count()) > most:
+        raise InvalidRequest(f"{n} rows: more than {most} are for approximate()")
     blocks = max(1, -(-n // BLOCK))
     own = x.select(F.col("row_id").cast("long").alias("row_id"), F.col(FEATURES).cast("array<double>").alias(FEATURES)).withColumn("b", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
     to = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -167,6 +173,23 @@ def _plane(x: np.ndarray, rng: np.random.Generator, most: float = 0.95) -> tuple
 class Forest:
     trees: list[Tree]
 
+    def near(self, q: np.ndarray, checks: int) -> list[set[int]]:
+        """For each tree the leaves whose planes q is least on the wrong side of, `checks` of all trees together, and q's own in each."""
+        heap, found = [(0.0, t, 0 if len(tree.offsets) else -1) for t, tree in enumerate(self.trees)], [set() for _ in self.trees]
+        heapq.heapify(heap)
+        left = max(checks, len(self.trees))
+        while heap and left:
+            gap, t, node = heapq.heappop(heap)
+            tree = self.trees[t]
+            while node >= 0:
+                off = float(q @ tree.normals[node] - tree.offsets[node])
+                side = int(off > 0)
+                heapq.heappush(heap, (max(gap, abs(off)), t, int(tree.children[node, 1 - side])))
+                node = int(tree.children[node, side])
+            found[t].add(-1 - node)
+            left -= 1
+        return found
+
     @classmethod
     def fit(cls, x: DataFrame, trees: int = 10, leaf: int | None = None, seed: int = 42, sample: int = SAMPLE) -> Forest:
         """On at most `sample` rows, those of least hash; leaf: rows of a leaf in the whole table, about."""
@@ -224,6 +247,32 @@ def approximate(x: DataFrame, k: int, trees: int = 10, leaf: int | None = None,
     return ranked(found.distinct(), k)
 
 
+def approximate_of(x: DataFrame, row_id: int, k: int, trees: int = 10, checks: int | None = None, leaf: int | None = None, seed: int = 42, kind: str = "euclidean", forest: Forest | None = None) -> DataFrame:
+    """rank, neighbor and distance of the k nearest rows of one row, among those that share a leaf with it or one of the leaves next to it.
+
+    checks: leaves to look into, over all trees; its own in each tree at least. One scan; only rows of those leaves are ranked.
+    """
+    query = x.where(F.col("row_id") == row_id).select(FEATURES).first()
+    if query is None:
+        raise InvalidRequest(f"no row {row_id}")
+    own = forest or Forest.fit(x, trees, leaf, seed)
+    q = np.array(query[0], float)
+    wanted = [np.array(sorted(leaves)) for leaves in own.near(q, checks or 0)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = rows_of(batch)
+            met = np.zeros(batch.num_rows, bool)
+            for tree, leaves in zip(own.trees, wanted, strict=True):
+                met |= np.isin(tree.leaves(rows), leaves) if batch.num_rows else met
+            yield batch.filter(pa.array(met))
+
+    typed = x.select(F.col("row_id").cast("long").alias("row_id"), F.col(FEATURES).cast("array<double>").alias(FEATURES)).where(F.col("row_id") != row_id)
+    near = typed.mapInArrow(run, typed.schema).select(F.col("row_id").alias("neighbor"), distance(kind, F.col(FEATURES), F.array(*map(F.lit, q.tolist()))).alias("distance"))
+    top = near.orderBy("distance", "neighbor").limit(k)
+    return top.select(F.row_number().over(W.orderBy("distance", "neighbor")).alias("rank"), "neighbor", "distance")
+
+
 def recall(found: DataFrame, truth: DataFrame) -> float:
     """Share of the true neighbours that were found."""
     hit = truth.join(found.select("row_id", "neighbor"), ["row_id", "neighbor"], "left_semi").count()

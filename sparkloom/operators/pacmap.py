@@ -1,7 +1,7 @@
 """PaCMAP: pairs are found in Spark, the embedding is optimised on the driver.
 
 The pairs (neighbours, mid-near, further) grow with the rows; the optimiser holds them and an n x 2 embedding in memory,
-so there is a bound on rows. A larger table is embedded by a sample of that size.
+so there is a bound on rows. A larger table is an error: embed a sample of it.
 """
 
 from __future__ import annotations
@@ -104,6 +104,11 @@ def optimise(start: np.ndarray, near: np.ndarray, mid: np.ndarray, far: np.ndarr
     return y
 
 
+def _pairs(df: DataFrame) -> np.ndarray:
+    got = df.toArrow()
+    return np.stack([got["place"].to_numpy(), got["other"].to_numpy()], axis=1).astype(np.int64)
+
+
 def pacmap(x: DataFrame, request: Request | None = None) -> DataFrame:
     """row_id and embedding of rows (row_id, features)."""
     request = request or Request()
@@ -116,8 +121,11 @@ def pacmap(x: DataFrame, request: Request | None = None) -> DataFrame:
     k = min(request.neighbors + 50, n - 1)
     near = neighbors.exact(own, k) if request.exact else neighbors.approximate(own, k, trees=20, seed=request.seed)
     near_pairs = neighbor_pairs(near, request.neighbors).select(F.col("row_id").alias("place"), F.col("neighbor").alias("other"))
-    pairs = lambda df: np.array(df.collect(), np.int64).reshape(-1, 2)
-    a, b, c = pairs(near_pairs), pairs(mid_near_pairs(placed, n, request.mid_near, request.seed)), pairs(further_pairs(placed, n, request.further, near_pairs, request.seed))
+    near_pairs = near_pairs.persist()  # found once: they are read again to leave them out of the further ones
+    try:
+        a, b, c = _pairs(near_pairs), _pairs(mid_near_pairs(placed, n, request.mid_near, request.seed)), _pairs(further_pairs(placed, n, request.further, near_pairs, request.seed))
+    finally:
+        near_pairs.unpersist()
     first = pca(own, min(request.dimensions, len(x.first()[FEATURES])), "center").projection
     start = np.zeros((n, request.dimensions))
     for place, values in first.select("row_id", FEATURES).collect():

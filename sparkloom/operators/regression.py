@@ -24,8 +24,8 @@ from sparkloom.operators.matrix import FEATURES, block_sum, gram, moments, rows_
 from sparkloom.operators.summary import SummaryTable
 
 
-#: Cells (rows x columns) that the driver takes in at most instead of a job a pass.
-LOCAL = 1_000_000
+#: Parameters up to which a multinomial model is fitted by Newton's method, a Hessian a pass; beyond, by gradients alone.
+NEWTON = 512
 
 
 def _linear(columns: Sequence[Column], beta: np.ndarray) -> Column:
@@ -163,7 +163,14 @@ def logistic(df: DataFrame, label: str, x: Sequence[str], positive: object = 1,
     Complete separation is flagged where the coefficients put every row on its side; there is no optimum then, and the
     steps end when every error is under 1e-6. Without convergence the model says so.
     """
-    rows, p = _labelled(df, label, positive, x), len(x) + 1
+    rows, p = _labelled(df, label, positive, x).cache(), len(x) + 1
+    try:
+        return _newton(rows, p, label, positive, x, iterations, tolerance, ridge)
+    finally:
+        rows.unpersist()
+
+
+def _newton(rows: DataFrame, p: int, label: str, positive: object, x: Sequence[str], iterations: int, tolerance: float, ridge: float) -> Binary:
     beta, separated, converged, turn, n = np.zeros(p), False, False, 0, 0
     for turn in range(1, iterations + 1):
 
@@ -288,10 +295,29 @@ def _classed(df: DataFrame, label: str, classes: Sequence, x: Sequence[str]) ->
     return df.select(F.array(y, *(named(c).cast("double") for c in x)).alias(FEATURES))
 
 
+def _damped(f, at: np.ndarray, iterations: int, tolerance: float) -> tuple[np.ndarray, float, bool]:
+    """Newton's method on f, which gives value, gradient and Hessian; steps are halved until they descend. Directions that change nothing are left alone."""
+    value, g, h = f(at)
+    step, size = None, 1.0
+    for _ in range(iterations):
+        if np.linalg.norm(g) <= tolerance * max(1.0, np.linalg.norm(at)):
+            return at, value, True
+        if step is None:
+            step, size = np.linalg.lstsq(h + 1e-12 * np.eye(len(h)), g, rcond=1e-10)[0], 1.0
+        new = at - size * step
+        fresh = f(new)
+        if fresh[0] < value:
+            at, (value, g, h), step = new, fresh, None
+        elif (size := size / 4) < 1e-6:
+            break
+    return at, value, bool(np.linalg.norm(g) <= tolerance * max(1.0, np.linalg.norm(at)))
+
+
 def multinomial(df: DataFrame, label: str, x: Sequence[str], memory: int = 8, iterations: int = 100, tolerance: float = 1e-4) -> Multinomial:
-    """Softmax with a block of parameters for each class, from zero, by L-BFGS on the mean loss: a pass an evaluation.
+    """Softmax with a block of parameters for each class, from zero, on the mean loss: a pass an evaluation.
 
-    Columns are standardised inside, which changes the path but not the optimum; the blocks' sum stays zero.
+    By Newton's method where the Hessian is small (some ten passes), else by L-BFGS. Columns are standardised inside,
+    which changes the path but not the optimum; the blocks' sum stays zero.
     """
     classes = [r[0] for r in df.select(named(label).alias("c")).distinct().orderBy("c").limit(1001).collect()]
     if not 2 <= len(classes) <= 1000 or None in classes:
@@ -300,8 +326,6 @@ def multinomial(df: DataFrame, label: str, x: Sequence[str], memory: int = 8, it
     try:
         k, p = len(classes), len(x) + 1
         n, mean, sd = moments(rows, p)
-        # some hundred passes: over few rows they are quicker here than as jobs
-        local = rows.toArrow().to_batches() if n * p <= LOCAL else None
         shift, scale = np.concatenate([[0], mean[1:]]), np.concatenate([[1], np.where(sd[1:] > 0, sd[1:], 1)])
 
         def evaluate(flat: np.ndarray) -> tuple[float, np.ndarray]:
@@ -319,10 +343,34 @@ def multinomial(df: DataFrame, label: str, x: Sequence[str], memory: int = 8, it
                 out[:k] = share.T @ d
                 return out
 
-            sums = (block_sum(rows, kernel, (k + 1, p)) if local is None else sum(map(kernel, local))) / n
+            sums = block_sum(rows, kernel, (k + 1, p)) / n
             return float(sums[k, 0]), sums[:k].ravel()
 
-        flat, loss, converged = lbfgs(evaluate, np.zeros(k * p), memory, iterations, tolerance)
+        def curved(flat: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            """Loss, gradient and Hessian in one pass."""
+            beta = flat.reshape(k, p)
+
+            def kernel(batch: pa.RecordBatch) -> np.ndarray:
+                d, y = _design(batch)
+                d = (d - shift) / scale
+                share = _softmax(d @ beta.T)
+                own, at = y.astype(np.int64), np.arange(len(y))
+                out = np.zeros((k * p + 2, k * p))
+                out[k * p + 1, 0] = -np.log(np.maximum(share[at, own], 1e-300)).sum()
+                for a in range(k):
+                    for b in range(a, k):
+                        h = d.T @ (d * (share[:, a] * ((a == b) - share[:, b]))[:, None])
+                        out[a * p : (a + 1) * p, b * p : (b + 1) * p] = h
+                        out[b * p : (b + 1) * p, a * p : (a + 1) * p] = h
+                share[at, own] -= 1
+                out[k * p] = (share.T @ d).ravel()
+                return out
+
+            sums = block_sum(rows, kernel, (k * p + 2, k * p)) / n
+            return float(sums[-1, 0]), sums[-2], sums[:-2]
+
+        start = np.zeros(k * p)
+        flat, loss, converged = _damped(curved, start, iterations, tolerance) if k * p <= NEWTON else lbfgs(evaluate, start, memory, iterations, tolerance)
     finally:
         rows.unpersist()
     beta = flat.reshape(k, p) / scale

@@ -18,8 +18,8 @@ from sparkloom.functions.casts import NAMES, cast
 from sparkloom.sources.delimited import ROW_ID, with_row_id
 
 Value = int | float | str | dt.datetime | None
-#: Ranges of first appearance in which labels are ranked.
-RANGES = 16
+#: Ranges of first appearance in which labels are ranked: as many as shuffle partitions, at most.
+RANGES = 256
 _TYPES = {"int": "bigint", "float": "double", "datetime": "timestamp", "string": "string"}
 
 
@@ -143,15 +143,17 @@ class Table:
 
     def add_to(self, column: str | int, value: float) -> Table:
         """Integers gain the whole part, reals the value, times that many milliseconds, texts the printed number."""
-        own, kind = self.name(column), self.kind(column)
+        own = self.name(column)
+        return Table(self.df.withColumn(own, self._plus(own, value)), self.row_id)
+
+    def _plus(self, own: str, value: float) -> Column:
         c = self[own]
-        new = {
+        return {
             "int": lambda: c + F.lit(int(value)).cast("bigint"),
             "float": lambda: c + F.lit(float(value)),
             "datetime": lambda: F.timestamp_millis(F.unix_millis(c.cast("timestamp")) + F.lit(int(value)).cast("bigint")),
             "string": lambda: F.concat(c, F.lit(f"{value:g}")),
-        }[kind]()
-        return Table(self.df.withColumn(own, new), self.row_id)
+        }[self.kind(own)]()
 
     def make_nullable(self, column: str | int) -> Table:
         own = self.name(column)
@@ -181,20 +183,26 @@ class Table:
         new = F.lit(None).cast(_TYPES[self.kind(own)]) if value is None else cast(F.lit(value).cast(_TYPES[kind_of(value)]), kind_of(value), self.kind(own))
         return Table(self.df.withColumn(own, F.when(F.col(self.row_id) == row, new).otherwise(self[own])), self.row_id)
 
+    def add_to_cell(self, row: int, column: str | int, value: float) -> Table:
+        """One cell gains the value, as add_to() has it; a null stays one."""
+        own = self.name(column)
+        return Table(self.df.withColumn(own, F.when(F.col(self.row_id) == row, self._plus(own, value)).otherwise(self[own])), self.row_id)
+
     def append(self, rows: Sequence[Sequence[Value]]) -> Table:
         """New last rows; each cell is cast to its column's type. Missing cells are null, too many an error."""
         if any(len(r) > self.column_count for r in rows):
             raise OutOfBounds("a row has too many cells")
         last = self.df.agg(F.max(self.row_id)).first()[0]
         start = 0 if last is None else last + 1
-        parts = [self.df]
+        alike: dict[tuple[str | None, ...], list[tuple]] = {}
         for i, r in enumerate(rows):
             cells = [*r, *[None] * (self.column_count - len(r))]
-            own = [F.lit(None).cast(self.df.schema[n].dataType).alias(n) if v is None else cast(F.lit(v).cast(_TYPES[kind_of(v)]), kind_of(v), self.kind(n)).alias(n) for n, v in zip(self.names, cells, strict=True)]
-            parts.append(self.df.sparkSession.range(1).select(F.lit(start + i).cast("bigint").alias(self.row_id), *own))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+            alike.setdefault(tuple(None if v is None else kind_of(v) for v in cells), []).append((start + i, *cells))
+        out = self.df
+        for kinds, own in alike.items():  # a local table for rows whose cells are of the same kinds
+            local = self.df.sparkSession.createDataFrame(own, ", ".join(["__row bigint", *(f"__c{j} {_TYPES[k or 'string']}" for j, k in enumerate(kinds))]))
+            cells = [(F.lit(None) if k is None else cast(F.col(f"__c{j}"), k, self.kind(n))).cast(self.df.schema[n].dataType).alias(n) for j, (k, n) in enumerate(zip(kinds, self.names, strict=True))]
+            out = out.unionByName(local.select(F.col("__row").alias(self.row_id), *cells))
         return Table(out, self.row_id)
 
     # labels and matrices
@@ -230,14 +238,14 @@ def factorized(df: DataFrame, column: str, order: str, code: str = "code") -> Da
     values are ranked within ranges of their first appearance, and ranges are shifted by what comes before.
     """
     first = df.where(named(column).isNotNull()).groupBy(named(column).alias(column)).agg(F.min(named(order)).alias("__first"))
-    cuts = sorted(set(first.approxQuantile("__first", [i / RANGES for i in range(1, RANGES)], 0.01)))
-    part = sum((F.when(F.col("__first") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    wanted = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(first.approxQuantile("__first", [i / wanted for i in range(1, wanted)], 1 / (8 * wanted))))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__first"))) if cuts else F.lit(0)
     ranges = first.withColumn("__part", part)
     shift, at = [], 0
     for p, n in sorted((r["__part"], r["n"]) for r in ranges.groupBy("__part").agg(F.count("*").alias("n")).collect()):  # RANGES rows at most
-        shift += [F.lit(p), F.lit(at).cast("bigint")]
+        shift.append((p, at))
         at += n
-    if not shift:
-        return first.select(named(column), F.lit(0).cast("bigint").alias(code)).limit(0)
     rank = F.row_number().over(W.partitionBy("__part").orderBy("__first", named(column))) - 1
-    return ranges.select(named(column), (rank + F.element_at(F.create_map(*shift), F.col("__part"))).cast("bigint").alias(code))
+    starts = df.sparkSession.createDataFrame(shift, "__part int, __start bigint")
+    return ranges.withColumn("__rank", rank).join(F.broadcast(starts), "__part").select(named(column), (F.col("__rank") + F.col("__start")).cast("bigint").alias(code))

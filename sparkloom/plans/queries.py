@@ -16,6 +16,8 @@ from sparkloom.functions import casts, distributions, parsing, regex, vectors
 from sparkloom.operators import containers, decompose, linalg, neighbors, pacmap, regression
 from sparkloom.operators import matrix as M
 from sparkloom.operators.table import Table, factorized
+from sparkloom.session import scratch
+from sparkloom.sources import delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,6 +124,19 @@ def matrix_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.block(_vectors(spark, sf_dir), 10, 20, 2, 2).select("row_id", *((F.round(F.col("features")[i], 6) + 0.0).alias(c) for i, c in enumerate("ab")))
 
 
+@query("select cast(k as bigint) as row_id, n_nationkey as i, cast(case k when 0 then n_nationkey else n_regionkey end as double) as v from nation, range(2) r(k)")
+def matrix_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = M.features(read(spark, sf_dir, "nation").withColumn("row_id", F.col("n_nationkey").cast("long")), ["n_nationkey", "n_regionkey"])
+    return M.transpose(x).select("row_id", F.posexplode("features").alias("i", "v")).select("row_id", F.col("i").cast("bigint").alias("i"), "v")
+
+
+@query("select case vec_id when 3 then 8 when 8 then 3 else vec_id end as row_id, round(cast(embedding[64] as double), 6) + 0.0 as a, round(cast(embedding[2] as double), 6) + 0.0 as b, round(cast(embedding[1] as double), 6) + 0.0 as c from embeddings")
+def matrix_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 3 and 8, and the first and last columns, change places."""
+    x = M.swap_columns(M.swap_rows(_vectors(spark, sf_dir), 3, 8), 0, 63)
+    return x.select("row_id", *((F.round(F.col("features")[i], 6) + 0.0).alias(c) for i, c in ((0, "a"), (1, "b"), (63, "c"))))
+
+
 # decompositions: what they multiply back to
 
 
@@ -155,12 +170,19 @@ def eigen_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, vectors_ @ np.diag(values) @ vectors_.T, 3)
 
 
-@query("select cast(i as bigint) as i, cast(i2 as bigint) as j, case when i = i2 then 1.0 else 0.0 end as v from range(4) a(i), range(4) b(i2)")
+#: Three columns of like scale, their covariances, and the inverse of those by cofactors.
+THREE = ["l_quantity", "l_discount * 100", "l_linenumber"]
+_COV3 = "select var_samp(q) a, covar_samp(q, d) b, covar_samp(q, n) c, var_samp(d) e, covar_samp(d, n) f, var_samp(n) g from (select l_quantity q, l_discount * 100 d, l_linenumber n from lineitem)"
+_INVERSE = {(0, 0): "e * g - f * f", (0, 1): "c * f - b * g", (0, 2): "b * f - c * e", (1, 1): "a * g - c * c", (1, 2): "b * c - a * f", (2, 2): "a * e - b * b"}
+_CELLS3 = " union all ".join(f"select {i} as i, {j} as j, ({_INVERSE[min(i, j), max(i, j)]}) / det as v from s" for i in range(3) for j in range(3))
+_SUMS3 = f"with s as (select *, a * (e * g - f * f) - b * (b * g - f * c) + c * (b * f - e * c) as det from ({_COV3}))"
+
+
+@query(f"{_SUMS3} select cast(i as bigint) as i, cast(j as bigint) as j, round(v, 9) + 0.0 as v from ({_CELLS3})")
 def gauss_jordan_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _line_cov(spark, sf_dir)
-    d = np.sqrt(np.diag(a))
-    c = a / np.outer(d, d)
-    return _cells(spark, c @ linalg.gauss_jordan(c, np.eye(4)), 6)
+    x = read(spark, sf_dir, "lineitem").select(F.array(*(F.expr(c).cast("double") for c in THREE)).alias("features"))
+    n, mean, _ = M.moments(x)
+    return _cells(spark, linalg.gauss_jordan(M.gram(x, mean) / (n - 1), np.eye(3)), 9)
 
 
 _GRAM64 = "select cast(i - 1 as bigint) as i, cast(j - 1 as bigint) as j, round(sum(cast(embedding[i] as double) * cast(embedding[j] as double)), 6) + 0.0 as v from embeddings, range(1, 65) a(i), range(1, 65) b(j) group by all"
@@ -173,11 +195,16 @@ def tsqr_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, r.T @ r, 6)
 
 
-@query(_GRAM64)
+#: Five columns of rank two.
+RANK2 = ["l_quantity", "l_discount * 100", "l_quantity + l_discount * 100", "l_quantity - l_discount * 50", "2 * l_quantity + l_discount * 300"]
+
+
+@query(_cov_sql([f"({c})" for c in RANK2], 4))
 def low_rank_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At full rank, (Q'A)'(Q'A) is A'A."""
-    b = decompose.low_rank(_vectors(spark, sf_dir), iterations=2)
-    return _cells(spark, b.T @ b, 6)
+    """Columns of rank two, sketched with rank two: B'B is A'A only if the sketch holds the whole of their space."""
+    x = read(spark, sf_dir, "lineitem").select(F.array(*(F.expr(c).cast("double") for c in RANK2)).alias("features"))
+    b = decompose.low_rank(x, rank=2, iterations=2)
+    return _cells(spark, b.T @ b / (x.count() - 1), 4)
 
 
 _EACH = "select vec_id as row_id, cast(i - 1 as bigint) as i, round(cast(embedding[i] as double), 5) + 0.0 as v from embeddings, range(1, 65) r(i)"
@@ -234,15 +261,34 @@ def ols_fit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s.n, round(s.r2, 8), round(s.adjusted_r2, 8), round(s.f, 1), round(s.aic, 2), round(s.bic, 2), round(float(s.se[1]), 6))], "n bigint, r2 double, adjusted_r2 double, f double, aic double, bic double, se_quantity double")
 
 
-@query()
-def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: a full coefficient table of prices on three columns."""
-    df = read(spark, sf_dir, "lineitem")
-    s = regression.ols_summary(regression.ols(df, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), df)
+def _coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "lineitem").select("l_extendedprice", *(F.expr(c).alias(n) for c, n in zip(THREE, ("quantity", "discount", "line"), strict=True)))
+    s = regression.ols_summary(regression.ols(df, "l_extendedprice", ["quantity", "discount", "line"]), df)
     rows = [(n, *(float(v) for v in r)) for n, *r in zip(s.names, s.beta, s.se, s.t, s.p, s.low, s.high, strict=True)]
     return spark.createDataFrame(rows, "name string, coefficient double, std_error double, t double, p double, low double, high double")
 
 
+_NORMAL = f"""{_SUMS3}, y as (select avg(p) my, var_samp(p) yy, covar_samp(p, q) y0, covar_samp(p, d) y1, covar_samp(p, n) y2, avg(q) m0, avg(d) m1, avg(n) m2, count(*) rows_ from (select l_extendedprice p, l_quantity q, l_discount * 100 d, l_linenumber n from lineitem)),
+inv as ({_CELLS3}),
+beta as (select i, sum(v * case j when 0 then y0 when 1 then y1 else y2 end) as b from inv, y group by i),
+left_ as (select (yy - (select sum(b * case i when 0 then y0 when 1 then y1 else y2 end) from beta)) * (rows_ - 1) / (rows_ - 4) as s2 from y),
+told as (select case b.i when 0 then 'quantity' when 1 then 'discount' else 'line' end as name, b.b as coefficient, sqrt(s2 * v / (rows_ - 1)) as std_error from beta b join inv on inv.i = b.i and inv.j = b.i, left_, y
+  union all select 'constant', my - (select sum(b * case i when 0 then m0 when 1 then m1 else m2 end) from beta), sqrt(s2 * (1.0 / rows_ + (select sum(v * case i when 0 then m0 when 1 then m1 else m2 end * case j when 0 then m0 when 1 then m1 else m2 end) from inv) / (rows_ - 1))) from left_, y)
+select name, round(coefficient, 5) as coefficient, round(std_error, 5) as std_error, round(coefficient / std_error, 4) as t from told"""
+
+
+@query(_NORMAL)
+def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: coefficients of prices on three columns, their errors and t; in SQL by the normal equations."""
+    return _coefficients(spark, sf_dir).select("name", F.round("coefficient", 5).alias("coefficient"), F.round("std_error", 5).alias("std_error"), F.round("t", 4).alias("t"))
+
+
+@query()
+def ols_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rest of that table: p-values and intervals, which need the t distribution."""
+    return _coefficients(spark, sf_dir).select("name", "p", "low", "high")
+
+
 LOGIT_X = ["l_quantity", "l_discount", "l_tax"]
 
 
@@ -254,13 +300,15 @@ def logistic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.sum(p), 2).alias("positives"), F.round(F.sum(p * F.col("l_quantity")), 1).alias("quantity"), F.round(F.sum(p * F.col("l_discount")), 2).alias("discount"))
 
 
-@query("select cast(label as bigint) as class, round(count(*), 1) as expected, cast(count(*) as bigint) as n from embeddings group by label")
+@query(f"select cast(label as bigint) as class, round(count(*), 2) as expected, {', '.join(f'round(sum(cast(embedding[{i + 1}] as double)), 3) + 0.0 as x{i}' for i in range(4))}, cast(count(*) as bigint) as n from embeddings group by label")
 def multinomial_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likewise for each class."""
+    """Likewise for each class, and for each column within it: what only the optimum meets."""
     df = read(spark, sf_dir, "embeddings").select("label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)))
-    model = regression.multinomial(df, "label", [f"x{i}" for i in range(4)], tolerance=1e-6, iterations=200)
-    each = df.select(F.explode(model.predict()).alias("e")).groupBy(F.col("e.class").cast("bigint").alias("class")).agg(F.round(F.sum("e.probability"), 1).alias("expected"))
-    return each.join(df.groupBy(F.col("label").cast("bigint").alias("class")).agg(F.count("*").alias("n")), "class").select("class", "expected", "n")
+    model = regression.multinomial(df, "label", [f"x{i}" for i in range(4)], tolerance=1e-9, iterations=200)
+    chances = df.select(*(f"x{i}" for i in range(4)), F.explode(model.predict()).alias("e"))
+    sums = [(F.round(F.sum(F.col("e.probability") * F.col(f"x{i}")), 3) + 0.0).alias(f"x{i}") for i in range(4)]
+    each = chances.groupBy(F.col("e.class").cast("bigint").alias("class")).agg(F.round(F.sum("e.probability"), 2).alias("expected"), *sums)
+    return each.join(df.groupBy(F.col("label").cast("bigint").alias("class")).agg(F.count("*").alias("n")), "class").select("class", "expected", "x0", "x1", "x2", "x3", "n")
 
 
 @query()
@@ -338,10 +386,57 @@ def parse_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", parsing.parse_integer(n).alias("whole"), parsing.parse_float(F.concat(n, F.lit(".5"))).alias("part"), parsing.parse_float(F.concat(n, F.lit("e2"))).alias("power"), parsing.parse_integer(F.col("props")).alias("none"), parsing.kind(n).alias("kind_whole"), parsing.kind(F.concat(n, F.lit(".5"))).alias("kind_part"), parsing.kind(F.col("props")).alias("kind_text"))
 
 
-@query("select 'bigint' as keys, 'double' as prices, 'timestamp' as dates, 'string' as words")
+def _mixed(cast: str) -> dict[str, str]:
+    """Columns of text cells, some of one kind and some of several, in words that both engines have."""
+    key, price, day = (f"cast({c} as {cast})" for c in ("o_orderkey", "o_totalprice", "cast(o_orderdate as date)"))
+    return {
+        "keys": key, "prices": price, "days": day, "words": "o_orderstatus", "gaps": f"case when o_orderkey % 3 = 0 then '' else {key} end",
+        "mostly_whole": f"case when o_orderkey % 1000 = 7 then {price} else {key} end", "mostly_days": f"case when o_orderkey % 1000 = 7 then {key} else {day} end",
+        "mostly_numbers": f"case when o_orderkey = (select max(o_orderkey) from orders) then 'n/a' else {price} end",
+    }
+
+
+def _kind_sql(cell: str) -> str:
+    whole, real, day = (f"count(*) filter (regexp_full_match(x, '{p}'))" for p in ("[+-]?[0-9]{1,19}", "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?", "[0-9]{4}-[0-9]{2}-[0-9]{2}"))
+    return f"(select case when count(x) = 0 then 'string' when {whole} = count(x) then 'bigint' when {real} = count(x) then 'double' when {day} = count(x) then 'timestamp' else 'string' end from (select nullif({cell}, '') as x from orders))"
+
+
+@query("select " + ", ".join(f"{_kind_sql(cell)} as {name}" for name, cell in _mixed("varchar").items()))
 def infer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = lambda x: parsing.column_kind(F.col(x).cast("string"))
-    return read(spark, sf_dir, "orders").agg(c("o_orderkey").alias("keys"), c("o_totalprice").alias("prices"), parsing.column_kind(F.date_format("o_orderdate", parsing.ISO)).alias("dates"), c("o_orderstatus").alias("words"))
+    orders = read(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    cells = {n: c.replace("(select max(o_orderkey) from orders)", str(last)) for n, c in _mixed("string").items()}
+    return orders.agg(*(parsing.column_kind(F.expr(c)).alias(n) for n, c in cells.items()))
+
+
+# delimited text: tables are written as text and read again with inferred types
+
+
+@query("select c_custkey, c_name, c_mktsegment, round(c_acctbal, 2) as c_acctbal from customer")
+def delimited_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    delimited.to_delimited(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), path)
+    df = delimited.from_delimited(spark, path)
+    return df.select("c_custkey", "c_name", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query("select o_orderkey, epoch_ms(o_orderdate) as millis, case when o_orderkey % 5 <> 0 then o_totalprice end as price, o_orderstatus from orders")
+def delimited_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, numbers with gaps and words; separated by semicolons."""
+    path = scratch(spark)
+    cells = read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", parsing.ISO).alias("day"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"), "o_orderstatus")
+    delimited.to_delimited(cells, path, sep=";")
+    df = delimited.from_delimited(spark, path, sep=";")
+    return df.select("o_orderkey", F.unix_millis("day").alias("millis"), "price", "o_orderstatus")
+
+
+@query("select count(*) as n, cast(0 as bigint) as least, count(*) - 1 as most, count(*) as different, cast(sum(l_quantity) as double) as quantity, round(sum(l_discount), 2) as discount from lineitem")
+def delimited_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix from text without names: rows are numbered from 0 without gaps."""
+    path = scratch(spark)
+    delimited.to_delimited(read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount"), path, header=False)
+    x = delimited.matrix_from_delimited(spark, path)
+    return x.agg(F.count("*").alias("n"), F.min("row_id").alias("least"), F.max("row_id").alias("most"), F.count_distinct("row_id").alias("different"), F.sum(F.col("features")[0]).alias("quantity"), F.round(F.sum(F.col("features")[1]), 2).alias("discount"))
 
 
 # tables
@@ -384,6 +479,12 @@ def assign_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.set_cell(3, "c_name", "nobody").assign("c_acctbal", 1.5).df
 
 
+@query("select c_custkey, case when c_custkey = 3 then c_name || '2' else c_name end as c_name, case when c_custkey = 5 then round(c_acctbal + 2.5, 6) else round(c_acctbal, 6) end as c_acctbal from customer")
+def cell_plus_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Table(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey")
+    return t.add_to_cell(3, "c_name", 2).add_to_cell(5, "c_acctbal", 2.5).df.select("c_custkey", "c_name", F.round("c_acctbal", 6).alias("c_acctbal"))
+
+
 @query("select o_orderkey, cast(o_custkey as double) as a, o_totalprice as b, cast(epoch_ms(o_orderdate) as double) as c from orders")
 def table_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Table(read(spark, sf_dir, "orders"), "o_orderkey").to_matrix(["o_custkey", "o_totalprice", "o_orderdate"])
@@ -534,11 +635,26 @@ def regex_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # distributions
 
 
-@query()
+_ERF = "list_sum(list_transform(range(0, 30), lambda k: case when k % 2 = 0 then 1 else -1 end * power(x, 2 * k + 1) / (power(2.0, k) * factorial(cast(least(k, 19) as integer)) * (2 * k + 1)) * case when k < 20 then 1 else 0 end))"
+
+
+@query(f"select p_partkey, x, round(1 - power(1 + 2 * x / 7, -3.5), 9) as f, round(0.5 + (atan(x / sqrt(5)) + x / sqrt(5) / (1 + x * x / 5) * (1 + 2.0 / 3 / (1 + x * x / 5))) / pi(), 9) as t, round(8 / (3 * pi() * sqrt(5)) * power(1 + x * x / 5, -3), 9) as t_density, round(0.5 + {_ERF} / sqrt(2 * pi()), 9) as normal, round(exp(-x * x / 2) / sqrt(2 * pi()), 9) as density, round(x, 9) as back from (select p_partkey, p_size / 51.0 as x from part)")
 def distribution_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = distributions
-    x = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 51.0).alias("x"))
-    return x.select("p_partkey", "x", d.beta_cdf_of(F.col("x"), F.lit(2.0), F.lit(3.0)).alias("beta"), d.f_cdf_of(F.col("x"), F.lit(3.0), F.lit(7.0)).alias("f"), d.t_cdf_of(F.col("x"), F.lit(5.0)).alias("t"), d.normal_cdf_of(F.col("x"), F.lit(0.0), F.lit(1.0)).alias("normal"), d.normal_quantile_of(F.col("x"), F.lit(0.0), F.lit(1.0)).alias("quantile"))
+    """F of 2 and 7 and t of 5 degrees have closed forms, the normal distribution a series; its quantile is the inverse."""
+    d, x = distributions, F.col("x")
+    rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 51.0).alias("x"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    told = rows.withColumn("q", d.normal_quantile_of(x, zero, one)).select(
+        "p_partkey", "x", F.round(d.f_cdf_of(x, F.lit(2.0), F.lit(7.0)), 9).alias("f"), F.round(d.t_cdf_of(x, F.lit(5.0)), 9).alias("t"), F.round(d.t_pdf_of(x, F.lit(5.0)), 9).alias("t_density"),
+        F.round(d.normal_cdf_of(x, zero, one), 9).alias("normal"), F.round(d.normal_density_of(x, zero, one), 9).alias("density"), F.round(d.normal_cdf_of(F.col("q"), zero, one), 9).alias("back"),
+    )
+    return told
+
+
+@query()
+def ann_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate neighbours of one row, looking into 200 leaves."""
+    return neighbors.approximate_of(_vectors(spark, sf_dir), 7, 20, checks=200)
 
 
 @query("select p_partkey, round(x * x * (6 - 8 * x + 3 * x * x), 9) as beta, round(0.5 + x / 2 / sqrt(2 + x * x), 9) as t from (select p_partkey, p_size / 51.0 as x from part)")
@@ -548,12 +664,17 @@ def distributions_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.round(d.beta_cdf_of(x, F.lit(2.0), F.lit(3.0)), 9).alias("beta"), F.round(d.t_cdf_of(x, F.lit(2.0)), 9).alias("t"))
 
 
-@query("select cast(i as bigint) as row_id, cast(j as bigint) as i, case when i = j then 1.0 else 0.0 end as v from range(8) a(i), range(8) b(j)")
+@query("select n_nationkey as i, cast(k as bigint) as j, cast(case k when 0 then n_nationkey else n_regionkey end as double) as v from nation, range(2) r(k)")
 def matrix_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(M.identity(spark, 8))
+    """I'A is A."""
+    nation = read(spark, sf_dir, "nation").withColumn("row_id", F.col("n_nationkey").cast("long"))
+    return _cells(spark, M.transpose_multiply(M.identity(spark, nation.count()), M.features(nation, ["n_nationkey", "n_regionkey"])), 9)
 
 
-@query()
+@query("select count(*) * 3 as cells, count(*) * 3 as different, true as bounded, true as centred, true as spread, true as of_normal_shape from orders")
 def random_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, g = M.random_uniform(spark, 1000, 3, -1.0, 1.0), M.random_gaussian(spark, 1000, 3, 2.0)
-    return u.withColumnRenamed("features", "uniform").join(g.withColumnRenamed("features", "gaussian"), "row_id")
+    """As many rows as orders; means and variances within five standard errors."""
+    n = read(spark, sf_dir, "orders").count()
+    u = M.random_uniform(spark, n, 3, -1.0, 1.0).select(F.explode("features").alias("u")).agg(F.count("*").alias("cells"), F.count_distinct("u").alias("different"), (F.max(F.abs("u")) < 1).alias("bounded"), (F.abs(F.avg("u")) < 5 / (9 * n) ** 0.5).alias("centred"))
+    g = M.random_gaussian(spark, n, 3, 2.0).select(F.explode("features").alias("g")).agg((F.abs(F.var_pop("g") - 4) < 5 * 4 * (2 / (3 * n)) ** 0.5).alias("spread"), (F.abs(F.avg(F.when(F.abs("g") < 2, 1.0).otherwise(0.0)) - 0.6826894921) < 5 * (0.22 / (3 * n)) ** 0.5).alias("of_normal_shape"))
+    return u.crossJoin(g)  # a row each

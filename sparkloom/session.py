@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from sparkloom.errors import InvalidRequest
+
 _SHIPPED: set[str] = set()
 
 
@@ -22,6 +26,16 @@ def session(app: str = "sparkloom", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir; a local one only in local mode and where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise InvalidRequest("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sparkloom-")
+    return f"{folder.rstrip('/')}/sparkloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, unless their Python finds it anyway."""
     package = Path(__file__).resolve().parent

@@ -17,18 +17,20 @@ ROW_ID = "row_id"
 
 
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
-    """Consecutive numbers from 0 in scan order. Counts per partition (a number each) come to the driver."""
-    rows = df.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    starts, at = {}, 0
+    """Consecutive numbers from 0 in scan order. Counts per partition (a number each) come to the driver and go back as a table.
+
+    A row outside what was counted, as where files have changed since, is an error.
+    """
+    rows = df.withColumn("__m", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__m", 33))
+    counts = sorted((r["__part"], r["n"]) for r in rows.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    starts, at = [], 0
     for p, n in counts:
-        starts[p] = at
+        starts.append((p, at, n))
         at += n
-    if not starts:
-        return rows.withColumn(name, F.col("__m")).drop("__m")
-    start = F.element_at(F.create_map(*(F.lit(x).cast("bigint") for kv in starts.items() for x in kv)), part)
-    return rows.withColumn(name, start + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m")
+    known = df.sparkSession.createDataFrame(starts, "__part bigint, __start bigint, __n bigint")
+    place = F.col("__m").bitwiseAND((1 << 33) - 1)
+    checked = F.when(place < F.col("__n"), F.col("__start") + place).otherwise(F.raise_error(F.lit("the rows have changed since they were counted")).cast("bigint"))
+    return rows.join(F.broadcast(known), "__part", "left").withColumn(name, checked).drop("__m", "__part", "__start", "__n")
 
 
 def _header(name: str | None, i: int) -> str:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.errors import InvalidRequest
+from sparkloom.errors import InvalidPattern, InvalidRequest
 from sparkloom.functions import casts, parsing, regex, vectors
 from sparkloom.functions import distributions as D
 
@@ -120,5 +120,41 @@ def test_distributions_by_identities():
 
 def test_distribution_columns(spark):
     got = column(spark, [0.25, None], "double", D.beta_cdf_of(F.col("c"), F.lit(2.0), F.lit(3.0)), D.t_pdf_of(F.col("c"), F.lit(3.0)))
-    assert got[0] == (D.beta_cdf(0.25, 2, 3), D.t_pdf(0.25, 3))
+    assert got[0] == pytest.approx((D.beta_cdf(0.25, 2, 3), D.t_pdf(0.25, 3)), rel=1e-13)
     assert got[1] == (None, None)
+
+
+def test_whole_blocks_are_as_single_numbers():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.uniform(0, 1, 200), [0.0, 1.0, np.nan, 0.5]])
+    a, b = (np.concatenate([rng.uniform(0.05, 60, 150), 10 ** rng.uniform(-3, 5, 54)]) for _ in range(2))
+    t = np.concatenate([rng.normal(size=201) * 10, [0.0, np.inf, -np.inf]])
+    for lower in (True, False):
+        for log in (False, True):
+            for many, one, args in ((D.beta_cdfs, D.beta_cdf, (x, a, b)), (D.f_cdfs, D.f_cdf, (np.abs(t), a, b)), (D.t_cdfs, D.t_cdf, (t, a)), (D.normal_cdfs, D.normal_cdf, (t, x, a))):
+                want = [one(*map(float, v), lower=lower, log=log) for v in zip(*args, strict=True)]
+                np.testing.assert_allclose(many(*args, lower=lower, log=log), want, rtol=2e-9 if log else 1e-9, atol=1e-13)
+    p = np.concatenate([x[:200], 10.0 ** -np.arange(1, 300, 17), [0.0, 1.0, 0.5, 1.5, np.nan]])
+    want = [D.normal_quantile(float(v), 1.0, 2.0) for v in p]
+    np.testing.assert_allclose(D.normal_quantiles(p, np.full(len(p), 1.0), np.full(len(p), 2.0)), want, rtol=1e-11, atol=1e-13)
+    np.testing.assert_allclose(D.log_gamma(np.array([1e-3, 0.5, 1, 2, 11.9, 12, 170, 1e6])), [math.lgamma(v) for v in (1e-3, 0.5, 1, 2, 11.9, 12, 170, 1e6)], rtol=1e-13, atol=1e-13)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "kind"),
+    [("a[bc", "bracket"), ("a]", "bracket"), ("[]", "bracket"), ("[^]", "bracket"), ("(a", "parenthesis"), ("a)", "parenthesis"), ("*a", "metacharacter"), ("a**", "metacharacter"), ("(|+)", "metacharacter"), ("a{2", "metacharacter"), ("a\\", "metacharacter")],
+)
+def test_patterns_that_fail_say_why(pattern, kind):
+    with pytest.raises(InvalidPattern) as e:
+        regex.compiled(pattern)
+    assert e.value.kind == kind
+
+
+def test_patterns_that_compile():
+    for pattern in (r"[\]a]+?", "(?i)a{2,}|b", "(?:a|b)*", "[^^]", "^(a)(b)?$", r"\(\[", "a{1,3}+", "(?<n>x)+"):
+        assert regex.compiled(pattern) == pattern
+    regex.check("a|b|c", branches=3)
+    for limits in ({"branches": 2}, {"groups": 0}):
+        with pytest.raises(InvalidPattern) as e:
+            regex.check("(a|b|c)", **limits)
+        assert e.value.kind == next(iter(limits))

@@ -171,9 +171,9 @@ def test_logistic(spark, simulated):
     assert "separated" in str(regression.logistic_summary(m, apart))
 
 
-@pytest.mark.parametrize("local", [10**6, 0])
-def test_multinomial(spark, simulated, monkeypatch, local):
-    monkeypatch.setattr(regression, "LOCAL", local)
+@pytest.mark.parametrize("newton", [10**6, 0])
+def test_multinomial(spark, simulated, monkeypatch, newton):
+    monkeypatch.setattr(regression, "NEWTON", newton)
     m = regression.multinomial(simulated, "g", ["x1", "x2"], tolerance=1e-6)
     assert m.converged
     assert np.allclose(m.beta.sum(axis=0), 0, atol=1e-8)
@@ -245,3 +245,39 @@ def test_crowded_leaves_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "BLOCK", 10)
     one = neighbors.Forest([neighbors.grow(x[:1], 1, 0)])
     assert {(r.row_id, r.rank, r.neighbor) for r in neighbors.approximate(df, 4, forest=one).collect()} == want
+
+
+def test_transpose_and_swaps(spark):
+    a = np.arange(12.0).reshape(4, 3)
+    x = frame(spark, a)
+    assert (M.collected(M.transpose(x)) == a.T).all()
+    assert (M.collected(M.transpose(M.transpose(x))) == a).all()
+    assert (M.collected(M.swap_rows(x, 0, 2)) == a[[2, 1, 0, 3]]).all()
+    assert (M.collected(M.swap_columns(x, 2, 1)) == a[:, [0, 2, 1]]).all()
+    assert M.transpose(x.limit(0)).count() == 0
+    for wrong in (lambda: M.swap_rows(x, 0, 4), lambda: M.swap_columns(x, 0, 3), lambda: M.transpose(x, most=3)):
+        with pytest.raises((OutOfBounds, InvalidRequest)):
+            wrong()
+
+
+def test_one_row_by_forest(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(3000, 6))
+    x = frame(spark, a)
+    own = neighbors.Forest.fit(x, trees=6, leaf=60)
+    hits = {}
+    for checks in (1, 60):
+        hits[checks] = 0
+        for i in (0, 700, 2999):
+            got = neighbors.approximate_of(x, i, 10, checks=checks, forest=own).collect()
+            d = ((a - a[i]) ** 2).sum(axis=1)
+            want = [j for j in np.argsort(d) if j != i][:10]
+            assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+            assert all(abs(r.distance - d[r.neighbor] ** 0.5) < 1e-9 for r in got)
+            hits[checks] += len({r.neighbor for r in got} & set(want))
+    assert hits[60] >= 27 and hits[60] >= hits[1]
+    assert [len(leaves) for leaves in own.near(a[0], 0)] == [1] * 6
+    with pytest.raises(InvalidRequest):
+        neighbors.approximate_of(x, 9999, 3)
+    with pytest.raises(InvalidRequest):
+        neighbors.exact(x, 3, most=100)

@@ -144,3 +144,14 @@ def test_names_with_dots(spark):
     assert multinomial(u.df, "label", ["x.a", "x.b"]).n == 60
     assert abs(ols(u.df, "x.a", ["x.b"]).beta).max() < 10
     assert u.to_matrix(["x.a"]).count() == 60
+
+
+def test_cells_gain_and_rows_of_several_kinds(t):
+    n = t.row_count()
+    first = t.names[0]
+    more = t.append([[7], [7.9], ["8"], [None], []])
+    assert more.row_count() == n + 5
+    assert [more.cell(n + i, first) for i in range(5)] == [7, 7, 8, None, None]
+    assert more.append([]).row_count() == n + 5
+    up = more.add_to_cell(n, first, 2.7).add_to_cell(n + 3, first, 1)
+    assert [up.cell(n + i, first) for i in range(4)] == [9, 7, 8, None]
