@@ -187,10 +187,10 @@ def _ranges(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, later: np.ndarr
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (later[1:] != later[:-1]) | (start[1:] > end[:-1])]) if len(doc) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     end = np.maximum.reduceat(end, at) if len(at) else at
-    rows = np.stack([start[at], end, later[at].astype(np.int64), tag[at].astype(np.int64)], axis=1).astype(np.int64)
+    rows = np.stack([start[at], end, later[at].astype(np.int64) + 2 * tag[at].astype(np.int64)], axis=1).astype(np.uint32)
     docs = doc[at]
     own = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else at
-    return pa.record_batch([pa.array(docs[own]), binary_array(rows.tobytes(), np.concatenate([own, [len(docs)]]) * 32)], names=["doc_id", "flags"])
+    return pa.record_batch([pa.array(docs[own]), binary_array(rows.tobytes(), np.concatenate([own, [len(docs)]]) * 12)], names=["doc_id", "flags"])
 
 
 def _seal(x: list[np.ndarray], window: int, span: int, n: int) -> pa.RecordBatch:
@@ -327,7 +327,7 @@ def _extended(window: int, span: int):
 def repeats(docs: DataFrame, window: int, k: int, span: int) -> DataFrame:
     """doc_id and flags, a list of blobs, for the documents that hold a window which another document holds too.
 
-    A blob is int64 rows of four: first word and end of words that repeated windows cover, 1 if a smaller doc_id
+    told() reads the blobs: first word and end of words that repeated windows cover, 1 if a smaller doc_id
     holds them too, else 0, and the row's tag_of(). Rows of null doc_id take no part. The windows of one document
     are not compared with each other. Seeds are k-grams that start in a window's first span + 1 places; a key is told by 64
     bits of hash, each further word by 32.
@@ -341,9 +341,15 @@ def repeats(docs: DataFrame, window: int, k: int, span: int) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_list("flags").alias("flags"))
 
 
+def told(flags: list[bytes] | None) -> np.ndarray:
+    """Rows of four numbers from one document's blobs."""
+    rows = np.frombuffer(b"".join(flags or ()), np.uint32).reshape(-1, 3).astype(np.int64)
+    return np.column_stack([rows[:, :2], rows[:, 2] & 1, rows[:, 2] >> 1])
+
+
 def covered(flags: list[bytes] | None, tag: int) -> np.ndarray:
     """The rows of one document's blobs that are its own."""
-    rows = np.frombuffer(b"".join(flags or ()), np.int64).reshape(-1, 4)
+    rows = told(flags)
     return rows[rows[:, 3] == tag]
 
 

@@ -11,8 +11,9 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, word_chunks
+from sparkloom.llm.common import binary, trimmed, word_chunks
 from sparkloom.llm.repeats import covered, merged, repeats, tag_of
 
 WINDOW, ANCHOR = 13, 5
@@ -22,11 +23,26 @@ WINDOW, ANCHOR = 13, 5
 ROWS = 500
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for their way to their ranges."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.record_batch([batch["doc_id"], pa.array([pack(x.as_py()) for x in batch["text"]], pa.binary())], names=["doc_id", "text"])
+
+
+def unpacked(text: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(text)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         rows = []
         for doc_id, text, flags in zip(batch["doc_id"].to_pylist(), batch["text"], batch["flags"], strict=True):
-            raw, flags = text.as_py(), flags.as_py()
+            raw, flags = unpacked(text.as_py()), flags.as_py()
             own = covered(flags, tag_of(raw)) if flags else np.zeros((0, 4), np.int64)
             spans = merged(own[own[:, 2] == 1])
             sha, n, gap, kept = hashlib.sha256(), 0, b"", []
@@ -66,8 +82,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     any: its row stays whole. Rows that repeat a doc_id are each compared with smaller ids only. Words are told by
     bytes. Columns other than doc_id and text are ignored.
     """
-    own = docs.select("doc_id", "text")
-    return binary(own).join(repeats(own, window, anchor, window - anchor), "doc_id", "left").select("doc_id", "text", "flags").mapInArrow(partial(_cut, texts=texts), "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string, removed array<string>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return binary(own).mapInArrow(trimmed(_packed), "doc_id long, text binary").join(repeats(own, window, anchor, window - anchor), "doc_id", "left").select("doc_id", "text", "flags").mapInArrow(partial(_cut, texts=texts), "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string, removed array<string>")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.repeats import merged, repeats
+from sparkloom.llm.repeats import merged, repeats, told
 
 #: Words of a repeated passage at least, of the gram whose hash selects a suffix, and places of a passage after the first where that may be.
 PASSAGE, MINIMISER, SPREAD = 50, 8, 21
@@ -24,7 +24,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, flags in zip(batch["doc_id"].to_pylist(), batch["flags"], strict=True):
-            own = np.frombuffer(b"".join(flags.as_py()), np.int64).reshape(-1, 4)
+            own = told(flags.as_py())
             for tag in np.unique(own[:, 3]):
                 mine = own[own[:, 3] == tag]
                 every, copies = merged(mine), merged(mine[mine[:, 2] == 1])
