@@ -66,3 +66,21 @@ def ordered(df: DataFrame, column: str, unique: bool = False) -> DataFrame:
     """All values in order; unique: each once."""
     own = df.select(column)
     return (own.distinct() if unique else own).orderBy(column)
+
+
+def bitset(df: DataFrame, row_id: str, holds: Column) -> DataFrame:
+    """bucket and bits: bitmaps of 32,768 rows each, whose bits are set where the condition holds; a bucket without any has no row."""
+    own = df.where(holds).select(F.col(row_id).cast("bigint").alias("__row"))
+    return own.groupBy(F.bitmap_bucket_number("__row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__row")).alias("bits"))
+
+
+def bit_is_set(bits: Column, row: Column) -> Column:
+    """Whether a bitmap of bitset() has the row's bit; false where there is no bitmap."""
+    at = F.bitmap_bit_position(row.cast("bigint"))
+    byte = F.conv(F.hex(F.substr(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce((F.floor(byte / F.pow(F.lit(2), at % 8)) % 2) == 1, F.lit(False))
+
+
+def bits_set(bits: DataFrame) -> DataFrame:
+    """n and some: how many bits are set in all, and whether any is."""
+    return bits.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("bigint").alias("n")).withColumn("some", F.col("n") > 0)

@@ -603,6 +603,15 @@ def membership_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.others(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
+@query("select o_orderkey, o_totalprice > 100000 as set_, (select count(*) from orders where o_totalprice > 100000) as n, true as some from orders")
+def bitset_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bitmap of the dear orders, read back bit by bit."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    bits = containers.bitset(orders, "o_orderkey", F.col("o_totalprice") > 100_000)
+    back = orders.join(bits, F.bitmap_bucket_number("o_orderkey") == F.col("bucket"), "left").select("o_orderkey", containers.bit_is_set(F.col("bits"), F.col("o_orderkey")).alias("set_"))
+    return back.crossJoin(containers.bits_set(bits))  # one row
+
+
 @query("select min(o_totalprice) as least, max(o_totalprice) as most from orders")
 def both_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.both_ends(read(spark, sf_dir, "orders"), "o_totalprice")
