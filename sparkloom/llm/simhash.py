@@ -547,7 +547,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     reached = written(components(near_pairs(nodes.select("fp", "node", "copies"), bits_apart(similarity), WIDE, reach=bits_apart(similarity, slack=REACH))))
     texts = binary(docs.select("text", _digest().alias("own")))
     wanted = nodes.join(reached, "node").select("own", "node", "root")
-    sets = _sets(texts.join(wanted.select("own"), "own", "left_semi").dropDuplicates(["own"]), shingle)
+    sets = _sets(texts.dropDuplicates(["own"]).join(wanted.select("own"), "own", "left_semi"), shingle)  # copies fall together before they are sent
     near = written(wanted.join(sets, "own").select("node", "root", "items"))
     roots = written(components(verified_links(near, similarity)))
     found = rows.join(roots, "node", "left").select("doc_id", "own", F.coalesce("root", "node").alias("root"))
