@@ -87,12 +87,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0
     ordered = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "at")  # the same however rows come
-    kept = ordered.collect() if held <= HELD else None
+    kept = ordered.select("y", "at").toArrow() if held <= HELD else None
     model = Ftrl(size)
     for _ in range(epochs):
-        for r in kept or ordered.toLocalIterator():  # the features of very long texts are read again, not held
-            at = np.frombuffer(r["at"], np.int32)
-            model.learn(np.append(at, size), np.append(VALUES[at >> _KIND], 1.0), r["y"])
+        told = zip(kept["y"].to_pylist(), (x.as_py() for x in kept["at"]), strict=True) if kept else ((r["y"], r["at"]) for r in ordered.toLocalIterator())  # the features of very long texts are read again, not held
+        for y, found in told:
+            at = np.frombuffer(found, np.int32)
+            model.learn(np.append(at, size), np.append(VALUES[at >> _KIND], 1.0), y)
     forget(rows)
     w = model.weights(slice(None))
     at = np.flatnonzero(w[:size])
