@@ -97,6 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     forget(rows)
     w = model.weights(slice(None))
     at = np.flatnonzero(w[:size])
+    if not w.any():  # too few labels to learn from
+        return at, np.zeros(0, np.float32), -35.0
     return at, (w[at] * VALUES[at >> _KIND]).astype(np.float32), float(w[size])
 
 
@@ -149,7 +151,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score and predicted (1 from a score of 0.5) of every row of docs.
 
     Null text counts as empty; null doc_ids are never held out nor learned from; repeated ids stay rows of their own.
-    Without usable labels nothing is known to be toxic: every score is next to 0.
+    Without usable labels, or with so few that L1 leaves no weight, nothing is known to be toxic: every score is next to 0.
     """
     model = fit(docs, labels, sample)
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
