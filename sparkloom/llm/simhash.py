@@ -6,10 +6,10 @@ differs in at most t_i bits of some part i. The thresholds are unequal and the r
 candidates least, by counts of part values over all fingerprints. Rows stand in an index under each part's exact value,
 probe the values within their thresholds, and what meets is verified by its full distance.
 
-Fingerprints of 64 bits are majorities over the shingles' hashes. Wider ones are signs of random projections of the set
-of shingles; they tell a shingle similarity of 0.8 from 0.7, which 64 bits can't. Such a radius is too wide for a
-guarantee to be worth its candidates, so parts are then as many as find a pair at the radius with 95 % or more each; what
-doesn't fit the width side by side overlaps.
+Fingerprints of 64 bits are majorities over the shingles' hashes. near_pairs() also takes wider ones, whose radius is too
+wide for a guarantee to be worth its candidates: there it finds pairs with a chance only, by parts that go by the number
+of rows. one_of_each() needs every pair at a similarity of shingle sets, at every size: sets that are so similar share
+items among any so many of each, in whatever order (prefix filtering), so those say what is compared.
 
 Equal fingerprints are one node from the start. A value that very many nodes share is salted: nodes within the radius
 of its most copied fingerprint, its pivot, are linked to that and need no comparison among each other; only the others
@@ -19,7 +19,8 @@ probe all salts. Buckets give spanning forests, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, binary_array, fmix, hashed, trimmed, word_chunks, written
+from sparkloom.llm.common import binary, binary_array, blob, fmix, hashed, input_bytes, trimmed, unblob, word_chunks, written
 from sparkloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -39,10 +40,12 @@ MANY = 40
 FOLD = 12
 #: Costs of a probing row and of a verified candidate, in microseconds.
 PROBE, VERIFY = 2.0, 0.01
-#: Bits of a wide fingerprint, dimensions that shingles are hashed to, and the share of bits in which a similarity of 0.8 differs.
-WIDE, HASHED = 512, 2048
-#: Standard deviations of a fingerprint's bits to which rows are compared by their sets, hashing's noise included; rows of a block of those.
-REACH, BLOCK = 4.2, 256
+#: Bits of a wide fingerprint.
+WIDE = 512
+#: Rows of a block of sets that are compared.
+BLOCK = 256
+#: Share of a set's items by which it is told whether it may have partners.
+FIRST = 0.3
 #: Stands for the doc_id of fingerprints whose rows have none.
 NAMELESS = 1 << 62
 
@@ -96,25 +99,39 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int, width: int = WIDE) -> DataFrame:
-    """doc_id, own (SHA-256 of the text), node (a hash of the shingle set) and fp, width signs of random projections of that set, of every row; no words: all bits zero."""
+def prefix(size: int, similarity: float) -> int:
+    """Sets of that Jaccard similarity or more share one of their first so many items, in any order that all sets are sorted by."""
+    return size - int(np.ceil(similarity * size - 1e-9)) + 1 if size else 0
+
+
+def first(size: int, similarity: float) -> int:
+    """Items by which it is decided whether a set has partners at all: a share of them, its prefix at least."""
+    return max(prefix(size, similarity), int(np.ceil(FIRST * size)))
+
+
+def least_shared(size: int, similarity: float) -> int:
+    """How many of a set's first items are at least first items of each partner, too.
+
+    Of the overlap, which is s / (1 + s) of both sizes or more, the i-th item is the (i + size - overlap)-th of a set at
+    most. With partners of s to 1 / s times the size, FIRST - 1 + s of the size are among the first of both.
+    """
+    return max(1, int(np.floor((FIRST - 1 + similarity) * size - 1e-9)))
+
+
+def first_shingles(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, own (SHA-256 of the text), node (a hash of the shingle set), size of the set and items, its first by hash, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(17).normal(size=(HASHED, width)).astype(np.float32)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                x, node = np.zeros((batch.num_rows, HASHED), np.float32), np.zeros(batch.num_rows, np.int64)
-                for i, text in enumerate(batch["text"]):
-                    h = shingles(text.as_py(), shingle)
-                    node[i] = xxhash.xxh64_intdigest(h.tobytes(), SEED) >> 1
-                    sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
-                    x[i] = np.bincount((h % np.uint64(HASHED)).astype(np.int64), sign, HASHED)
-                fps = np.packbits(x @ planes > 0, axis=1).tobytes()
-                yield pa.record_batch([batch["doc_id"], batch["own"], pa.array(node), binary_array(fps, np.arange(batch.num_rows + 1) * (width // 8))], names=["doc_id", "own", "node", "fp"])
+                sets = [shingles(x.as_py(), shingle) for x in batch["text"]]
+                node = [xxhash.xxh64_intdigest(h.tobytes(), SEED) >> 1 for h in sets]
+                items = [h[: first(len(h), similarity)].tobytes() for h in sets]
+                yield pa.record_batch([batch["doc_id"], batch["own"], pa.array(node, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(items, pa.binary())], names=["doc_id", "own", "node", "size", "items"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("own"))
-    return binary(own).mapInArrow(trimmed(run), "doc_id long, own binary, node long, fp binary")
+    return binary(own).mapInArrow(trimmed(run), "doc_id long, own binary, node long, size int, items binary")
 
 
 def _digest() -> F.Column:
@@ -454,6 +471,134 @@ def bits_apart(similarity: float, width: int = WIDE, slack: float = 1.2) -> int:
     return int(width * share + slack * (width * share * (1 - share)) ** 0.5)
 
 
+def _sent(many: int, by: str, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows bucket and data, of items and their nodes (and more columns), by the hash of either."""
+    key = fmix(columns[0 if by == "item" else 1].astype(np.uint64)) % np.uint64(many)
+    order = np.argsort(key, kind="stable")
+    key, columns = key[order], tuple(c[order] for c in columns)
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+    if len(cuts) > 1:
+        data = [blob(*(c[a:b] for c in columns)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.record_batch([pa.array(key[cuts[:-1]].astype(np.int64)), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+
+def _by_item(many: int):
+    """The items of rows node, size and items, sent to where they meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n, seen = [], 0, set()
+            for node, size, x in zip(batch["node"].to_pylist(), batch["size"].to_pylist(), batch["items"], strict=True):
+                if node in seen:  # a copy
+                    continue
+                seen.add(node)
+                h = np.frombuffer(x.as_py(), np.uint64)
+                held.append((h, np.full(len(h), node), np.full(len(h), size, np.int32)))
+                n += len(h)
+                if n >= 1 << 19:
+                    yield from _sent(many, "item", *(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, n = [], 0
+            if held:
+                yield from _sent(many, "item", *(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def _met(work, *kinds: type):
+    """work on all that was sent to a bucket; a partition has whole buckets, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b, x) for batch in batches for b, x in zip(batch["bucket"].to_pylist(), batch["data"], strict=True))
+        for _, own in groupby(rows, key=itemgetter(0)):
+            yield from work(*(np.concatenate(c) for c in zip(*(unblob(x.as_py(), *kinds) for _, x in own), strict=True)))
+
+    return trimmed(run)
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by keys, the last one first, where its values begin there, and how often each stands."""
+    order = np.lexsort(keys)
+    last = keys[-1][order]
+    starts = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+    return order, starts, np.diff(np.append(starts, len(last)))
+
+
+def _shared_counted(similarity: float):
+    """Nodes with how many of their items others have too, and how many each must have that has a partner; rows may repeat."""
+
+    def work(item: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((node, item))
+        item, node, size = item[order], node[order], size[order]
+        own = np.concatenate([[True], (item[1:] != item[:-1]) | (node[1:] != node[:-1])])
+        item, node, size = item[own], node[own], size[own]
+        _, _, n = _runs(item)
+        many = np.repeat(n, n) > 1
+        nodes, at, shared = np.unique(node[many], return_index=True, return_counts=True)
+        least = [least_shared(s, similarity) for s in size[many][at].tolist()]
+        yield pa.record_batch([pa.array(nodes), pa.array(shared.astype(np.int64)), pa.array(least, pa.int64())], names=["node", "n", "least"])
+
+    return work
+
+
+def _counted_back(many: int):
+    """Items that several nodes have, and how many, sent to their nodes."""
+
+    def work(item: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, _, n = _runs(item)
+        n = np.repeat(n, n)
+        order, n = order[n > 1], n[n > 1]
+        yield from _sent(many, "node", item[order], node[order], size[order], n.astype(np.int32))
+
+    return work
+
+
+def _rarest(many: int, similarity: float):
+    """Of each node the items among its rarest, as many as its prefix has, that others have too, sent to where they meet."""
+
+    def work(item: np.ndarray, node: np.ndarray, size: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, starts, shared = _runs(item, n, node)
+        # items that no other node has are the rarest
+        take = np.array([prefix(s, similarity) for s in size[order[starts]].tolist()]) - (size[order[starts]] - shared)
+        order = order[np.arange(len(order)) - np.repeat(starts, shared) < np.repeat(take, shared)]
+        yield from _sent(many, "item", item[order], node[order])
+
+    return work
+
+
+def _stars(item: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order, starts, n = _runs(node, item)
+    a, b = node[order], np.repeat(node[order[starts]], n)
+    yield pa.record_batch([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+
+def _many(sets: DataFrame) -> int:
+    """Buckets by bytes alone: each task sends a row to each, so they must not grow with the tasks."""
+    return max(64, input_bytes(sets) // (4 << 20))
+
+
+def _at_buckets(sent: DataFrame) -> DataFrame:
+    return sent.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def sharing(firsts: DataFrame, similarity: float) -> DataFrame:
+    """node of the sets in firsts (node, size and items, its first by hash; rows may repeat) that may have a partner of that Jaccard similarity: so many of those items others have."""
+    sent = firsts.mapInArrow(trimmed(_by_item(_many(firsts))), "bucket long, data binary")
+    shared = _at_buckets(sent).mapInArrow(_met(_shared_counted(similarity), np.uint64, np.int64, np.int32), "node long, n long, least long")
+    return shared.groupBy("node").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("node")
+
+
+def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all of that Jaccard similarity or more, and others: sets (written) has node, size and items, whole sets.
+
+    Two such sets share one of their rarest items, as many as their prefixes have. So a node most of whose items no other
+    node has is left out, and passages that many texts share connect only what consists of little else.
+    """
+    many, sent = _many(sets), "bucket long, data binary"
+    back = _at_buckets(sets.mapInArrow(trimmed(_by_item(many)), sent)).mapInArrow(_met(_counted_back(many), np.uint64, np.int64, np.int32), sent)
+    rare = _at_buckets(back).mapInArrow(_met(_rarest(many, similarity), np.uint64, np.int64, np.int32, np.int32), sent)
+    return _at_buckets(rare).mapInArrow(_met(_stars, np.uint64, np.int64), "a long, b long")
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """own and items, the sorted shingle hashes, of docs (own, text as bytes)."""
 
@@ -536,19 +681,20 @@ def verified_links(near: DataFrame, similarity: float) -> DataFrame:
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, whole, that stand for their group of near-duplicates: the row of the group's smallest doc_id (and text hash).
 
-    Groups are components of rows whose sets of shingles have that Jaccard similarity or more, computed from the sets
-    themselves (of 64-bit shingle hashes). Wide fingerprints only say which rows are compared: those of components within a
-    wider radius; a pair at the similarity meets there with a chance of 95 % or more. Rows are decided each for
-    itself: rows that repeat a doc_id stay if their texts are of different groups; those of one text are one. Rows
-    without a doc_id stay. Texts without words are copies of each other.
+    Groups are components of all pairs of rows whose sets of shingles (64-bit hashes) have that Jaccard similarity or more,
+    whatever else is in docs. Shared items only say which rows are compared, and leave out no such pair. Rows are
+    decided each for itself: rows that repeat a doc_id stay if their texts are of different groups; those of one text are
+    one. Rows without a doc_id stay. Texts without words are copies of each other.
     """
-    rows = written(wide_fingerprints(docs, shingle))
-    nodes = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.count("*").alias("copies"), F.min("own").alias("own")))
-    reached = written(components(near_pairs(nodes.select("fp", "node", "copies"), bits_apart(similarity), WIDE, reach=bits_apart(similarity, slack=REACH))))
+    rows = written(first_shingles(docs, shingle, similarity))
+    nodes = written(rows.groupBy("node").agg(F.min("own").alias("own"), F.first("size").alias("size")))
+    some = written(sharing(rows.select("node", "size", "items"), similarity))
     texts = binary(docs.select("text", _digest().alias("own")))
-    wanted = nodes.join(reached, "node").select("own", "node", "root")
+    wanted = written(nodes.join(some, "node"))
     sets = _sets(texts.dropDuplicates(["own"]).join(wanted.select("own"), "own", "left_semi"), shingle)  # copies fall together before they are sent
-    near = written(wanted.join(sets, "own").select("node", "root", "items"))
+    whole = written(wanted.join(sets, "own").select("node", "size", "items"))
+    reached = written(components(candidates(whole, similarity)))
+    near = written(whole.join(reached, "node").select("node", "root", "items"))
     roots = written(components(verified_links(near, similarity)))
     found = rows.join(roots, "node", "left").select("doc_id", "own", F.coalesce("root", "node").alias("root"))
     kept = written(found.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("least")).select("least.doc_id", "least.own").distinct())

@@ -174,3 +174,38 @@ def test_extra_columns_stay(spark, docs):
     out = S.one_of_each(docs)
     assert out.columns == docs.columns
     assert out.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """Pairs of just 0.8 link whatever else is there; those of 0.79, and what shares passages, do not."""
+    rng = random.Random(77)
+    new = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    passage, rows, want = new(90), [], []
+    for g in range(600):
+        base = new(154)  # 150 shingles
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[:-16] + new(16))), (10 * g + 2, " ".join(new(18) + base[18:]))]  # 134 and 132 of 150: 0.807 and 0.786
+        want += [10 * g, 10 * g + 2]
+    for g in range(300):
+        rows.append((10**6 + g, " ".join(new(60) + passage)))
+        want.append(10**6 + g)
+    got = {r.doc_id for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert got == set(want)
+
+
+def test_candidates_as_by_brute_force(spark):
+    """Sets of a few items to some hundred, also of sizes whose prefixes are shortest: every pair at the threshold is connected."""
+    rng = np.random.default_rng(12)
+    sets = {}
+    for g in range(60):
+        base = rng.integers(0, 2**63, rng.integers(1, 30) if g % 2 else rng.integers(30, 300), dtype=np.uint64)
+        for _ in range(5):
+            x = np.unique(np.concatenate([rng.permutation(base)[: max(1, len(base) - rng.integers(0, 4 + len(base) // 4))], rng.integers(0, 50, rng.integers(0, 3)).astype(np.uint64)]))
+            sets[x.tobytes()] = x
+    sets = list(sets.values())
+    frame = spark.createDataFrame([(i, len(x), x.tobytes()) for i, x in enumerate(sets)], "node long, size int, items binary")
+    root = {r.node: r.root for r in components(S.candidates(frame, 0.8)).collect()}
+    firsts = spark.createDataFrame([(i, len(x), x[: S.first(len(x), 0.8)].tobytes()) for i, x in enumerate(sets)], "node long, size int, items binary")
+    some = {r.node for r in S.sharing(firsts.union(firsts), 0.8).collect()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if S.alike(sets[i], sets[j], 0.8)]
+    assert len(pairs) > 50
+    assert all(i in some and j in some and root[i] == root[j] for i, j in pairs)
