@@ -191,18 +191,24 @@ def windows(docs: list[np.ndarray], most: int, window: int) -> Iterator[tuple[np
     """x, y, document (-1: none) and fresh, a window of steps at a time; lanes run through their documents one after another."""
     dealt = lanes([len(d) for d in docs], most)
     steps = max(sum(len(docs[k]) for k in lane) for lane in dealt)
-    shape = (-(-steps // window) * window, len(dealt))
-    y, own, fresh = np.full(shape, END, np.int16), np.full(shape, -1, np.int32), np.zeros(shape, bool)
-    x = np.full(shape, END, np.int16)
-    for i, lane in enumerate(dealt):
-        at = 0
-        for k in lane:
-            n = len(docs[k])
-            y[at : at + n, i], own[at : at + n, i], fresh[at, i] = docs[k], k, True
-            x[at + 1 : at + n, i] = docs[k][:-1]
-            at += n
-    for t in range(0, shape[0], window):
-        yield x[t : t + window], y[t : t + window], own[t : t + window], fresh[t : t + window]
+    shape, at = (window, len(dealt)), [(0, 0)] * len(dealt)  # of each lane the document and its next word
+    for _ in range(0, steps, window):
+        x, y, own, fresh = np.full(shape, END, np.int16), np.full(shape, END, np.int16), np.full(shape, -1, np.int32), np.zeros(shape, bool)
+        for i, lane in enumerate(dealt):
+            (turn, a), t = at[i], 0
+            while t < window and turn < len(lane):
+                doc = docs[lane[turn]]
+                n = min(window - t, len(doc) - a)
+                y[t : t + n, i], own[t : t + n, i] = doc[a : a + n], lane[turn]
+                if a:
+                    x[t : t + n, i] = doc[a - 1 : a + n - 1]
+                else:
+                    fresh[t, i], x[t + 1 : t + n, i] = True, doc[: n - 1]
+                t, a = t + n, a + n
+                if a == len(doc):
+                    turn, a = turn + 1, 0
+            at[i] = turn, a
+        yield x, y, own, fresh
 
 
 def streamed(docs: Iterator[np.ndarray], most: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -323,6 +329,10 @@ class Lexicon:
         self.tail = float(total - end - n[: self.own].sum() + kinds - bool(end) - self.own + 1)
         self.log = np.append(np.log10(n + 1.0), 0.0)
 
+    def vocabulary(self) -> Lexicon:
+        """Only the words of the network's vocabulary: all that learning has to know, some hundredth of the whole."""
+        return Lexicon(self.words[: self.own], self.n[: self.own], self.total, self.kinds, self.end)
+
     def look_up(self) -> dict[bytes, int]:
         return dict(zip(self.words, range(len(self.words)), strict=True))
 
@@ -363,10 +373,10 @@ def _averaged(group: pa.Table) -> pa.Table:
 
 def lessons(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """turn (the round that learns from it), slot (a hash that deals it to a shard), n and ids of every row of docs, as a written table."""
-    sent = docs.sparkSession.sparkContext.broadcast(lex)
+    sent = docs.sparkSession.sparkContext.broadcast(lex.vocabulary())
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i for i, w in enumerate(sent.value.words[: sent.value.own])}
+        index = sent.value.look_up()
         for batch in batches:
             ids = [np.append(np.concatenate([np.zeros(0, np.int16), *(sent.value.ids(_numbered(w, index, len(w))) for w in word_chunks(x.as_py().lower()))]), END).astype(np.int16).tobytes() for x in batch["text"]]
             yield pa.record_batch([batch["slot"], pa.array([len(x) // 2 for x in ids]), pa.array(ids, pa.binary())], names=["slot", "n", "ids"])
@@ -421,11 +431,11 @@ def _scored(sent, model: Gru):
                     at = _numbered(words, index, len(words))
                     ids, logs, there = lex.ids(at), lex.log[at], at >= 0
                     out = ids == UNKNOWN
-                    parts.append(ids.astype(np.int32))
+                    parts.append(ids)
                     n, known, unknown = n + len(words), known + int(there.sum()), unknown + int(out.sum())
                     base, of_tail = base + float(logs.sum()), of_tail + float(logs[out].sum())
                     rare.update(words[i] for i in np.flatnonzero(~there).tolist())
-                docs.append(np.append(np.concatenate(parts), END).astype(np.int32) if parts else np.array([END], np.int32))
+                docs.append(np.concatenate([*parts, np.array([END], np.int16)]))
                 held.append((d, n, known, base, of_tail, unknown, rare))
                 size += n
                 if size >= BATCH:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -238,3 +239,31 @@ def test_toxicity(spark, words, empty, monkeypatch):
     assert toxicity.toxicity(empty, marks).count() == toxicity.tolerated(empty, marks).count() == 0
     stay = {r.doc_id for r in toxicity.tolerated(docs, marks).collect()}
     assert stay == {r.doc_id for r in got if not r.predicted} | ({5} if 5 in stay else set())
+
+
+def test_scoring_lays_out_a_window_at_a_time():
+    """Memory of the layout goes by the lanes, not by the tokens; windows are whole documents in order."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(2, 900, n).astype(np.int16) for n in [1, 63, 64, 65, 20_000, *rng.integers(1, 900, 4000).tolist()]]
+    tracemalloc.start()
+    told = [[] for _ in texts]
+    for x, y, own, fresh in gru_lm.windows(texts, 256, 64):
+        for i in range(4):  # the first lanes in full
+            for t in np.flatnonzero(own[:, i] >= 0):
+                k = own[t, i]
+                assert fresh[t, i] == (not told[k])
+                assert x[t, i] == (told[k][-1] if told[k] else gru_lm.END)
+                told[k].append(int(y[t, i]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(not t or t == d.tolist() for t, d in zip(told, texts, strict=True))
+    assert sum(map(bool, told)) > 4
+    assert peak < 4 * sum(len(d) for d in texts)  # nine bytes a token if all are laid out at once
+
+
+def test_learning_is_sent_its_vocabulary_only():
+    lex = gru_lm.Lexicon([f"w{i}".encode() for i in range(9000)], np.arange(9000, 0, -1), 10**8, 9001, 50)
+    small = lex.vocabulary()
+    assert len(small.words) == gru_lm.VOCABULARY - 2
+    assert (small.mass == lex.mass).all()
+    assert small.tail == lex.tail
