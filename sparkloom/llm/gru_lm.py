@@ -3,15 +3,15 @@
 Word counts, the vocabulary, the classes and the open-vocabulary tail come from all training documents. The network is
 fitted on all of them too, each once, in shards: each starts from the common parameters, and what the shards learned is
 averaged after every round. Learning and scoring both run over whole documents: the state is carried from window to
-window, so a score is the complete document's log-likelihood.
+window, so a score is the complete document's log-likelihood. Texts are read twice, by Arrow's kernels: once for the
+counts, once for the numbers of their words, from which documents are learned and scored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, islice, repeat
+from itertools import groupby, islice
 from operator import itemgetter
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import binary, trimmed, word_chunks, written
+from sparkloom.llm.common import binary, binary_array, trimmed, written
 
 #: Words with a vector of their own (two places are for unknown words and the end), words in a class, and the state's width.
 VOCABULARY, CLASS, WIDTH = 4096, 64, 24
@@ -35,8 +35,13 @@ SHARD, LANES, LEAST_LANES, UPDATES = 4_000_000, 256, 8, 100
 FOLDS, HELD_OUT = 7, 2
 #: Lanes of a scoring batch, its tokens, and states that meet the softmax together.
 SCORE_LANES, BATCH, TOGETHER = 256, 4_000_000, 32_768
-_COUNTER = 200_000
+#: Words that a task counts before it sends them on, and bytes of text that are split into words at a time.
+_COUNTER, _PIECE = 500_000, 1 << 24
 _FLOATS = 1 << 14
+#: Rows whose logits are held at a time, and rows of a word from which on they are summed by themselves.
+_BLOCK, _LONG = 2048, 8
+#: Rows up to which classes are learned from together, and how many of them.
+_FEW, _STACK = 256, 8
 
 
 class Gru:
@@ -76,8 +81,9 @@ class Gru:
         Inside, a lane is a column, so that gates are whole blocks of memory.
         """
         p, w = self.p, WIDTH
-        steps = np.ascontiguousarray((p["wx"][x] + p["bx"]).transpose(0, 2, 1))
-        np.negative(steps[:, : 2 * w], out=steps[:, : 2 * w])
+        steps, bias = np.ascontiguousarray(p["wx"].take(x, axis=0).transpose(0, 2, 1)), p["bx"][:, None]
+        np.subtract(-bias[: 2 * w], steps[:, : 2 * w], out=steps[:, : 2 * w])
+        steps[:, 2 * w :] += bias[2 * w :]
         hs, ut, h = np.empty((len(x), w, x.shape[1]), steps.dtype), np.ascontiguousarray(p["u"].T), np.ascontiguousarray(h.T)
         before, recurrent = (np.empty_like(hs), np.empty_like(hs)) if keep else (None, None)
         starts = fresh.any(axis=1).tolist()
@@ -94,7 +100,11 @@ class Gru:
                 before[t], recurrent[t] = h, hn
             hn = hn * zr[w:]
             n += hn
-            np.tanh(n, out=n)
+            n += n  # tanh as 1 - 2 / (exp(2 n) + 1): numpy's own takes twice the time of its exp
+            np.exp(n, out=n)
+            n += 1
+            np.divide(-2, n, out=n)
+            n += 1
             h = np.subtract(h, n, out=hs[t])
             h *= zr[:w]
             h += n
@@ -103,21 +113,15 @@ class Gru:
     def losses(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of words y after states hs (rows)."""
         p = self.p
-        c = y // CLASS
+        c = (y // CLASS).astype(np.int16)  # short numbers are sorted by radix
         order = np.argsort(c, kind="stable")
-        hs, y, c = hs[order], y[order], c[order]
-        logits = hs @ p["wc"]
-        logits += p["bc"]
-        sure = logits[np.arange(len(y)), c]
-        np.exp(np.minimum(logits, 80, out=logits), out=logits)
-        sums = logits.sum(axis=1)
-        kinds, starts = np.unique(c, return_index=True)
-        for k, a, b in zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(y)], strict=True):
-            own = hs[a:b] @ p["wo"][k].T
-            own += p["bo"][k]
-            sure[a:b] += own[np.arange(b - a), y[a:b] % CLASS]
-            np.exp(np.minimum(own, 80, out=own), out=own)
-            sums[a:b] *= own.sum(axis=1)
+        hs, y, c = hs.take(order, axis=0), y[order], c[order]
+        sure, sums = _chances(hs, p["wc"], p["bc"], c)
+        within = y % CLASS
+        for k, a, b in _runs(c):
+            own, total = _chances(hs[a:b], p["wo"][k].T, p["bo"][k], within[a:b])
+            sure[a:b] += own
+            sums[a:b] *= total
         out = np.empty(len(y), np.float32)
         out[order] = sure - np.log(sums)
         return out
@@ -127,24 +131,33 @@ class Gru:
         p, w = self.p, WIDTH
         hs, last, (before, gates, recurrent) = self.run(x, fresh, h, True)
         at = np.flatnonzero(valid.ravel())
-        c = y.ravel()[at] // CLASS
-        order = at[np.argsort(c, kind="stable")]  # so that each class is a slice
-        flat, yy = hs.reshape(-1, w)[order], y.ravel()[order]
-        c, scale, rows = yy // CLASS, np.float32(1 / max(len(at), 1)), np.arange(len(at))
-        e = _errors(flat @ p["wc"] + p["bc"], rows, c, scale)
-        g = {"wc": flat.T @ e, "bc": e.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        dflat, within = e @ p["wc"].T, yy % CLASS
-        kinds, starts = np.unique(c, return_index=True)
-        for k, a, b in zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
-            e = _errors(flat[a:b] @ p["wo"][k].T + p["bo"][k], rows[: b - a], within[a:b], scale)
-            g["wo"][k], g["bo"][k] = e.T @ flat[a:b], e.sum(axis=0)
-            dflat[a:b] += e @ p["wo"][k]
+        c = (y.ravel()[at] // CLASS).astype(np.int16)
+        turn = np.argsort(c, kind="stable")  # so that each class is a slice
+        order, c = at[turn], c[turn]
+        flat, within, scale = hs.reshape(-1, w).take(order, axis=0), y.ravel()[order] % CLASS, np.float32(1 / max(len(at), 1))
+        g = {"wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
+        g["wc"], g["bc"], dflat = _slopes(flat, p["wc"], p["bc"], c, scale)
+        few = []
+        for k, a, b in _runs(c):
+            if b - a <= _FEW:
+                few.append((b - a, a, k))
+                continue
+            own, g["bo"][k], more = _slopes(flat[a:b], p["wo"][k].T, p["bo"][k], within[a:b], scale)
+            g["wo"][k] = own.T
+            dflat[a:b] += more
+        few.sort()
+        for i in range(0, len(few), _STACK):
+            n, a, k = np.array(few[i : i + _STACK]).T
+            rows, there, g["wo"][k], g["bo"][k], more = _stacked(flat, a, n, p["wo"][k], p["bo"][k], within, scale)
+            dflat[rows] += more[there]
         dhs = np.zeros((x.size, w), hs.dtype)
         dhs[order] = dflat
         dhs = np.ascontiguousarray(dhs.reshape(*x.shape, w).transpose(0, 2, 1))
         z, r, n = gates[:, :w], gates[:, w : 2 * w], gates[:, 2 * w :]
         to_z, to_n, to_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), recurrent * r * (1 - r)
-        dx, du, carry = np.empty_like(gates), np.empty_like(gates), np.zeros_like(dhs[0])
+        # some lanes more than there are: rows a power of two apart would share their lines of the cache when turned
+        dx = np.empty((*gates.shape[:2], gates.shape[2] + 16), gates.dtype)[:, :, : gates.shape[2]]
+        du, carry = np.empty_like(gates), np.zeros_like(dhs[0])
         starts = fresh.any(axis=1).tolist()
         for t in range(len(x) - 1, -1, -1):
             dh, own, back = dhs[t], dx[t], du[t]
@@ -160,20 +173,88 @@ class Gru:
             if starts[t]:
                 carry[:, fresh[t]] = 0
         rows = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * w)
-        g["u"], g["bx"] = np.matmul(before, du.transpose(0, 2, 1)).sum(axis=0), rows.sum(axis=0)
-        order = np.argsort(x.ravel(), kind="stable")
-        words, starts = np.unique(x.ravel()[order], return_index=True)
-        return g, words, np.add.reduceat(rows[order], starts, axis=0), last
+        g["u"], g["bx"] = np.matmul(before, du.transpose(0, 2, 1)).sum(axis=0), np.ones(len(rows), rows.dtype) @ rows
+        word = x.ravel().astype(np.int16)
+        order = np.argsort(word, kind="stable")
+        word = word[order]
+        words, starts, ends = (np.array(a) for a in zip(*_runs(word), strict=True))
+        return g, words, _summed(rows.take(order, axis=0), starts, ends), last
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, start and end of each run of equal numbers."""
+    cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
+    starts = [0, *cuts.tolist()] if len(x) else []
+    return zip(x[starts].tolist() if starts else [], starts, [*starts[1:], len(x)], strict=False)
+
+
+def _summed(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: long runs one by one, the others together, a row of each at a time."""
+    out, n, ones = rows.take(starts, axis=0), ends - starts, np.ones(len(rows), rows.dtype)
+    for i in np.flatnonzero(n > _LONG).tolist():
+        np.matmul(ones[: n[i]], rows[starts[i] : ends[i]], out=out[i])
+    rest, k = np.flatnonzero((n > 1) & (n <= _LONG)), 1
+    while len(rest):
+        out[rest] += rows.take(starts[rest] + k, axis=0)
+        k += 1
+        rest = rest[n[rest] > k]
+    return out
 
 
-def _errors(x: np.ndarray, rows: np.ndarray, own: np.ndarray, scale: np.float32) -> np.ndarray:
-    """Softmax of logits x less one where the row's own is, times scale; x is used up."""
-    if x.max(initial=0) > 80:
-        x -= x.max(axis=1, keepdims=True)
+def _chances(hs: np.ndarray, w: np.ndarray, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's own logit and the sum of the exponentials of all, a block at a time, which stays in the cache."""
+    sure, sums, ones, at = np.empty(len(hs), hs.dtype), np.empty(len(hs), hs.dtype), np.ones(len(b), hs.dtype), np.arange(min(len(hs), _BLOCK))
+    for i in range(0, len(hs), _BLOCK):
+        x = hs[i : i + _BLOCK] @ w
+        x += b
+        sure[i : i + _BLOCK] = x[at[: len(x)], own[i : i + _BLOCK]]
+        if x.max() > 80:
+            np.minimum(x, 80, out=x)
+        np.exp(x, out=x)
+        sums[i : i + _BLOCK] = x @ ones
+    return sure, sums
+
+
+def _stacked(hs: np.ndarray, starts: np.ndarray, n: np.ndarray, w: np.ndarray, b: np.ndarray, own: np.ndarray, scale: np.float32) -> tuple:
+    """_slopes() of several classes of few rows each, a layer a class; the last row fills up those that are shorter and counts once."""
+    at = np.arange(n[-1])
+    there, rows = at < n[:, None], starts[:, None] + np.minimum(at, n[:, None] - 1)
+    h = hs.take(rows, axis=0)
+    x = h @ w.transpose(0, 2, 1)
+    x += b[:, None]
+    if x.max() > 80:
+        x -= x.max(axis=2, keepdims=True)
     np.exp(x, out=x)
-    x *= (scale / x.sum(axis=1))[:, None]
-    x[rows, own] -= scale
-    return x
+    sums = x @ np.ones(x.shape[2], x.dtype)
+    x.reshape(-1, x.shape[2])[np.arange(rows.size), own[rows].ravel()] -= sums.ravel()
+    part = (scale / sums * there).astype(x.dtype, copy=False)
+    dhs = x @ w
+    dhs *= part[:, :, None]
+    h *= part[:, :, None]
+    return rows[there], there, x.transpose(0, 2, 1) @ h, (part[:, None] @ x)[:, 0], dhs
+
+
+def _slopes(hs: np.ndarray, w: np.ndarray, b: np.ndarray, own: np.ndarray, scale: np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of weights, biases and states: errors are the softmax less one where the row's own is, times scale.
+
+    Rows are scaled where they are short: errors are kept as exponentials, less their sum where the row's own is.
+    """
+    dw, db, dhs, ones, at = np.zeros_like(w, order="C"), np.zeros_like(b), np.empty_like(hs), np.ones(len(b), hs.dtype), np.arange(min(len(hs), _BLOCK))
+    for i in range(0, len(hs), _BLOCK):
+        h = hs[i : i + _BLOCK]
+        x = h @ w
+        x += b
+        if x.max() > 80:
+            x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        sums = x @ ones
+        x[at[: len(x)], own[i : i + _BLOCK]] -= sums
+        part = scale / sums
+        db += part @ x
+        part = part[:, None]
+        dw += (h * part).T @ x
+        np.multiply(x @ w.T, part, out=dhs[i : i + _BLOCK])
+    return dw, db, dhs
 
 
 def lanes(lengths: list[int], most: int) -> list[list[int]]:
@@ -291,26 +372,60 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches of some _PIECE bytes of text; a longer text stands alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = done = 0
+        while a < len(batch):
+            b = max(int(np.searchsorted(ends, done + _PIECE - size, "right")), a + (not held))
+            if b > a:
+                held.append(batch.slice(a, b - a))
+                size, done, a = size + int(ends[b - 1]) - done, int(ends[b - 1]), b
+            if a < len(batch):
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words [^\\x20\\x09-\\x0D]+ of all texts in order, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, cuts = split.flatten().view(pa.binary()), split.offsets.to_numpy().astype(np.int64)
+    real = pc.greater(pc.binary_length(words), 0)  # text that starts or ends with a space has an empty word there
+    there = real.to_numpy(zero_copy_only=False)
+    if not there.all():
+        words, cuts = words.filter(real), np.concatenate([[0], np.cumsum(there)])[cuts - cuts[0]]
+    return words, np.diff(cuts)
+
+
+def _together(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and n over all rows of docs (text as bytes); the empty word is the end, once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def told() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for x in batch["text"]:
-                for words in word_chunks(x.as_py().lower()):
-                    counts.update(words)
-                counts[b""] += 1
-                if len(counts) > _COUNTER:
-                    yield told()
-        if counts:
-            yield told()
+        held, size = [], 0
+        for piece in _pieces(batches):
+            told = _words(piece["text"])[0].value_counts()
+            held += [pa.table([told.field(0), told.field(1)], names=["word", "n"]), pa.table([pa.array([b""], pa.binary()), pa.array([len(piece)], pa.int64())], names=["word", "n"])]
+            size += len(told)
+            if size > 2 * _COUNTER:
+                held = [_together(held)]
+                if (size := len(held[0])) > _COUNTER:
+                    yield from held.pop().to_batches()
+                    size = 0
+        if held:
+            yield from _together(held).to_batches()
 
     return docs.select("text").mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -318,8 +433,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Lexicon:
     """Counts of common words, and places in the network's vocabulary, which are the first of them."""
 
-    def __init__(self, words: list[bytes], n: np.ndarray, total: int, kinds: int, end: int):
-        self.words, self.n, self.total, self.kinds, self.end = words, n, total, kinds, end
+    def __init__(self, words: pa.Array | list[bytes], n: np.ndarray, total: int, kinds: int, end: int):
+        self.words, self.n, self.total, self.kinds, self.end = pa.array(words, pa.binary()), n, total, kinds, end
         self.own = min(VOCABULARY - 2, len(words))
         mass = np.full(VOCABULARY, 0.5)  # places without a word
         mass[UNKNOWN], mass[END] = max(total - end - n[: self.own].sum(), 1), max(end, 1)
@@ -333,8 +448,9 @@ class Lexicon:
         """Only the words of the network's vocabulary: all that learning has to know, some hundredth of the whole."""
         return Lexicon(self.words[: self.own], self.n[: self.own], self.total, self.kinds, self.end)
 
-    def look_up(self) -> dict[bytes, int]:
-        return dict(zip(self.words, range(len(self.words)), strict=True))
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of words; -1: not among the common ones."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
 
     def ids(self, at: np.ndarray) -> np.ndarray:
         return np.where((at >= 0) & (at < self.own), at + 2, UNKNOWN).astype(np.int16)
@@ -344,11 +460,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     """COMMON words at most come to the driver, and three sums."""
     total, kinds, end = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.octet_length("word") == 0, F.col("n")))).first()
     top = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
-    return Lexicon(top["word"].to_pylist(), top["n"].to_numpy(), total or 0, kinds or 0, end or 0)
-
-
-def _numbered(words: Iterator[bytes], index: dict[bytes, int], n: int) -> np.ndarray:
-    return np.fromiter(map(index.get, words, repeat(-1)), np.int64, n)
+    return Lexicon(top["word"].combine_chunks(), top["n"].to_numpy(), total or 0, kinds or 0, end or 0)
 
 
 def _learner(start, most: int):
@@ -371,30 +483,62 @@ def _averaged(group: pa.Table) -> pa.Table:
     return pa.table({"part": group["part"].slice(0, 1), "weight": pa.array([sum(weights)]), "data": pa.array([data.astype(np.float32).tobytes()], pa.binary())})
 
 
-def lessons(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """turn (the round that learns from it), slot (a hash that deals it to a shard), n and ids of every row of docs, as a written table."""
-    sent = docs.sparkSession.sparkContext.broadcast(lex.vocabulary())
+def _per_text(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of x over texts that have n words each."""
+    out, some = np.zeros(len(n), np.float64 if x.dtype.kind == "f" else np.int64), n > 0
+    if some.any():
+        out[some] = np.add.reduceat(x, (np.cumsum(n) - n)[some], dtype=out.dtype)
+    return out
+
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value.look_up()
-        for batch in batches:
-            ids = [np.append(np.concatenate([np.zeros(0, np.int16), *(sent.value.ids(_numbered(w, index, len(w))) for w in word_chunks(x.as_py().lower()))]), END).astype(np.int16).tobytes() for x in batch["text"]]
-            yield pa.record_batch([batch["slot"], pa.array([len(x) // 2 for x in ids]), pa.array(ids, pa.binary())], names=["slot", "n", "ids"])
+def _told(sent):
+    """A row a document with the numbers of its words and what its common ones give; words that only the join can count stand in rare and times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, row, task = sent.value, 0, TaskContext.get().partitionId()
+        for piece in _pieces(batches):
+            words, n = _words(piece["text"])
+            at = lex.look_up(words)
+            ids, logs, there = lex.ids(at), lex.log[at], at >= 0
+            out, ends = ids == UNKNOWN, np.cumsum(n + 1)
+            whole, inner = np.full(ends[-1], END, np.int16), np.ones(ends[-1], bool)
+            inner[ends - 1] = False
+            whole[inner] = ids
+            missing = np.flatnonzero(~there)
+            code = words.take(pa.array(missing)).dictionary_encode()
+            kinds = max(len(code.dictionary), 1)
+            pairs, times = np.unique(np.searchsorted(np.cumsum(n), missing, "right") * kinds + code.indices.to_numpy(), return_counts=True)
+            cuts = pa.array(np.searchsorted(pairs, np.arange(len(n) + 1) * kinds), pa.int32())
+            yield pa.record_batch({
+                "turn": piece["turn"], "slot": piece["slot"], "row": np.arange(row, row + len(n)) + (task << 40), "doc_id": piece["doc_id"], "n": n + 1,
+                "ids": binary_array(whole.tobytes(), np.concatenate([[0], ends * 2])), "n_known": _per_text(there, n) + int(lex.end > 0),
+                "base": _per_text(logs, n) + np.log10(lex.end + 1), "of_tail": _per_text(np.where(out, logs, 0), n), "unknown": _per_text(out, n),
+                "rare": pa.ListArray.from_arrays(cuts, code.dictionary.take(pa.array(pairs % kinds))), "times": pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+            })
+            row += len(n)
 
+    return run
+
+
+def lessons(docs: DataFrame, lex: Lexicon, learn: F.Column | None = None) -> DataFrame:
+    """A row for every row of docs, as a written table: turn (the round that learns from it, ROUNDS for rows without learn),
+    slot (a hash that deals it to a shard), n and ids of its tokens, and of _told() what its score takes."""
+    sent = docs.sparkSession.sparkContext.broadcast(lex)
     # by text too: rows of one id, or of none, are dealt apart
-    slots = docs.select(F.xxhash64("doc_id", "text", F.lit("fit")).alias("slot"), "text").mapInArrow(trimmed(numbered), "slot long, n long, ids binary")
-    return written(slots.withColumn("turn", F.pmod("slot", F.lit(ROUNDS)).cast("int")), "turn")
+    slot = F.xxhash64("doc_id", "text", F.lit("fit"))
+    turn = F.when(F.lit(True) if learn is None else learn, F.pmod(slot, F.lit(ROUNDS))).otherwise(ROUNDS).cast("int")
+    shape = "turn int, slot long, row long, doc_id long, n long, ids binary, n_known long, base double, of_tail double, unknown long, rare array<binary>, times array<long>"
+    return written(docs.select(turn.alias("turn"), slot.alias("slot"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(_told(sent)), shape), "turn")
 
 
-def fit(docs: DataFrame, lex: Lexicon) -> Gru:
-    """Averaged shards of SHARD tokens; docs are training rows as bytes, and all of them are learned from.
+def fit(dealt: DataFrame, lex: Lexicon) -> Gru:
+    """Averaged shards of SHARD tokens; dealt is a table of lessons(), and all its rows that have a turn are learned from.
 
     A shard streams through its documents, the longest first, so that its lanes end together; it holds one a lane.
     """
-    spark, model = docs.sparkSession, Gru.fresh(lex.mass)
+    spark, model = dealt.sparkSession, Gru.fresh(lex.mass)
     shards = max(1, round(lex.total / SHARD))
     most = min(max(int(lex.total / (shards * ROUNDS * WINDOW * UPDATES)), LEAST_LANES), LANES)
-    dealt = lessons(docs, lex)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
         shape = "part int, weight double, data binary"
@@ -408,41 +552,29 @@ def fit(docs: DataFrame, lex: Lexicon) -> Gru:
     return model
 
 
-def _scored(sent, model: Gru):
-    """A row a document with what its common words give; words that only the join can count stand in rare and times."""
+def _scored(model: Gru, tail: float):
+    """base and score, of the words that every task knows, of rows of lessons()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, row = sent.value, 0
-        index, task = lex.look_up(), TaskContext.get().partitionId()
+        docs, held, size = [], [], 0
 
-        def flush(docs: list, held: list) -> pa.RecordBatch:
-            nonlocal row
-            logs = score(model, docs) / np.log(10)
-            rows = [(task << 40 | row + i, d, n, known, base, float(s) + of_tail - unknown * np.log10(lex.tail), list(rare), list(rare.values())) for i, ((d, n, known, base, of_tail, unknown, rare), s) in enumerate(zip(held, logs, strict=True))]
-            row += len(docs)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            own = _joined(held)
+            logs = score(model, docs) / np.log(10) + own["of_tail"].to_numpy() - own["unknown"].to_numpy() * np.log10(tail)
+            docs.clear()
+            held.clear()
+            size = 0
+            return pa.record_batch([own["row"], own["doc_id"], own["n"], own["n_known"], own["base"], pa.array(logs)], names=["row", "doc_id", "n_tokens", "n_known", "base", "score"])
 
-        docs, held, size = [], [], 0
         for batch in batches:
-            for d, x in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                parts, n, known, base, of_tail, unknown, rare = [], 1, int(lex.end > 0), float(np.log10(lex.end + 1)), 0.0, 0, Counter()
-                for words in word_chunks(x.as_py().lower()):
-                    at = _numbered(words, index, len(words))
-                    ids, logs, there = lex.ids(at), lex.log[at], at >= 0
-                    out = ids == UNKNOWN
-                    parts.append(ids)
-                    n, known, unknown = n + len(words), known + int(there.sum()), unknown + int(out.sum())
-                    base, of_tail = base + float(logs.sum()), of_tail + float(logs[out].sum())
-                    rare.update(words[i] for i in np.flatnonzero(~there).tolist())
-                docs.append(np.concatenate([*parts, np.array([END], np.int16)]))
-                held.append((d, n, known, base, of_tail, unknown, rare))
-                size += n
-                if size >= BATCH:
-                    yield flush(docs, held)
-                    docs, held, size = [], [], 0
+            docs += [np.frombuffer(x.as_py(), np.int16) for x in batch["ids"]]
+            held.append(batch.drop_columns(["ids"]))
+            size += int(pc.sum(batch["n"]).as_py() or 0)
+            if size >= BATCH:
+                yield flush()
         if docs:
-            yield flush(docs, held)
+            yield flush()
 
     return run
 
@@ -456,18 +588,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     training rows; repeated ids are rows of their own; without training rows all counts are zero. Other columns are ignored.
     """
     own = binary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    learn = own.where(~held_out())
-    counts = written(word_counts(learn))
+    counts = written(word_counts(own.where(~held_out())))
     lex = lexicon(counts)
-    model = fit(learn, lex)
-    sent = docs.sparkSession.sparkContext.broadcast(lex)
-    shape = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"
-    rows = written(own.mapInArrow(trimmed(_scored(sent, model)), shape))
-    each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
+    told = lessons(own, lex, ~held_out())
+    model = fit(told, lex)
+    shape = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+    rows = written(told.select("row", "doc_id", "n", "n_known", "base", "of_tail", "unknown", "ids").mapInArrow(trimmed(_scored(model, lex.tail)), shape))
+    each = told.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     more = each.join(counts, "word").groupBy("row").agg(F.sum("k").alias("known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("log"))
     log = F.coalesce("log", F.lit(0.0))
     space = F.log10(F.lit(float(lex.total + lex.kinds + 1)))
-    return rows.drop("rare", "times").join(more, "row", "left").select(
+    return rows.join(more, "row", "left").select(
         "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"), (F.col("base") + log - F.col("n_tokens") * space).alias("base_score"), (F.col("score") + log).alias("score"),
     )

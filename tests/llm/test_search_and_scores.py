@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import ann, gru_lm, toxicity
@@ -267,3 +269,51 @@ def test_learning_is_sent_its_vocabulary_only():
     assert len(small.words) == gru_lm.VOCABULARY - 2
     assert (small.mass == lex.mass).all()
     assert small.tail == lex.tail
+
+
+def test_texts_are_numbered_once(spark, languages, monkeypatch):
+    """One table has what learning and scoring take of all rows: no text is split for each of them again."""
+    monkeypatch.setattr(gru_lm, "COMMON", 12)
+    texts = [*languages[:40], "", None, " \t ", "Ka\x0blo  \u00a0 TER\x1cing\u0085 \u00c9\n", " rare Rare other"]
+    docs = gru_lm.binary(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    lex = gru_lm.lexicon(gru_lm.word_counts(docs.where(~gru_lm.held_out())))
+    got = {r.doc_id: r for r in gru_lm.lessons(docs, lex, ~gru_lm.held_out()).collect()}
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    tokens = [re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()) for t in texts]
+    counts = Counter(w for ws, o in zip(tokens, out, strict=True) if not o for w in ws)
+    common = sorted(counts, key=lambda w: (-counts[w], w))[:12]
+    assert len(got) == len({r.row for r in got.values()}) == len(texts)
+    for i, ws in enumerate(tokens):
+        r = got[i]
+        assert (r.turn == gru_lm.ROUNDS) == out[i]
+        assert np.frombuffer(r.ids, np.int16).tolist() == [common.index(w) + 2 if w in common else gru_lm.UNKNOWN for w in ws] + [gru_lm.END]
+        assert (r.n, r.n_known, r.unknown) == (len(ws) + 1, sum(w in common for w in ws) + 1, sum(w not in common for w in ws))
+        assert abs(r.base - sum(math.log10(counts[w] + 1) for w in ws if w in common) - math.log10(out.count(False) + 1)) < 1e-9
+        assert dict(zip(map(bytes, r.rare), r.times, strict=True)) == Counter(w for w in ws if w not in common)
+
+
+def test_pieces_are_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(gru_lm, "_PIECE", 20)
+    texts = [b"x" * n + b" y" for n in (0, 50, 3, 3, 3, 18, 0, 0, 90, 1)]
+    batches = [pa.record_batch({"text": pa.array(texts[a:b], pa.binary())}) for a, b in ((0, 3), (3, 3), (3, 4), (4, 10))]
+    got = [p["text"].to_pylist() for p in gru_lm._pieces(iter(batches))]
+    assert sum(got, []) == texts
+    assert all(len(p) == 1 or sum(map(len, p)) <= 20 for p in got)
+    words = [gru_lm._words(p["text"]) for p in gru_lm._pieces(iter(batches))]
+    assert sum((w.to_pylist() for w, _ in words), []) == [w for t in texts for w in t.split()]
+    assert np.concatenate([n for _, n in words]).tolist() == [len(t.split()) for t in texts]
+
+
+def test_classes_together_learn_as_one_by_one(monkeypatch):
+    model, rng = _network(), np.random.default_rng(9)
+    x, y = (np.minimum(rng.geometric(0.01, (40, 30)), 4095) for _ in range(2))
+    valid, fresh, h = rng.random((40, 30)) < 0.9, rng.random((40, 30)) < 0.1, rng.normal(size=(30, gru_lm.WIDTH))
+    told = []
+    for few, block, long in ((1 << 30, 1 << 30, 1 << 30), (0, 7, 0), (256, 2048, 8)):
+        for k, n in (("_FEW", few), ("_BLOCK", block), ("_LONG", long)):
+            monkeypatch.setattr(gru_lm, k, n)
+        g, words, rows, _ = model.gradients(x, y, valid, fresh, h)
+        hs = rng.normal(size=(500, gru_lm.WIDTH)) if not told else told[0]["hs"]
+        told.append(g | {"words": words, "rows": rows, "hs": hs, "losses": model.losses(hs, y.ravel()[:500])})
+    for other in told[1:]:
+        assert all(np.allclose(told[0][k], other[k], rtol=1e-9, atol=1e-12) for k in other)
