@@ -31,6 +31,17 @@ def test_dates(spark):
     assert got[4][1] % 1000 == 500
 
 
+def test_kinds_look_at_each_cell_once(spark):
+    """As kind() has it for hard cells; it was five aggregates that each parsed every cell."""
+    cells = ["", " ", None, "1", "+1", "-0", "1.", ".5", "1e3", "1e999", ".", "-", "9" * 19, "1" * 20, "12\n", "12\u2028", "1.5\u2028", "x", "1x", "NaN", "1996-01-02", "1996-02-30", "1996-01-02T03:04:05Z", "1996-01-02 03:04", "1996-01-02T25:00:00", "1/2/1996", "1996-01-02\u2028", "1996-01-02Z", "é", "٣"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    names = {None: 0, "bigint": 1, "double": 2, "timestamp": 4, "string": 8}
+    for r in df.select("c", parsing.kind(F.col("c")).alias("kind"), parsing.kind_bit(F.col("c")).alias("bit")).collect():
+        assert names[r.kind] == r.bit, r
+    plan = df.agg(parsing.column_kind(F.col("c")))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("partial_") == 1
+
+
 @pytest.mark.parametrize(
     ("cells", "kind"),
     [(["1", None, "2"], "bigint"), (["1", "2.5"], "double"), (["1/2/2020", "2020-01-02"], "timestamp"), (["1", "1/2/2020"], "string"), (["1", "a"], "string"), ([None, " "], "string")],
