@@ -1,36 +1,46 @@
-"""Delimited text: one pass that infers column types, and one lazy pass that casts.
+"""Delimited text: one pass that infers column types and counts rows, and one lazy pass that casts.
 
 Every row keeps `row_id`, its place in the file, because tables here are positional. It comes from the scan's own
-order (partition and place in it), so it needs one small job and no shuffle.
+order (partition and place in it), so it needs counts of rows and no shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.errors import OutOfBounds
-from sparkloom.functions.parsing import as_kind, column_kind
+from sparkloom.functions.parsing import as_kind, kind_bit, kind_of_bits
 
 ROW_ID = "row_id"
 
 
+def _parted(df: DataFrame) -> DataFrame:
+    return df.withColumn("__m", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__m", 33))
+
+
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Consecutive numbers from 0 in scan order. Counts per partition (a number each) come to the driver and go back as a table.
 
     A row outside what was counted, as where files have changed since, is an error.
     """
-    rows = df.withColumn("__m", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__m", 33))
-    counts = sorted((r["__part"], r["n"]) for r in rows.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    counts = _parted(df).groupBy("__part").agg(F.count("*").alias("n")).collect()
+    return _numbered(df, {r["__part"]: r["n"] for r in counts}, name)
+
+
+def _numbered(df: DataFrame, counts: dict[int, int], name: str = ROW_ID) -> DataFrame:
     starts, at = [], 0
-    for p, n in counts:
+    for p, n in sorted(counts.items()):
         starts.append((p, at, n))
         at += n
     known = df.sparkSession.createDataFrame(starts, "__part bigint, __start bigint, __n bigint")
     place = F.col("__m").bitwiseAND((1 << 33) - 1)
     checked = F.when(place < F.col("__n"), F.col("__start") + place).otherwise(F.raise_error(F.lit("the rows have changed since they were counted")).cast("bigint"))
-    return rows.join(F.broadcast(known), "__part", "left").withColumn(name, checked).drop("__m", "__part", "__start", "__n")
+    return _parted(df).join(F.broadcast(known), "__part", "left").withColumn(name, checked).drop("__m", "__part", "__start", "__n")
 
 
 def _header(name: str | None, i: int) -> str:
@@ -56,8 +66,11 @@ def from_delimited(spark: SparkSession, path: str, header: bool = True, sep: str
     cells = read_cells(spark, path, header, sep)
     if not cells.columns:
         return cells
-    kinds = cells.agg(*(column_kind(F.col(f"`{c}`")).alias(c) for c in cells.columns)).first()
-    return with_row_id(cells).select(ROW_ID, *(as_kind(F.col(f"`{c}`"), kinds[c]).alias(c) for c in cells.columns))
+    bits = [F.bit_or(kind_bit(F.col(f"`{c}`"))).alias(f"__kind_{i}") for i, c in enumerate(cells.columns)]
+    told = _parted(cells).groupBy("__part").agg(F.count("*").alias("__rows"), *bits).collect()
+    kinds = {c: kind_of_bits(reduce(or_, (r[f"__kind_{i}"] for r in told), 0)) for i, c in enumerate(cells.columns)}
+    counts = {r["__part"]: r["__rows"] for r in told}
+    return _numbered(cells, counts).select(ROW_ID, *(as_kind(F.col(f"`{c}`"), kinds[c]).alias(c) for c in cells.columns))
 
 
 def matrix_from_delimited(spark: SparkSession, path: str, header: bool = False, sep: str = ",") -> DataFrame:

@@ -30,6 +30,20 @@ def test_inference(spark, mixed):
         t.row(3)
 
 
+def test_kinds_and_counts_take_one_pass(spark, tmp_path):
+    path = str(tmp_path / "many")
+    to_delimited(spark.range(2000).select("id", F.concat(F.lit("w"), "id").alias("w")), path)
+
+    def read():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+    before = read()
+    df = from_delimited(spark, path)
+    assert read() - before < 1.5 * 2000
+    assert {(r.row_id, r.w) for r in df.collect()} == {(r.row_id, f"w{r.id}") for r in df.collect()} and df.agg(F.count_distinct("row_id"), F.min("row_id"), F.max("row_id")).first() == (2000, 0, 1999)
+
+
 def test_long_rows_and_matrices(spark, tmp_path):
     (tmp_path / "long.csv").write_text("a,b\n1,2\n1,2,3\n")
     with pytest.raises(Exception, match="more than 2 cells"):
