@@ -230,6 +230,19 @@ def test_exact_neighbours_send_as_much_as_there_is(spark, monkeypatch):
     assert sent[1] < 5 * sent[0]
 
 
+def test_scales_send_as_much_as_there_is(spark, monkeypatch):
+    """As the exact search: not the square of the rows."""
+    monkeypatch.setattr(neighbors, "BLOCK", 64)
+    monkeypatch.setattr(neighbors, "FEWEST", 10, raising=False)
+    a = np.random.default_rng(10).normal(size=(3000, 8))
+    sent = []
+    for n in (750, 3000):
+        before = written(spark)
+        assert pacmap.scales(neighbors.exact(frame(spark, a[:n]), 6)).collect()[0].sigma > 0
+        sent.append(written(spark) - before)
+    assert sent[1] < 5 * sent[0]
+
+
 def test_exact_neighbours_of_hard_rows(spark, monkeypatch):
     """Copies, tight clusters far out, tiny and huge values, more neighbours than rows of a piece."""
     monkeypatch.setattr(neighbors, "BLOCK", 32)
